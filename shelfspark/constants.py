@@ -56,9 +56,9 @@ PACKAGE_TYPE = "application/oebps-package+xml"
 ENTITIES = {
     "lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'",
     "mdash": "—", "ndash": "–", "hellip": "…", "bull": "•", "middot": "·",
-    "laquo": "«", "raquo": "»", "ldquo": "“", "rdquo": "”", "lsquo": "‘",
-    "rsquo": "’", "sbquo": "‚", "bdquo": "„", "nbsp": " ", "ensp": " ",
-    "emsp": " ", "thinsp": " ", "copy": "©", "reg": "®", "trade": "™",
+    "laquo": "«", "raquo": "»", "ldquo": "\u201c", "rdquo": "\u201d", "lsquo": "\u2018",
+    "rsquo": "\u2019", "sbquo": "\u201a", "bdquo": "\u201e", "nbsp": "\u00a0", "ensp": "\u2002",
+    "emsp": "\u2003", "thinsp": "\u2009", "copy": "©", "reg": "®", "trade": "™",
     "deg": "°", "plusmn": "±", "times": "×", "divide": "÷", "para": "¶",
     "sect": "§", "dagger": "†", "Dagger": "‡", "permil": "‰", "euro": "€",
     "pound": "£", "yen": "¥", "cent": "¢", "larr": "←", "rarr": "→",
@@ -99,7 +99,7 @@ ARCHIVE_MAGIC = {"zip": "504B0304", "rar": "52617221", "7z": "377ABCAF"}
 TAR_MARK, TAR_MARK_OFFSET = "7573746172", 257
 
 # Characters that ECMAScript counts as white space, as a regular-expression class body (fixed values).
-SPACE_CLASS = r"\t\n\x0B\f\r    -     　﻿"
+SPACE_CLASS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 # Suppression of repeated events, in milliseconds, and rows between two samples (fixed values).
 SUPPRESS_INTERVAL_MS = 500

@@ -74,7 +74,7 @@ def _with_offsets(rows: Ordered, total: Column, merge, name: str) -> DataFrame:
     offsets = offsets.select(*[F.col(k).alias(f"__o_{k}") for k in keys], name)
     condition = F.lit(True)
     for k in keys:
-        condition = condition & rows.df[k].eqNullSafe(offsets[f"__o_{k}"])
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__o_{k}"))
     joined = rows.df.join(F.broadcast(offsets), condition, "left")
     return joined.drop(*[f"__o_{k}" for k in keys])
 

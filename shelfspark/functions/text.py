@@ -215,6 +215,19 @@ def html_escape(c: Column | str) -> Column:
     return out
 
 
+def xml_text(c: Column | str) -> Column:
+    """Escaped element text."""
+    out = col(c)
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(char), F.lit(name))
+    return out
+
+
+def xml_attribute(c: Column | str) -> Column:
+    """Escaped attribute value."""
+    return F.replace(xml_text(c), F.lit('"'), F.lit("&quot;"))
+
+
 def camel_case(c: Column | str) -> Column:
     """``dash-or:colon`` to ``dashOrColon``."""
     parts = F.split(F.lower(col(c)), "[-:](?=.)")

@@ -27,8 +27,9 @@ from shelfspark.functions.text import (
     encode_url_path,
     folder_summary,
     format_file_size,
-    html_escape,
     normalize_title,
+    xml_attribute,
+    xml_text,
 )
 
 
@@ -109,19 +110,19 @@ def folder_entries(structure: DataFrame) -> DataFrame:
 
 def _element(tag: str, value: Column | str, attributes: str = "") -> Column:
     """Line of one element; null for a null value, so that ``concat_ws`` leaves it out."""
-    return F.concat(F.lit(f"  <{tag}{attributes}>"), html_escape(value), F.lit(f"</{tag}>"))
+    return F.concat(F.lit(f"  <{tag}{attributes}>"), xml_text(value), F.lit(f"</{tag}>"))
 
 
 def _link(rel: str, href: Column | str, media_type: Column | str) -> Column:
     return F.concat(
-        F.lit(f'  <link rel="{rel}" href="'), html_escape(href), F.lit('" type="'), html_escape(media_type), F.lit('"/>')
+        F.lit(f'  <link rel="{rel}" href="'), xml_attribute(href), F.lit('" type="'), xml_attribute(media_type), F.lit('"/>')
     )
 
 
 def book_entry_xml(updated: Column | str) -> Column:
     """Entry fragment of a row of ``book_entries``."""
     subjects = F.array_join(
-        F.transform("subjects", lambda s: F.concat(F.lit("  <dc:subject>"), html_escape(s), F.lit("</dc:subject>"))), "\n"
+        F.transform("subjects", lambda s: F.concat(F.lit("  <dc:subject>"), xml_text(s), F.lit("</dc:subject>"))), "\n"
     )
     return F.concat_ws(
         "\n",
@@ -129,7 +130,7 @@ def book_entry_xml(updated: Column | str) -> Column:
         _element("id", "id"),
         _element("title", "title"),
         _element("updated", updated),
-        F.concat(F.lit("  <author><name>"), html_escape("author"), F.lit("</name></author>")),
+        F.concat(F.lit("  <author><name>"), xml_text("author"), F.lit("</name></author>")),
         _element("summary", "summary", ' type="text"'),
         _element("rights", "rights"),
         _element("dc:format", "format"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.links import browser_href, format_from_mime, is_viewable, safe_link
-from shelfspark.functions.text import col, empty_to_null, html_escape
+from shelfspark.functions.text import col, empty_to_null, html_escape, xml_attribute, xml_text
 from shelfspark.plans.entries import feed_type
 
 PART_ENTRIES = 1000
@@ -203,10 +203,10 @@ def feed_document_parts(feeds: DataFrame, entries: DataFrame) -> DataFrame:
     """Feed documents; the ``xml`` of the entries is spliced in unchanged."""
     opening = F.concat(
         F.lit(FEED_OPEN),
-        F.lit("  <id>"), html_escape("id"), F.lit("</id>\n  <title>"), html_escape("title"),
+        F.lit("  <id>"), xml_text("id"), F.lit("</id>\n  <title>"), xml_text("title"),
         F.lit("</title>\n  <updated>"), col("updated"), F.lit("</updated>\n  <link rel=\"self\" href=\""),
-        html_escape("self_href"), F.lit('" type="'), feed_type("kind"),
-        F.lit('"/>\n  <link rel="start" href="'), html_escape("start_href"),
+        xml_attribute("self_href"), F.lit('" type="'), feed_type("kind"),
+        F.lit('"/>\n  <link rel="start" href="'), xml_attribute("start_href"),
         F.lit(f'" type="{NAVIGATION_LINK_TYPE}"/>\n'),
     )
     opened = feeds.select("folder", F.lit(0).alias("part"), opening.alias("text"))

@@ -15,6 +15,7 @@ from shelfspark.functions.text import (
     empty_to_null,
     first_string,
     get_string,
+    let,
     parse_date,
     string_array,
 )
@@ -92,7 +93,7 @@ def package_cover() -> Column:
     first = lambda array, test: F.try_element_at(F.filter(array, test), F.lit(1))
     directory = F.regexp_replace("package_path", "[^/]+$", "")
     cover_id = first(metas, lambda m: m["_name"] == "cover")["_content"]
-    by_id = first(items, lambda i: i["_id"] == cover_id)["_href"]
+    by_id = let(cover_id, lambda wanted: first(items, lambda i: i["_id"] == wanted)["_href"])
     by_property = first(items, lambda i: i["_properties"].contains("cover-image"))["_href"]
     images = F.filter("members", lambda m: m.rlike(IMAGE))
     named = first(images, lambda m: m.rlike("(?i)cover" + IMAGE.removeprefix("(?i)")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.constants import EXTH_TYPES
 from shelfspark.formats.common import metadata
-from shelfspark.functions.text import clean_description, empty_to_null
+from shelfspark.functions.text import clean_description, empty_to_null, tail
 from shelfspark.sources.archives import source_column
 
 SCHEMA = (
@@ -113,6 +113,6 @@ def mobi_metadata(files: DataFrame) -> DataFrame:
 
 def mobi_records(headers: DataFrame) -> DataFrame:
     """Rows (path, record, start, end): a record ends where the next one starts."""
-    ends = F.concat(F.slice("offsets", 2, 2**31 - 1), F.array("file_size"))
+    ends = F.concat(tail(F.col("offsets"), 2), F.array("file_size"))
     spans = F.arrays_zip(F.col("offsets").alias("start"), ends.alias("end"))
     return headers.select("path", F.posexplode(spans).alias("record", "s")).select("path", "record", "s.start", "s.end")

@@ -5,23 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import col
+from shelfspark.functions.text import col, let
 
 
 def _steps(path: Column) -> Column:
     """array<array<struct<idx, offset>>>; the offset counts at the last step of a part only."""
 
     def part(text: Column) -> Column:
-        steps = F.regexp_extract_all(text, F.lit("/([0-9]+(?::[0-9]+)?)"), F.lit(1))
-        return F.transform(
-            steps,
-            lambda s, i: F.struct(
-                F.substring_index(s, ":", 1).cast("long").alias("idx"),
-                F.when(
-                    (i == F.size(steps) - 1) & s.contains(":"), F.substring_index(s, ":", -1).cast("long")
-                ).alias("offset"),
-            ),
+        found = F.regexp_extract_all(text, F.lit("/([0-9]+(?::[0-9]+)?)"), F.lit(1))
+        offset = lambda s: F.when(s.contains(":"), F.substring_index(s, ":", -1).cast("long"))
+        step = lambda steps: lambda s, i: F.struct(
+            F.substring_index(s, ":", 1).cast("long").alias("idx"),
+            F.when(i == F.size(steps) - 1, offset(s)).alias("offset"),
         )
+        return let(found, lambda steps: F.transform(steps, step(steps)))
 
     return F.transform(F.split(path, "!"), part)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfspark.constants import BLOCK_TAGS
-from shelfspark.functions.text import SPACE, col, decode_xml_entities, empty_to_null, strip_space
+from shelfspark.functions.text import SPACE, col, decode_xml_entities, empty_to_null, strip_space, tail
 
 
 def extract_title(xml: Column | str) -> Column:
@@ -37,7 +37,7 @@ def without_scripts(html: Column | str) -> Column:
 def body_of(html: Column | str) -> Column:
     """What stands inside the body element; the whole text when there is no body tag."""
     h = col(html)
-    inner = F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)
+    inner = F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
     return F.when(h.rlike(r"(?i)<body\b"), inner).otherwise(h)
 
 
@@ -49,11 +49,11 @@ def text_segments(html: Column | str) -> Column:
 
 def block_texts(html: Column | str) -> Column:
     """Texts between the starts of block elements, blank ones dropped."""
-    starts = rf"(?i)<(?:{'|'.join(BLOCK_TAGS)})(?=[\s/>])[^>]*>"
+    starts = rf"(?i)<(?:{'|'.join(BLOCK_TAGS)})(?:[\s/][^>]*)?>"
     body = body_of(without_scripts(html))
     blocks = F.split(body, starts)
     # Text before the first block belongs to no block, unless there is no block at all.
-    kept = F.when(F.size(blocks) > 1, F.slice(blocks, 2, 2**31 - 1)).otherwise(blocks)
+    kept = F.when(F.size(blocks) > 1, tail(blocks, 2)).otherwise(blocks)
     texts = F.transform(kept, lambda b: F.regexp_replace(b, "<[^>]*>", ""))
     return F.filter(texts, lambda t: strip_space(t) != "")
 

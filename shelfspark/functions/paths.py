@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import col
+from shelfspark.functions.text import col, let
 
 
 def path_name(path: Column | str) -> Column:
@@ -46,8 +46,10 @@ def strip_extension(name: Column | str) -> Column:
 def ancestor_paths(folder: Column | str) -> Column:
     """The folder and all folders above it, root first."""
     p = col(folder)
-    parts = F.split(p, "/")
-    below = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    prefixes = lambda parts: F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
+    )
+    below = let(F.split(p, "/"), prefixes)
     return F.when(p == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), below))
 
 

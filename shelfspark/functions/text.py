@@ -14,6 +14,20 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A column expression used inside a lambda is computed again for every element; a lambda variable
+    is not. So the value is bound as the variable of a transform over a one-element array.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def tail(array: Column, start: Column | int) -> Column:
+    """Elements from a 1-based position to the end."""
+    return F.slice(array, start, F.size(array))
+
+
 def strip_space(c: Column | str) -> Column:
     """Trim every character that counts as white space, not only blanks."""
     return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
@@ -232,7 +246,7 @@ def camel_case(c: Column | str) -> Column:
     """``dash-or:colon`` to ``dashOrColon``."""
     parts = F.split(F.lower(col(c)), "[-:](?=.)")
     rest = F.transform(
-        F.slice(parts, 2, 2**31 - 1), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 2**31 - 1))
+        tail(parts, 2), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 2**31 - 1))
     )
     return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
 

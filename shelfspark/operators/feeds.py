@@ -112,18 +112,26 @@ def feed_kinds(entries: DataFrame) -> DataFrame:
 
 
 def profile_feeds(documents: DataFrame, path: str = "path", xml: str = "xml") -> DataFrame:
-    """Per feed document: entries, depth, Cyrillic letters, a book without cover, longest title."""
+    """Per feed: entries, depth, Cyrillic letters, a book without cover, longest title.
+
+    A document may come in several rows (parts cut between entries); they are combined per path.
+    """
     titles = F.regexp_extract_all(xml, F.lit("(?s)<title>(.*?)</title>"), F.lit(1))
     books = F.regexp_extract_all(xml, F.lit("(?s)(<entry>.*?</entry>)"), F.lit(1))
-    return documents.select(
+    bare = lambda b: b.contains("acquisition") & ~b.contains("opds-spec.org/image")
+    parts = documents.select(
         path,
         F.regexp_count(xml, F.lit("<entry>")).alias("entries"),
-        F.size(F.split(path, "/")).alias("depth"),
         F.col(xml).rlike("[А-Яа-я]").alias("cyrillic"),
-        F.exists(books, lambda b: b.contains("acquisition") & ~b.contains("opds-spec.org/image")).alias(
-            "book_without_cover"
-        ),
-        F.coalesce(F.array_max(F.transform(titles, F.length)), F.lit(0)).alias("max_title_length"),
+        F.exists(books, bare).alias("bare"),
+        F.coalesce(F.array_max(F.transform(titles, F.length)), F.lit(0)).alias("title_length"),
+    )
+    return parts.groupBy(path).agg(
+        F.sum("entries").cast("int").alias("entries"),
+        F.size(F.split(path, "/")).alias("depth"),
+        F.bool_or("cyrillic").alias("cyrillic"),
+        F.bool_or("bare").alias("book_without_cover"),
+        F.max("title_length").alias("max_title_length"),
     )
 
 

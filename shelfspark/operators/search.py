@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.constants import EXCERPT_CONTEXT, SPACE_CLASS
-from shelfspark.functions.text import col, collapse_space
+from shelfspark.functions.text import col, collapse_space, let, tail
 
 CHUNK = 256
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.·]\p{L}[\p{L}\p{M}\p{N}_]*|[.,;'’]\p{N}[\p{L}\p{M}\p{N}_]*)*"
@@ -28,18 +28,21 @@ def piece_starts(pieces: Column) -> Column:
 
     The running sum is folded inside chunks and over the chunks, so its cost stays near linear.
     """
-    zero = lambda: F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    nothing = F.array().cast("array<int>")
 
     def fold(values: Column, start: Column) -> Column:
         step = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
-        return F.aggregate(values, F.struct(start.alias("at"), zero()["out"].alias("out")), step)["out"]
+        return F.aggregate(values, F.struct(start.alias("at"), nothing.alias("out")), step)["out"]
 
-    lengths = F.transform(pieces, F.length)
-    n_chunks = F.greatest(F.ceil(F.size(pieces) / CHUNK).cast("int"), F.lit(1))
-    chunks = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda c: F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK)))
-    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, v: a + v))
-    starts = fold(totals, F.lit(0))
-    return F.flatten(F.zip_with(chunks, starts, lambda c, s: fold(c, s)))
+    def chunked(lengths: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(lengths) / CHUNK).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK)))
+
+    def starts(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, v: a + v))
+        return F.flatten(F.zip_with(chunks, fold(totals, F.lit(0)), fold))
+
+    return let(F.transform(pieces, F.length), lambda lengths: let(chunked(lengths), starts))
 
 
 def _quote(text: str) -> str:
@@ -48,30 +51,38 @@ def _quote(text: str) -> str:
 
 def hit_positions(text: Column | str, query: str, match_case: bool = False) -> Column:
     """All positions of a query in a text, overlapping ones included."""
-    haystack = col(text) if match_case else F.lower(col(text))
     needle = query if match_case else query.lower()
-    # A cut in front of every occurrence: each piece but possibly the first starts with a hit.
-    pieces = F.split(haystack, f"(?={_quote(needle)})")
-    starts = piece_starts(pieces)
-    hits = F.when(haystack.startswith(needle), starts).otherwise(F.slice(starts, 2, 2**31 - 1))
-    return F.when(haystack.contains(needle), hits).otherwise(F.array().cast("array<int>"))
+
+    def find(haystack: Column) -> Column:
+        # A cut in front of every occurrence: each piece but possibly the first starts with a hit.
+        starts = piece_starts(F.split(haystack, f"(?={_quote(needle)})"))
+        first = F.when(haystack.startswith(needle), 1).otherwise(2)
+        hits = let(starts, lambda s: tail(s, first))
+        return F.when(haystack.contains(needle), hits).otherwise(F.array().cast("array<int>"))
+
+    return let(col(text) if match_case else F.lower(col(text)), find)
 
 
-def make_excerpt(before: Column, match: Column, after: Column) -> Column:
-    """struct<pre, match, post>: up to 50 characters on each side, an ellipsis where text is cut."""
+def make_excerpt(first: Column, start: Column, match: Column, last: Column, end: Column) -> Column:
+    """struct<pre, match, post> of a hit from ``start`` in one text node to ``end`` in the last.
+
+    Up to 50 characters on each side, with an ellipsis where text is cut. A window of the context is
+    enough unless most of it is white space.
+    """
     n, window = EXCERPT_CONTEXT, 4 * EXCERPT_CONTEXT
-    left_trim = lambda c: F.regexp_replace(c, "^ ", "")
-    right_trim = lambda c: F.regexp_replace(c, " $", "")
-    # A window of the context is enough unless most of it is white space.
-    near = collapse_space(F.right(before, F.lit(window)))
-    pre = F.when(F.length(near) > n + 1, near).otherwise(left_trim(collapse_space(before)))
-    near = collapse_space(F.left(after, F.lit(window)))
-    post = F.when(F.length(near) > n + 1, near).otherwise(right_trim(collapse_space(after)))
+    rest = F.length(last) - end
+    before = collapse_space(F.substring(first, F.greatest(start - window, F.lit(0)) + 1, F.least(start, F.lit(window))))
+    after = collapse_space(F.substring(last, end + 1, F.lit(window)))
+    whole_before = collapse_space(F.substring(first, F.lit(1), start))
+    whole_after = collapse_space(F.substring(last, end + 1, rest))
+    enough = lambda near, size: (F.length(near) > n + 1) | (size <= window)
+    pre = let(before, lambda b: F.regexp_replace(F.when(enough(b, start), b).otherwise(whole_before), "^ ", ""))
+    post = let(after, lambda a: F.regexp_replace(F.when(enough(a, rest), a).otherwise(whole_after), " $", ""))
     dots = lambda c: F.when(F.length(c) < n, "").otherwise("…")
     return F.struct(
-        F.concat(dots(pre), F.right(pre, F.lit(n))).alias("pre"),
+        let(pre, lambda p: F.concat(dots(p), F.right(p, F.lit(n)))).alias("pre"),
         match.alias("match"),
-        F.concat(F.left(post, F.lit(n)), dots(post)).alias("post"),
+        let(post, lambda p: F.concat(F.left(p, F.lit(n)), dots(p))).alias("post"),
     )
 
 
@@ -85,7 +96,7 @@ def search_text(docs: DataFrame, text: str, query: str, match_case: bool = False
         t = F.col(text)
         return F.struct(
             at.alias("start"),
-            make_excerpt(F.left(t, at), F.substring(t, at + 1, F.lit(size)), F.substring(t, at + size + 1, F.length(t))).alias("x"),
+            make_excerpt(t, at, F.substring(t, at + 1, F.lit(size)), t, at + size).alias("x"),
         )
 
     hits = F.transform(hit_positions(text, query, match_case), hit)
@@ -113,11 +124,8 @@ def search_segments(docs: DataFrame, segments: str, query: str, match_case: bool
     rows = rows.withColumn("start_offset", offset(F.col("__at"), "start_node"))
     rows = rows.withColumn("end_offset", offset(end, "end_node"))
     first, final = F.element_at(segments, F.col("start_node") + 1), F.element_at(segments, F.col("end_node") + 1)
-    excerpt = make_excerpt(
-        F.left(first, F.col("start_offset")),
-        F.substring("__text", F.col("__at") + 1, F.lit(len(query))),
-        F.substring(final, F.col("end_offset") + 1, F.length(final)),
-    )
+    match = F.substring("__text", F.col("__at") + 1, F.lit(len(query)))
+    excerpt = make_excerpt(first, F.col("start_offset"), match, final, F.col("end_offset"))
     return rows.withColumn("x", excerpt).select(
         *others, "start_node", "start_offset", "end_node", "end_offset", "x.pre", "x.match", "x.post"
     )
@@ -137,31 +145,29 @@ def phrase_hits(text: Column | str, query: str, sensitivity: str = "base", whole
     def plain(t: Column) -> Column:
         return F.when(t.rlike(rf"^[{SPACE_CLASS}]"), " ").otherwise(t)
 
-    pieces = tokens(col(text))
-    placed = F.filter(
-        F.zip_with(
-            pieces, piece_starts(pieces),
-            lambda t, s: F.struct(plain(t).alias("t"), s.alias("start"), (s + F.length(plain(t))).alias("end")),
-        ),
-        lambda u: ~u["t"].rlike(r"^\p{Cf}+$"),
-    )
-    wanted = F.lit(query)
-    parts = F.transform(tokens(wanted), plain)
-    n = F.size(parts)
-    first = F.collate(F.element_at(parts, 1), collation)
-
-    def is_hit(i: Column) -> Column:
-        run = F.array_join(F.transform(F.slice(placed, i, n), lambda u: u["t"]), "")
-        starts_alike = F.collate(F.element_at(placed, i)["t"], collation) == first
-        return starts_alike & (F.collate(run, collation) == F.collate(F.array_join(parts, ""), collation))
-
-    last = F.size(placed) - n + 1
-    at = F.when(last >= 1, F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), is_hit))
-    spans = F.transform(
-        at, lambda i: F.struct(F.element_at(placed, i)["start"].alias("start"),
-                               F.element_at(placed, i + n - 1)["end"].alias("end"))
-    )
-    return F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>"))
+    def placed(pieces: Column) -> Column:
+        unit = lambda t, s: F.struct(plain(t).alias("t"), s.alias("start"), (s + F.length(plain(t))).alias("end"))
+        return F.filter(F.zip_with(pieces, piece_starts(pieces), unit), lambda u: ~u["t"].rlike(r"^\p{Cf}+$"))
+
+    wanted = F.transform(tokens(F.lit(query)), plain)
+    n = F.size(wanted)
+    first = F.collate(F.element_at(wanted, 1), collation)
+    whole = F.collate(F.array_join(wanted, ""), collation)
+
+    def spans(units: Column) -> Column:
+        last = F.size(units) - n + 1
+
+        def is_hit(i: Column) -> Column:
+            run = F.array_join(F.transform(F.slice(units, i, n), lambda u: u["t"]), "")
+            return (F.collate(F.element_at(units, i)["t"], collation) == first) & (F.collate(run, collation) == whole)
+
+        at = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: (i <= last) & is_hit(i))
+        return F.transform(
+            at, lambda i: F.struct(F.element_at(units, i)["start"].alias("start"), F.element_at(units, i + n - 1)["end"].alias("end"))
+        )
+
+    found = let(tokens(col(text)), lambda pieces: let(placed(pieces), spans))
+    return F.coalesce(found, F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def search_phrase(docs: DataFrame, text: str, query: str, sensitivity: str = "base", whole_words: bool = False) -> DataFrame:
@@ -186,8 +192,8 @@ def hits_by_section(hits: DataFrame, totals: DataFrame, book: str, section: str)
 def placed_tokens(text: Column | str, unit: str = WORD, gap: str = GAP) -> Column:
     """array<struct<start, token>> of the words of a text."""
     pieces = F.regexp_extract_all(col(text), F.lit(f"({unit}|{gap})"), F.lit(1))
-    placed = F.zip_with(pieces, piece_starts(pieces), lambda t, s: F.struct(s.alias("start"), t.alias("token")))
-    return F.filter(placed, lambda p: p["token"].rlike(r"^[\p{L}\p{M}\p{N}_]"))
+    place = lambda ps: F.zip_with(ps, piece_starts(ps), lambda t, s: F.struct(s.alias("start"), t.alias("token")))
+    return F.filter(let(pieces, place), lambda p: p["token"].rlike(r"^[\p{L}\p{M}\p{N}_]"))
 
 
 def words(docs: DataFrame, text: str) -> DataFrame:
@@ -201,5 +207,5 @@ def sentences(docs: DataFrame, text: str) -> DataFrame:
     """One row per sentence: the other columns, sentence_no, start, sentence."""
     others = [c for c in docs.columns if c != text]
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s)({SENTENCE})"), F.lit(1))
-    placed = F.zip_with(pieces, piece_starts(pieces), lambda t, s: F.struct(s.alias("start"), t.alias("sentence")))
-    return docs.select(*others, F.posexplode(placed).alias("sentence_no", "p")).select(*others, "sentence_no", "p.*")
+    place = lambda ps: F.zip_with(ps, piece_starts(ps), lambda t, s: F.struct(s.alias("start"), t.alias("sentence")))
+    return docs.select(*others, F.posexplode(let(pieces, place)).alias("sentence_no", "p")).select(*others, "sentence_no", "p.*")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.links import browser_href, format_from_mime, is_viewable, safe_link
 from shelfspark.functions.text import col, empty_to_null, html_escape, xml_attribute, xml_text
+from shelfspark.operators.feeds import ENTRY_PATTERN, feed_headers
 from shelfspark.plans.entries import feed_type
 
 PART_ENTRIES = 1000
@@ -227,6 +228,22 @@ def folder_page_parts(feeds: DataFrame, entries: DataFrame) -> DataFrame:
     return opened.unionByName(_body_parts(entries, card)).unionByName(closed)
 
 
+def part_headers(parts: DataFrame) -> DataFrame:
+    """Feed headers read back from the opening parts."""
+    opening = parts.filter("part = 0").select("folder", F.concat("text", F.lit("</feed>")).alias("xml"))
+    return feed_headers(opening, "folder")
+
+
+def part_fragments(parts: DataFrame) -> DataFrame:
+    """Entry fragments read back from the parts: folder, pos, xml. No document is put together."""
+    bodies = parts.filter((F.col("part") > 0) & (F.col("part") < LAST_PART))
+    rows = bodies.select(
+        "folder", "part", F.posexplode(F.regexp_extract_all("text", F.lit(f"({ENTRY_PATTERN})"), F.lit(1))).alias("at", "xml")
+    )
+    pos = (F.col("part") - 1) * PART_ENTRIES + F.col("at") + 1
+    return rows.select("folder", pos.alias("pos"), "xml")
+
+
 def join_parts(parts: DataFrame) -> DataFrame:
     """Whole documents, one row per folder: for folders known to be small, such as in tests."""
     window = Window.partitionBy("folder").orderBy("part")

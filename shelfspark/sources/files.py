@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.constants import BOOK_EXTENSIONS
-from shelfspark.functions.paths import file_extension
+from shelfspark.functions.paths import ancestor_paths, file_extension, parent_path
 from shelfspark.session import checkpointed, shuffle_partitions
 
 LISTING = "path string, full_path string, is_dir boolean, size long, mtime_ms double"
@@ -83,9 +83,7 @@ def scan_mirror(entries: DataFrame) -> DataFrame:
         F.when(F.bool_or(F.col("kind") == "book"), "book").otherwise("folder").alias("kind"),
         F.max("entry_mtime_ms").alias("entry_mtime_ms"),
     )
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    nested = rows.filter(F.size(parts) > 1).select("path", F.explode(above).alias("__above"))
+    nested = rows.select("path", F.explode(ancestor_paths(parent_path("path"))).alias("__above"))
     books = rows.filter("kind = 'book'").select(F.col("path").alias("__above"))
     below = nested.join(books, "__above", "left_semi").select("path").distinct()
     return rows.join(below, "path", "left_anti")

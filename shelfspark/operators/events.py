@@ -88,97 +88,131 @@ def valid_events(lines: DataFrame, value: str = "value") -> tuple[DataFrame, Dat
 # --- suppression -------------------------------------------------------------------------------
 
 
-def _next_allowed(times: np.ndarray, interval: int) -> np.ndarray:
-    """For each time, the index of the first later time that would be accepted after it."""
+MAX_KEY_ROWS = 100_000
+LOWEST = np.iinfo(np.int64).min
+
+
+def _following(times: np.ndarray, interval: int) -> np.ndarray:
+    """For each time, the index of the first later time that is accepted after it."""
     return np.searchsorted(times, times + interval, side="left")
 
 
-def _transfer(pdf: pd.DataFrame, interval: int, width: int) -> pd.DataFrame:
-    """What a slice of one key makes of any earlier state, as steps (from_ms, exit_ms).
+def _first_allowed(times: np.ndarray, last: float | None, interval: int) -> int:
+    return 0 if pd.isna(last) else int(np.searchsorted(times, int(last) + interval, side="left"))
+
+
+def _accepted(times: np.ndarray, seqs: np.ndarray, last: float | None, interval: int) -> np.ndarray:
+    """Numbers of the accepted events of one key or slice, given the last accepted time before it."""
+    at, following, taken = _first_allowed(times, last, interval), _following(times, interval), []
+    while at < len(times):
+        taken.append(at)
+        at = following[at]
+    return seqs[taken]
+
+
+def _transfer(times: np.ndarray, reach: int | None, interval: int) -> list[dict]:
+    """What a slice makes of any earlier state, as steps (from_ms, exit_ms).
 
     If the earlier state allows events from time t on, the last accepted time after this slice is
     the exit of the last step whose ``from_ms`` is at or before t. Paths that merge share a step.
+    An earlier state cannot block beyond ``reach``.
     """
-    times = np.sort(pdf["ms"].to_numpy())
-    following = _next_allowed(times, interval)
-    exits = np.empty(len(times), dtype=np.int64)
+    following, exits = _following(times, interval), times.copy()
     for i in range(len(times) - 1, -1, -1):
-        exits[i] = times[i] if following[i] == len(times) else exits[following[i]]
-    # Starting after times[i-1] and not after times[i] means that times[i] is accepted first.
-    starts = np.concatenate(([np.iinfo(np.int64).min], times[:-1] + 1))
-    # A state can block at most one interval into the slice; later starts cannot happen.
-    reach = times[0] // width * width + interval
-    keep = (starts <= reach) & np.concatenate(([True], exits[1:] != exits[:-1]))
-    n = int(keep.sum())
-    return pd.DataFrame({
-        "key": [pdf["key"].iloc[0]] * n, "slice": np.repeat(pdf["slice"].iloc[0], n),
-        "from_ms": starts[keep], "exit_ms": exits[keep], "last_ms": np.repeat(times[-1], n),
-    })
-
-
-def _chain(pdf: pd.DataFrame, interval: int) -> pd.DataFrame:
-    """Last accepted time before each slice of one key."""
-    entry, last = [], None
-    slices = pdf.sort_values(["slice", "from_ms"], kind="stable").groupby("slice", sort=True)
-    initial = pdf["initial_ms"].iloc[0]
-    last = None if pd.isna(initial) else int(initial)
-    for number, steps in slices:
-        entry.append((pdf["key"].iloc[0], number, last))
-        allowed = np.iinfo(np.int64).min if last is None else last + interval
-        if allowed <= steps["last_ms"].iloc[0]:
-            at = np.searchsorted(steps["from_ms"].to_numpy(), allowed, side="right") - 1
-            last = int(steps["exit_ms"].iloc[at])
-    out = pd.DataFrame(entry, columns=["key", "slice", "entry_ms"])
-    out["entry_ms"] = out["entry_ms"].astype("Int64")
+        if following[i] < len(times):
+            exits[i] = exits[following[i]]
+    # Starting after times[i - 1] and not after times[i] means that times[i] is accepted first.
+    starts = np.concatenate(([LOWEST], times[:-1] + 1))
+    keep = np.concatenate(([True], exits[1:] != exits[:-1]))
+    if reach is not None:
+        keep &= starts <= reach
+    return [{"from_ms": int(a), "exit_ms": int(b)} for a, b in zip(starts[keep], exits[keep])]
+
+
+def _chain(slices: list, last: float | None, interval: int) -> list[dict]:
+    """Last accepted time before each slice of one key. slices: (slice, last_ms, steps) in order."""
+    last, out = None if pd.isna(last) else int(last), []
+    for part in slices:
+        out.append({"slice": part["slice"], "entry_ms": last})
+        allowed = LOWEST if last is None else last + interval
+        if allowed <= part["last_ms"]:
+            last = max(s["exit_ms"] for s in part["steps"] if s["from_ms"] <= allowed)
     return out
 
 
-def _accept(pdf: pd.DataFrame, interval: int) -> pd.DataFrame:
-    """Accepted times of one slice, given the last accepted time before it."""
-    pdf = pdf.sort_values("ms", kind="stable")
-    times, entry = pdf["ms"].to_numpy(), pdf["entry_ms"].iloc[0]
-    at = 0 if pd.isna(entry) else int(np.searchsorted(times, int(entry) + interval, side="left"))
-    following, taken = _next_allowed(times, interval), []
-    while at < len(times):
-        taken.append(at)
-        at = following[at]
-    return pdf.iloc[taken][["key", "ms"]]
-
-
 def suppress(
-    events: DataFrame, key: str = "key", ms: str = "ms", seq: str = "seq",
-    interval: int = SUPPRESS_INTERVAL_MS, state: DataFrame | None = None,
+    events: DataFrame, key: str = "key", ms: str = "ms", seq: str = "seq", interval: int = SUPPRESS_INTERVAL_MS,
+    state: DataFrame | None = None, max_rows: int = MAX_KEY_ROWS,
 ) -> DataFrame:
     """Events accepted when one is let through per key and interval, counted from the last accepted one.
 
-    Events are taken in the order of time, then ``seq``. ``state`` (key, last_ms) continues an
-    earlier run. Whether an event is accepted depends on all events of its key before it, but a key
-    is not handled by one task: time is cut in slices, each slice is first reduced to the short
-    table of what it makes of any earlier state, these tables are chained per key, and then every
-    slice is decided on its own. A slice holds at most one row per millisecond of its width.
+    Events are taken in the order of time, then ``seq`` (unique, integer). ``state`` (key, last_ms)
+    continues an earlier run. Repeats within one millisecond are dropped on the map side.
+
+    Whether an event is accepted depends on all events of its key before it, yet a large key is not
+    handled by one task. Its time is cut in slices, each slice is reduced to the short table of what
+    it makes of any earlier state, these tables are chained per key, and then every slice is decided
+    on its own. A slice holds at most one row per millisecond of its width.
     """
-    width = max(2 * interval, min(64 * interval, 4_000_000))
-    first = events.groupBy(F.col(key).alias("key"), F.col(ms).cast("long").alias("ms")).agg(F.min(seq).alias("__seq"))
-    sliced = first.withColumn("slice", F.floor(F.col("ms") / width))
-    steps = sliced.select("key", "slice", "ms").groupBy("key", "slice").applyInPandas(
-        lambda pdf: _transfer(pdf, interval, width),
-        "key string, slice long, from_ms long, exit_ms long, last_ms long",
+    first = events.groupBy(F.col(key).alias("key"), F.col(ms).cast("long").alias("ms")).agg(
+        F.min(F.col(seq).cast("long")).alias("seq")
     )
     if state is None:
-        steps = steps.withColumn("initial_ms", F.lit(None).cast("long"))
+        state = first.select("key", F.lit(None).cast("long").alias("last_ms")).limit(0)
+    state = state.select("key", F.col("last_ms").alias("initial_ms"))
+    large = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows).select("key")
+    if large.limit(1).isEmpty():
+        taken = _suppress_small(first, state, interval)
     else:
-        steps = steps.join(state.select("key", F.col("last_ms").alias("initial_ms")), "key", "left")
-    entries = steps.groupBy("key").applyInPandas(
-        lambda pdf: _chain(pdf, interval), "key string, slice long, entry_ms long"
-    )
-    taken = (
-        sliced.select("key", "slice", "ms").join(entries, ["key", "slice"])
-        .groupBy("key", "slice").applyInPandas(lambda pdf: _accept(pdf, interval), "key string, ms long")
-    )
-    winners = first.join(taken, ["key", "ms"]).select(F.col("key").alias("__k"), F.col("__seq"))
+        taken = _suppress_small(first.join(large, "key", "left_anti"), state, interval).unionByName(
+            _suppress_large(first.join(large, "key", "left_semi"), state, interval)
+        )
+    winners = taken.select(F.col("key").alias("__k"), F.col("seq").alias("__seq"))
     return events.join(winners, (F.col(key) == F.col("__k")) & (F.col(seq) == F.col("__seq")), "left_semi")
 
 
+def _in_order(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Times and numbers of each group as arrays in order."""
+    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ms", "seq"))).alias("__e"))
+    return listed.select(*by, F.col("__e.ms").alias("times"), F.col("__e.seq").alias("seqs"))
+
+
+def _decide(interval: int):
+    def run(times: pd.Series, seqs: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([_accepted(t, s, l, interval) for t, s, l in zip(times, seqs, last)], dtype=object)
+
+    return F.pandas_udf(run, "array<long>")
+
+
+def _suppress_small(rows: DataFrame, state: DataFrame, interval: int) -> DataFrame:
+    groups = _in_order(rows, ["key"]).join(state, "key", "left")
+    return groups.select("key", F.explode(_decide(interval)("times", "seqs", "initial_ms")).alias("seq"))
+
+
+def _suppress_large(rows: DataFrame, state: DataFrame, interval: int) -> DataFrame:
+    width = max(2 * interval, min(64 * interval, 4_000_000))
+    sliced = rows.withColumn("slice", F.floor(F.col("ms") / width))
+    groups = _in_order(sliced, ["key", "slice"]).join(state, "key", "left")
+
+    def reduce(times: pd.Series, number: pd.Series, initial: pd.Series) -> pd.Series:
+        reach = (n * width + interval if pd.isna(i) else None for n, i in zip(number, initial))
+        return pd.Series([_transfer(t, r, interval) for t, r in zip(times, reach)], dtype=object)
+
+    def chain(slices: pd.Series, initial: pd.Series) -> pd.Series:
+        return pd.Series([_chain(s, i, interval) for s, i in zip(slices, initial)], dtype=object)
+
+    steps = F.pandas_udf(reduce, "array<struct<from_ms:long,exit_ms:long>>")("times", "slice", "initial_ms")
+    tables = groups.select("key", "slice", "initial_ms", F.array_max("times").alias("last_ms"), steps.alias("steps"))
+    per_key = tables.groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("slice", "last_ms", "steps"))).alias("slices"),
+        F.first("initial_ms").alias("initial_ms"),
+    )
+    entries = F.pandas_udf(chain, "array<struct<slice:long,entry_ms:long>>")("slices", "initial_ms")
+    entry = per_key.select("key", F.explode(entries).alias("x")).select("key", "x.*")
+    decided = groups.select("key", "slice", "times", "seqs").join(entry, ["key", "slice"])
+    return decided.select("key", F.explode(_decide(interval)("times", "seqs", "entry_ms")).alias("seq"))
+
+
 # --- coalescing, cascades, applying ------------------------------------------------------------
 
 

@@ -84,7 +84,7 @@ def choose_cover(images: Column, pages: Column) -> Column:
     front = F.try_element_at(F.filter(pages, lambda p: p["_Type"] == "FrontCover"), F.lit(1))["_Image"]
     index = F.regexp_extract(front, r"^\s*([0-9]+)", 1).try_cast("int")
     listed = F.when(index.isNotNull(), F.get(ordered_images, index))
-    named = [F.try_element_at(F.filter(images, lambda m, p=p: m.rlike(p)), F.lit(1)) for p in COVER_NAMES]
+    named = [F.try_element_at(F.filter(images, lambda m: m.rlike(p)), F.lit(1)) for p in COVER_NAMES]
     return F.coalesce(listed, *named, F.try_element_at(ordered_images, F.lit(1)))
 
 

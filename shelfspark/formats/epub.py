@@ -140,7 +140,7 @@ def package_elements(parsed: DataFrame) -> DataFrame:
         F.array(*[
             F.transform(
                 F.coalesce(F.col(f"p.metadata.{n}"), F.array().cast(ELEMENT)),
-                lambda e, i, n=n: F.struct(F.lit(n).alias("name"), i.alias("pos"), e.alias("e")),
+                lambda e, i: F.struct(F.lit(n).alias("name"), i.alias("pos"), e.alias("e")),
             )
             for n in ELEMENTS
         ])

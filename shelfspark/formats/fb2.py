@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.formats.common import metadata
+from shelfspark.functions.frames import frames
 from shelfspark.functions.text import (
     clean_description,
     collapse_space,
@@ -110,12 +111,9 @@ def _body_rows(path: str, text: str) -> Iterator[tuple]:
 def fb2_sections(files: DataFrame) -> DataFrame:
     """Rows (path, section, label, size, linear, subtitles); size counts text bytes, images excluded."""
     schema = "path string, section int, label string, size long, linear string, subtitles array<string>"
-    names = [part.split(" ")[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, text in zip(batch["path"], batch["text"]):
-                yield pd.DataFrame(list(_body_rows(path, text)), columns=names)
+        return frames((row for b in batches for item in zip(b["path"], b["text"]) for row in _body_rows(*item)), schema)
 
     texts = book_texts(files).filter("text is not null")
     bare = F.regexp_replace("text", r"(?s)<binary\b.*?</binary>", "")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.functions.frames import frames
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SCHEMA = "pos int, depth int, tag string, attributes map<string,string>, text string"
 
@@ -54,16 +56,18 @@ class _Elements(HTMLParser):
 
 def html_elements(docs: DataFrame, key: str, html: str) -> DataFrame:
     """One row per element: key, pos, depth, tag, attributes, text."""
-    key_type = docs.schema[key].dataType.simpleString()
-    names = [key, *[part.split(" ")[0] for part in SCHEMA.replace("string,string", "string;string").split(", ")]]
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, {SCHEMA}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for k, text in zip(batch[key], batch[html]):
                 if text is not None:
-                    yield pd.DataFrame([(k, *row) for row in _Elements().parse(text)], columns=names)
+                    yield from ((k, *row) for row in _Elements().parse(text))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(rows(batches), schema)
 
-    return docs.select(key, html).mapInPandas(run, f"{key} {key_type}, {SCHEMA}")
+    return docs.select(key, html).mapInPandas(run, schema)
 
 
 def elements_by_class(elements: DataFrame, name: str) -> DataFrame:

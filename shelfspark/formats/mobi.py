@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.constants import EXTH_TYPES
 from shelfspark.formats.common import metadata
+from shelfspark.functions.frames import frames
 from shelfspark.functions.text import clean_description, empty_to_null, tail
 from shelfspark.sources.archives import source_column
 
@@ -59,9 +60,8 @@ def _parse(source: str | bytes) -> tuple | None:
 def mobi_headers(files: DataFrame) -> DataFrame:
     """Header, record offsets and EXTH records of each readable file."""
     source = source_column(files)
-    names = [part.strip().split(" ")[0] for part in SCHEMA.replace("type:int,data", "type:int;data").split(",")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 try:
@@ -71,7 +71,10 @@ def mobi_headers(files: DataFrame) -> DataFrame:
                 if found:
                     full_name, image, size, offsets, exth = found
                     exth = [{"type": t, "data": d} for t, d in exth]
-                    yield pd.DataFrame([(row.path, full_name, image, size, offsets, exth)], columns=names)
+                    yield row.path, full_name, image, size, offsets, exth
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(rows(batches), SCHEMA)
 
     return files.select("path", source).mapInPandas(run, SCHEMA)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.constants import COVER_RELS, REL_ACQUISITION, REL_FACET, REL_GROUP, THUMBNAIL_RELS
+from shelfspark.functions.frames import frames
 from shelfspark.functions.links import is_catalog_type
 from shelfspark.operators.links import choose_groups
 
@@ -28,10 +29,6 @@ ENTRY = (
     "published string, language string, identifier string, subjects array<struct<name:string,code:string,scheme:string>>, "
     f"rights string, content string, content_type string, links array<{LINK}>"
 )
-ENTRY_NAMES = [
-    "feed", "pos", "title", "authors", "contributors", "publisher", "published", "language", "identifier", "subjects",
-    "rights", "content", "content_type", "links",
-]
 
 
 def _all_text(e: ET.Element | None) -> str | None:
@@ -103,14 +100,17 @@ def _entries(feed: str, xml: str) -> Iterator[tuple]:
 def reader_entries(documents: DataFrame, key: str = "path", xml: str = "xml") -> DataFrame:
     """Feed documents to entry rows (pos 0 is the feed itself); a broken document gives no rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for feed, text in zip(batch[key], batch[xml]):
                 try:
-                    yield pd.DataFrame(list(_entries(feed, text)), columns=ENTRY_NAMES)
+                    yield from _entries(feed, text)
                 except (ET.ParseError, TypeError):
                     continue
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(rows(batches), ENTRY)
+
     return documents.select(key, xml).mapInPandas(run, ENTRY)
 
 
@@ -126,7 +126,7 @@ def is_publication() -> Column:
 def images() -> Column:
     """Addresses of the images: the first link of each relation, covers before thumbnails."""
     found = [
-        F.try_element_at(F.filter("links", lambda l, r=rel: has_rel(l, r)), F.lit(1))["href"]
+        F.try_element_at(F.filter("links", lambda l: has_rel(l, rel)), F.lit(1))["href"]
         for rel in [*COVER_RELS, *THUMBNAIL_RELS]
     ]
     return F.array_compact(F.array(*found))

@@ -9,8 +9,9 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from shelfspark.functions.frames import frames
+
 SCHEMA = "path string, list string, toc_path array<int>, depth int, label string, href string"
-NAMES = ["path", "list", "toc_path", "depth", "label", "href"]
 LISTS = {"toc": "toc", "page-list": "page_list", "landmarks": "landmarks"}
 EPUB_TYPE = "{http://www.idpf.org/2007/ops}type"
 
@@ -68,16 +69,17 @@ def _lists(root: ET.Element) -> Iterator[tuple[str, Iterator[tuple]]]:
 def toc_rows(documents: DataFrame) -> DataFrame:
     """Documents (path, xml) to rows in reading order; a document that is not XML gives no rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            rows = []
             for path, xml in zip(batch["path"], batch["xml"]):
                 try:
                     root = ET.fromstring(xml)
                 except (ET.ParseError, TypeError):
                     continue
                 for name, items in _lists(root):
-                    rows += [(path, name, at, len(at) - 1, label, href) for at, label, href in items]
-            yield pd.DataFrame(rows, columns=NAMES)
+                    yield from ((path, name, at, len(at) - 1, label, href) for at, label, href in items)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(rows(batches), SCHEMA)
 
     return documents.select("path", "xml").mapInPandas(run, SCHEMA)

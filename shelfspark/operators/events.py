@@ -263,13 +263,14 @@ def apply_changes(entries: DataFrame, changes: DataFrame, seq: str = "seq") -> D
     return rows.join(hits, "path", "left_anti").select(*columns)
 
 
-def delete_subtrees(entries: DataFrame, paths: DataFrame) -> DataFrame:
+def delete_subtrees(entries: DataFrame, paths: DataFrame, column: str = "path") -> DataFrame:
     """Entries without the given paths and all below them; unknown paths do no harm."""
-    above = F.explode(F.array_append(ancestor_paths(parent_path("path")), F.col("path")))
-    hits = entries.select("path", above.alias("__at")).join(
+    own = entries.select(column).distinct()
+    above = F.explode(F.array_append(ancestor_paths(parent_path(column)), F.col(column)))
+    hits = own.select(column, above.alias("__at")).join(
         paths.select(F.col("path").alias("__at")).distinct(), "__at", "left_semi"
     )
-    return entries.join(hits.select("path").distinct(), "path", "left_anti")
+    return entries.join(hits.select(column).distinct(), column, "left_anti")
 
 
 # --- statistics --------------------------------------------------------------------------------

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.functions.paths import url_to_path
 from shelfspark.operators import events as ev
-from shelfspark.queries.base import PATH, PAGES, parent_sql, query, table
-from shelfspark.functions.paths import parent_path, url_to_path
+from shelfspark.queries.base import PATH, parent_sql, query, table
+from shelfspark.session import shared_dir
+from shelfspark.sinks.tables import append_log
 from shelfspark.sources.text import parse_log
+from shelfspark.streaming.suppress import suppress_replay
 
 HOURS = 3_600_000
 INTERVAL = 4 * HOURS
@@ -85,6 +90,20 @@ def suppress_events(spark, sf_dir) -> DataFrame:
     return ev.suppress(keyed_events(spark, sf_dir), seq="event_id", interval=INTERVAL).select("event_id", "key")
 
 
+@query(SUPPRESSED)
+def suppress_events_stream(spark, sf_dir) -> DataFrame:
+    """The same rows from a stream that is stopped and started again; state goes from run to run."""
+    run = f"{shared_dir(spark)}/suppress-{uuid.uuid4().hex}"
+    events = keyed_events(spark, sf_dir)
+    write = lambda rows, batch_id: append_log(rows.select("event_id", "key"), f"{run}/out", batch_id)
+    middle = events.agg(F.percentile_approx("ms", 0.5)).first()[0]
+    for part in (F.col("ms") < middle, F.col("ms") >= middle):
+        events.filter(part).write.mode("append").parquet(f"{run}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{run}/in")
+        suppress_replay(stream, f"{run}/state", write, f"{run}/checkpoint", seq="event_id", interval=INTERVAL).awaitTermination()
+    return spark.read.parquet(f"{run}/out").select("event_id", "key")
+
+
 # One hot key: all events of the tree under one key, one accepted per hour.
 @query(f"""WITH RECURSIVE e AS (SELECT epoch_ms(ts) AS ms, min(event_id) AS event_id FROM events GROUP BY 1),
   a AS (SELECT min(ms) AS ms FROM e UNION ALL SELECT * FROM (SELECT min(e.ms) AS ms FROM a JOIN e ON e.ms >= a.ms + {HOURS}) WHERE ms IS NOT NULL)

@@ -1 +1,361 @@
-"""Queries."""
+"""Book files: every document becomes a book file of some format, made and read back by Spark tasks."""
+
+from __future__ import annotations
+
+import io
+import struct
+import tarfile
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shelfspark.formats import epub, publications
+from shelfspark.formats.comic import comic_metadata as read_comics
+from shelfspark.formats.comic import comic_sections
+from shelfspark.formats.fb2 import fb2_covers, fb2_sections
+from shelfspark.formats.fb2 import fb2_metadata as read_fb2
+from shelfspark.formats.mobi import mobi_headers, mobi_records
+from shelfspark.formats.mobi import mobi_metadata as read_mobi
+from shelfspark.formats.registry import extract_metadata
+from shelfspark.formats.reports import djvu_metadata, pdf_metadata
+from shelfspark.formats.toc import toc_rows
+from shelfspark.plans.entries import book_entries
+from shelfspark.queries.base import query, table
+from shelfspark.sources.archives import archive_members as list_members
+from shelfspark.sources.archives import archive_type, read_members
+
+CONTAINER = """<?xml version="1.0"?><container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0"><rootfiles>
+<rootfile full-path="other.xml" media-type="text/xml"/><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>"""
+OPF = """<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0">
+<metadata xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:opf="http://www.idpf.org/2007/opf">
+<dc:title>Title &amp;amp; {n}</dc:title><dc:creator id="c1" opf:role="aut">{source}</dc:creator><dc:creator id="c2">Second {n}</dc:creator>
+<dc:contributor opf:role="trl">{lang}</dc:contributor><dc:description>&lt;p&gt;About   {lang}&lt;/p&gt;</dc:description>
+<dc:publisher>Press</dc:publisher><dc:date>2021-09-12</dc:date><dc:language>{lang}</dc:language>
+<dc:subject>{source}</dc:subject><dc:subject> </dc:subject><dc:subject>{lang}</dc:subject><dc:rights>free</dc:rights>
+<dc:identifier opf:scheme="ISBN">{n}</dc:identifier><dc:identifier id="i2">10/{n}</dc:identifier>
+{cover}<meta refines="#c2" property="role" scheme="marc:relators">ill</meta><meta refines="#i2" property="identifier-type">06</meta>
+<meta property="belongs-to-collection" id="s1">Saga {lang}</meta><meta refines="#s1" property="collection-type">series</meta>
+<meta refines="#s1" property="group-position">{n}</meta></metadata>
+<manifest><item id="nav" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/><item id="t" href="text.txt" media-type="text/plain"/>
+<item id="pic" href="pic.png" media-type="image/png"{properties}/></manifest>
+<spine><itemref idref="t"/><itemref idref="missing"/><itemref idref="nav" linear="no"/></spine></package>"""
+FB2 = """<?xml version="1.0" encoding="utf-8"?><FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0" xmlns:l="http://www.w3.org/1999/xlink">
+<description><title-info><genre>{source}</genre><genre>{lang}</genre><author><first-name>Ann</first-name><last-name>{lang}</last-name></author>
+<book-title>Book {n}</book-title><annotation><p>Note &amp; one</p><p>two</p></annotation><date value="2020-01-02">then</date><coverpage><image l:href="#cover.jpg"/></coverpage>
+<lang>{lang}</lang><sequence name="Row {source}" number="1"/></title-info><publish-info><publisher>House</publisher></publish-info></description>
+<body><section><title><p>Chapter {n}</p></title><section><title><p>Inner</p></title><p>{text}</p></section></section><section><p>Last {n}</p></section></body>
+<body><section><p>Note</p></section></body><binary id="cover.jpg" content-type="image/jpeg">aGVs
+bG8=</binary></FictionBook>"""
+COMIC_INFO = """<?xml version="1.0"?><ComicInfo><Series>Series {n}</Series><Number>{number}</Number><Volume>2</Volume><Penciller>{source}</Penciller>
+<Year>1999</Year><Month>{month}</Month><Genre>{lang}, {source} ,</Genre><PageCount>3</PageCount>{pages}</ComicInfo>"""
+COMET = """<?xml version="1.0"?><comet xmlns="http://www.denvog.com/comet/"><title>Comet {n}</title><writer>W {n}</writer><language>{lang}</language><rights>r</rights></comet>"""
+NAV = """<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol>
+<li><a href="a%20{n}.html">One  {n}</a><ol><li><a href="b.html#x">Inner</a></li></ol></li><li><span title="Two"></span></li></ol></nav>
+<nav epub:type="page-list"><ol><li><a href="p{n}.html">1</a></li></ol></nav></body></html>"""
+NCX = """<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>One {n}</text></navLabel><content src="a.html"/>
+<navPoint><navLabel><text>Inner</text></navLabel><content src="b.html"/></navPoint></navPoint></navMap></ncx>"""
+
+
+def _zip(members: dict[str, str | bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, data in members.items():
+            archive.writestr(name, data)
+    return out.getvalue()
+
+
+def _tar(members: dict[str, str | bytes]) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as archive:
+        for name, data in members.items():
+            data = data.encode() if isinstance(data, str) else data
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            archive.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def _epub(n: int, text: str, lang: str, source: str) -> bytes:
+    listed = n % 3
+    opf = OPF.format(
+        n=n, lang=lang, source=source, cover='<meta name="cover" content="pic"/>' if listed == 0 else "",
+        properties=' properties="cover-image"' if listed == 1 else "",
+    )
+    return _zip({
+        "META-INF/container.xml": CONTAINER, "OEBPS/": "", "OEBPS/content.opf": opf, "OEBPS/text.txt": text,
+        "OEBPS/pic.png": b"png", "OEBPS/a-Cover.JPG": b"jpg", "OEBPS/nav.xhtml": NAV.format(n=n),
+    })
+
+
+def _comic(n: int, text: str, lang: str, source: str) -> bytes:
+    pages = '<Pages><Page Image="0"/><Page Image="1" Type="FrontCover"/></Pages>' if n % 2 == 0 else ""
+    info = COMIC_INFO.format(n=n, number=n % 4, month=n % 13, lang=lang, source=source, pages=pages)
+    members = {"page10.png": b"1", "page2.png": b"2", "Front.jpg": b"3", "ComicInfo.xml": info, "CoMet.xml": COMET.format(n=n, lang=lang), "text.txt": text}
+    return (_zip if n % 3 else _tar)(members)
+
+
+def _fb2(n: int, text: str, lang: str, source: str) -> bytes:
+    return FB2.format(n=n, lang=lang, source=source, text=escape(_xml_safe(text))).encode()
+
+
+def _xml_safe(text: str) -> str:
+    """Text without the control characters that XML does not allow."""
+    return "".join(c if c >= " " or c in "\t\n\r" else " " for c in text)
+
+
+def _mobi(n: int, text: str, lang: str, source: str) -> bytes:
+    records = [(100, source), (100, "Second"), (101, "Press\0x"), (103, f"<i>About</i>  {lang}"), (105, lang), (105, source), (106, "2021-09-12")]
+    records = [(t, v.encode()) for t, v in records] + [(201, struct.pack(">I", 1))]
+    if n % 2 == 0:
+        records.append((503, f"Long {n}".encode()))
+    exth = b"".join(struct.pack(">II", t, len(v) + 8) + v for t, v in records)
+    # A count that is too large: reading stops at the end of the record.
+    exth = b"EXTH" + struct.pack(">II", len(exth) + 12, len(records) + 1) + exth
+    name, header_size = f"Name {n}".encode(), 232
+    header = bytearray(16 + header_size)
+    header[16:20] = b"MOBI"
+    for at, value in ((20, header_size), (84, len(header) + len(exth)), (88, len(name)), (108, 2), (128, 0x40)):
+        struct.pack_into(">I", header, at, value)
+    parts = [bytes(header) + exth + name, text.encode(), b"image0", b"image1", b"end"]
+    at, offsets = 78 + 8 * len(parts), []
+    for part in parts:
+        offsets.append(at)
+        at += len(part)
+    index = b"".join(struct.pack(">II", o, 0) for o in offsets)
+    return bytes(76) + struct.pack(">H", len(parts)) + index + b"".join(parts)
+
+
+def books(spark, sf_dir, kind: str, make) -> DataFrame:
+    """One book file per document: doc_id in ``path`` as lang/doc_id.kind, bytes in ``content``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({
+                "path": [f"{r.lang}/{r.doc_id}.{kind}" for r in batch.itertuples()],
+                "content": [make(r.doc_id, r.text, r.lang, r.source) for r in batch.itertuples()],
+            })
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return docs.mapInPandas(run, "path string, content binary")
+
+
+def path_sql(kind: str) -> str:
+    return f"lang || '/' || doc_id || '.{kind}' AS path"
+
+
+@query(f"""SELECT {path_sql('epub')}, pos::INTEGER AS pos, member FROM documents, (VALUES (0, 'META-INF/container.xml'), (1, 'OEBPS/content.opf'),
+  (2, 'OEBPS/text.txt'), (3, 'OEBPS/pic.png'), (4, 'OEBPS/a-Cover.JPG'), (5, 'OEBPS/nav.xhtml')) m(pos, member)""")
+def archive_members(spark, sf_dir) -> DataFrame:
+    return list_members(books(spark, sf_dir, "epub", _epub))
+
+
+@query(f"SELECT {path_sql('epub')}, md5(text) AS digest FROM documents")
+def archive_member_text(spark, sf_dir) -> DataFrame:
+    files = books(spark, sf_dir, "epub", _epub).withColumn("wanted", F.array(F.lit("OEBPS/text.txt"), F.lit("none")))
+    rows = read_members(files).filter("member = 'OEBPS/text.txt'")
+    return rows.select("path", F.md5("data").alias("digest"))
+
+
+@query(f"SELECT {path_sql('cbz')}, CASE WHEN doc_id % 3 = 0 THEN 'tar' ELSE 'zip' END AS type FROM documents")
+def archive_types(spark, sf_dir) -> DataFrame:
+    return books(spark, sf_dir, "cbz", _comic).select("path", archive_type("content").alias("type"))
+
+
+def _meta(rows: DataFrame, *fields: str) -> DataFrame:
+    value = lambda f: F.array_join("meta.subjects", "|").alias(f) if f == "subjects" else F.col(f"meta.{f}").alias(f)
+    return rows.select("path", *[value(f) for f in fields], "cover")
+
+
+@query(f"""SELECT {path_sql('epub')}, 'Title & ' || doc_id AS title, source AS author, 'About ' || lang AS description, 'Press' AS publisher, '2021-09' AS issued,
+  lang AS language, source || '|' || lang AS subjects, 'free' AS rights, CASE WHEN doc_id % 3 < 2 THEN 'OEBPS/pic.png' ELSE 'OEBPS/a-Cover.JPG' END AS cover FROM documents""")
+def epub_metadata(spark, sf_dir) -> DataFrame:
+    rows = epub.epub_metadata(books(spark, sf_dir, "epub", _epub))
+    return _meta(rows, "title", "author", "description", "publisher", "issued", "language", "subjects", "rights")
+
+
+def epub_packages(spark, sf_dir) -> DataFrame:
+    return epub.packages(books(spark, sf_dir, "epub", _epub))
+
+
+@query(f"SELECT {path_sql('epub')}, s.section::INTEGER AS section, s.href, s.linear FROM documents, (VALUES (0, 'text.txt', NULL), (2, 'nav.xhtml', 'no')) s(section, href, linear)")
+def epub_spine(spark, sf_dir) -> DataFrame:
+    return epub.spine_sections(epub_packages(spark, sf_dir)).select("path", "section", "href", "linear")
+
+
+@query(f"SELECT {path_sql('epub')}, 'nav.xhtml' AS href FROM documents")
+def epub_navigation_item(spark, sf_dir) -> DataFrame:
+    return epub.item_by_property(epub.manifest_items(epub_packages(spark, sf_dir)), "nav")
+
+
+@query(f"""SELECT {path_sql('epub')}, unnest([source, 'Second ' || doc_id, lang]) AS person, unnest(['author', 'illustrator', 'translator']) AS role FROM documents""")
+def epub_contributors(spark, sf_dir) -> DataFrame:
+    parsed = epub_packages(spark, sf_dir)
+    return epub.contributors(epub.package_elements(parsed), epub.package_properties(parsed)).select("path", "person", "role")
+
+
+@query(f"SELECT {path_sql('epub')}, unnest(['urn:ISBN:' || doc_id, 'urn:doi:10/' || doc_id]) AS identifier FROM documents")
+def epub_identifiers(spark, sf_dir) -> DataFrame:
+    parsed = epub_packages(spark, sf_dir)
+    return epub.identifiers(epub.package_elements(parsed), epub.package_properties(parsed)).select("path", "identifier")
+
+
+@query(f"SELECT {path_sql('epub')}, 'Saga ' || lang AS collection, 'series' AS kind, doc_id::VARCHAR AS position FROM documents")
+def epub_collections(spark, sf_dir) -> DataFrame:
+    return epub.collections(epub.package_properties(epub_packages(spark, sf_dir))).drop("pos")
+
+
+@query(f"""SELECT {path_sql('epub')}, unnest(['title', 'creator', 'contributor', 'description', 'publisher', 'date', 'language', 'subject', 'rights', 'identifier']) AS name,
+  unnest([1, 2, 1, 1, 1, 1, 1, 2, 1, 2])::BIGINT AS count FROM documents""")
+def epub_elements(spark, sf_dir) -> DataFrame:
+    return epub.reader_metadata(epub.package_elements(epub_packages(spark, sf_dir))).select("path", "name", "count")
+
+
+@query(f"""SELECT {path_sql('cbz')}, 'Series ' || doc_id AS title, source AS author, '1999' || CASE WHEN doc_id % 13 > 0 THEN '-' || lpad((doc_id % 13)::VARCHAR, 2, '0') ELSE '' END AS issued,
+  lang AS language, lang || '|' || source AS subjects, 3 AS page_count, 'Series ' || doc_id || ' Vol.2' || CASE WHEN doc_id % 4 > 0 THEN ' #' || (doc_id % 4) ELSE '' END AS series,
+  'r' AS rights, CASE WHEN doc_id % 2 = 0 THEN 'page10.png' ELSE 'Front.jpg' END AS cover FROM documents""")
+def comic_metadata(spark, sf_dir) -> DataFrame:
+    rows = read_comics(books(spark, sf_dir, "cbz", _comic))
+    return _meta(rows, "title", "author", "issued", "language", "subjects", "page_count", "series", "rights")
+
+
+@query(f"SELECT {path_sql('cbz')}, s.section::BIGINT AS section, s.label FROM documents, (VALUES (0, 'Front.jpg'), (1, 'page2.png'), (2, 'page10.png')) s(section, label)")
+def comic_pages(spark, sf_dir) -> DataFrame:
+    return comic_sections(books(spark, sf_dir, "cbz", _comic))
+
+
+@query(f"""SELECT {path_sql('fb2')}, 'Book ' || doc_id AS title, 'Ann ' || lang AS author, 'Note & one two' AS description, 'House' AS publisher, '2020-01-02' AS issued,
+  lang AS language, source || '|' || lang AS subjects, 'Row ' || source AS series, 'cover.jpg' AS cover FROM documents""")
+def fb2_metadata(spark, sf_dir) -> DataFrame:
+    rows = read_fb2(books(spark, sf_dir, "fb2", _fb2))
+    return _meta(rows, "title", "author", "description", "publisher", "issued", "language", "subjects", "series")
+
+
+@query(f"SELECT {path_sql('fb2')}, 'hello' AS image FROM documents")
+def fb2_cover_images(spark, sf_dir) -> DataFrame:
+    return fb2_covers(books(spark, sf_dir, "fb2", _fb2)).select("path", F.decode("data", "UTF-8").alias("image"))
+
+
+@query(f"""SELECT {path_sql('fb2')}, s.section::INTEGER AS section, s.label || CASE WHEN s.section < 2 THEN ' ' || doc_id ELSE '' END AS label, s.linear, s.subtitles FROM documents,
+  (VALUES (0, 'Chapter', NULL, 'Inner'), (1, 'Last', NULL, ''), (2, 'Note', 'no', '')) s(section, label, linear, subtitles)""")
+def fb2_body_sections(spark, sf_dir) -> DataFrame:
+    rows = fb2_sections(books(spark, sf_dir, "fb2", _fb2))
+    return rows.select("path", "section", "label", "linear", F.array_join("subtitles", "|").alias("subtitles"))
+
+
+@query(f"""SELECT {path_sql('mobi')}, CASE WHEN doc_id % 2 = 0 THEN 'Long ' || doc_id ELSE 'Name ' || doc_id END AS title, source AS author, 'About ' || lang AS description,
+  'Press' AS publisher, '2021-09-12' AS issued, lang || '|' || source AS subjects, '3' AS cover FROM documents""")
+def mobi_metadata(spark, sf_dir) -> DataFrame:
+    rows = read_mobi(books(spark, sf_dir, "mobi", _mobi))
+    return _meta(rows, "title", "author", "description", "publisher", "issued", "subjects")
+
+
+@query(f"""SELECT {path_sql('mobi')}, r.record::INTEGER AS record, CASE r.record WHEN 1 THEN octet_length(encode(text)) WHEN 4 THEN 3 ELSE 6 END::BIGINT AS size
+  FROM documents, (VALUES (1), (2), (3), (4)) r(record)""")
+def mobi_record_spans(spark, sf_dir) -> DataFrame:
+    rows = mobi_records(mobi_headers(books(spark, sf_dir, "mobi", _mobi))).filter("record > 0")
+    return rows.select("path", "record", (F.col("end") - F.col("start")).alias("size"))
+
+
+@query("""SELECT 'd' || doc_id AS path, 'Doc ' || doc_id AS title, source AS author, '2025' AS issued, lang || '|' || source AS subjects,
+  nullif(doc_id % 7, 0)::INTEGER AS page_count FROM documents""")
+def pdf_report_metadata(spark, sf_dir) -> DataFrame:
+    report = F.format_string(
+        "Title:  Old\nTitle: Doc %d.docx\nAuthor: %s\nKeywords: %s; ,%s\nCreationDate: Mon May 5 10:00:00 2025 UTC\nPages: %d x\nPDF subtype: X\n    Title: ISO 1\nSubject:\n",
+        "doc_id", "source", "lang", "source", F.col("doc_id") % 7,
+    )
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), report.alias("report"))
+    return _meta(pdf_metadata(docs).withColumn("cover", F.lit(None)), "title", "author", "issued", "subjects", "page_count").drop("cover")
+
+
+@query("""SELECT 'd' || doc_id AS path, 'Doc ' || doc_id AS title, source AS author, '1999' AS issued, lang AS subjects, nullif(doc_id % 7, 0)::INTEGER AS page_count FROM documents""")
+def djvu_report_metadata(spark, sf_dir) -> DataFrame:
+    report = F.format_string('Title\t"Doc %d"\n Author\t"%s"\nKeywords\t"%s"\nCreationDate\t"1999-01"\nno tab\nTitle\t""\n', "doc_id", "source", "lang")
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), report.alias("report"), (F.col("doc_id") % 7).cast("string").alias("pages")
+    )
+    return _meta(djvu_metadata(docs).withColumn("cover", F.lit(None)), "title", "author", "issued", "subjects", "page_count").drop("cover")
+
+
+@query("""SELECT 'd' || doc_id AS path, l.list, l.toc_path, l.depth::INTEGER AS depth, replace(l.label, '$', doc_id::VARCHAR) AS label, replace(l.href, '$', doc_id::VARCHAR) AS href FROM documents,
+  (VALUES (0, 'toc', '0', 0, 'One $', 'a $.html'), (0, 'toc', '0.0', 1, 'Inner', 'b.html#x'), (0, 'toc', '1', 0, 'Two', NULL), (0, 'page_list', '0', 0, '1', 'p$.html'),
+  (1, 'toc', '0', 0, 'One $', 'a.html'), (1, 'toc', '0.0', 1, 'Inner', 'b.html')) l(kind, list, toc_path, depth, label, href) WHERE l.kind = doc_id % 2""")
+def contents_rows(spark, sf_dir) -> DataFrame:
+    number = F.col("doc_id").cast("string")
+    fill = lambda template: F.replace(F.lit(template), F.lit("{n}"), number)
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), number).alias("path"), F.when(F.col("doc_id") % 2 == 0, fill(NAV)).otherwise(fill(NCX)).alias("xml")
+    )
+    return toc_rows(docs).withColumn("toc_path", F.array_join(F.transform("toc_path", lambda p: p.cast("string")), "."))
+
+
+_FEED = """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:opds="http://opds-spec.org/2010/catalog" xmlns:thr="http://purl.org/syndication/thread/1.0" xmlns:dcterms="http://purl.org/dc/terms/">
+<title>F</title><link rel="http://opds-spec.org/facet" href="?l={lang}" title="{lang}" opds:facetGroup="Language" opds:activeFacet="true"/>
+<entry><title>P {n}</title><author><name>{source}</name></author><dcterms:issued>2020</dcterms:issued><category label="{lang}" term="t"/>
+<link rel="http://opds-spec.org/acquisition/buy" href="/b{n}" type="text/html"><opds:price currencycode="EUR">{n}</opds:price><opds:indirectAcquisition type="a"><opds:indirectAcquisition type="b"/></opds:indirectAcquisition></link>
+<link rel="http://opds-spec.org/image" href="/i"/><link rel="x-stanza-cover-image-thumbnail" href="/t"/><link rel="http://opds-spec.org/group" href="/g1" title="G"/></entry>
+<entry><title>N {n}</title><summary>s {lang}</summary><link href="/x"/><link rel="subsection" href="/n{n}" type="application/atom+xml;profile=opds-catalog"/><link rel="http://opds-spec.org/group" href="/g2"/><link rel="http://opds-spec.org/group" href="/g1"/></entry></feed>"""
+
+
+def reader_feeds(spark, sf_dir) -> DataFrame:
+    """One small feed per document: a facet, a publication and a navigation entry."""
+    number, xml = F.col("doc_id").cast("string"), F.lit(_FEED)
+    for name, value in (("n", number), ("lang", F.col("lang")), ("source", F.col("source"))):
+        xml = F.replace(xml, F.lit(f"{{{name}}}"), value)
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), number).alias("path"), xml.alias("xml"))
+    return publications.reader_entries(docs)
+
+
+@query("""SELECT 'f' || doc_id AS feed, 'P ' || doc_id AS title, source AS author, '2020' AS published, lang AS subject, doc_id || ' EUR a>b' AS price, '/i|/t' AS images FROM documents""")
+def feed_publications(spark, sf_dir) -> DataFrame:
+    link = F.element_at("links", 1)
+    return publications.publications(reader_feeds(spark, sf_dir)).select(
+        "feed", "title", F.element_at("authors", 1).alias("author"), "published", F.element_at("subjects", 1)["name"].alias("subject"),
+        F.concat_ws(" ", link["price"], link["currency"], F.array_join(link["indirect"], ">")).alias("price"), F.array_join("images", "|").alias("images"),
+    )
+
+
+@query("SELECT 'f' || doc_id AS feed, 'N ' || doc_id AS title, '/n' || doc_id AS href, 's ' || lang AS summary FROM documents")
+def feed_navigation(spark, sf_dir) -> DataFrame:
+    return publications.navigation(reader_feeds(spark, sf_dir)).select("feed", "title", "href", "summary")
+
+
+@query("""SELECT 'f' || doc_id AS feed, unnest([1, 2])::INTEGER AS pos, '/g1' AS "group", unnest([true, false]) AS is_publication FROM documents""")
+def feed_groups(spark, sf_dir) -> DataFrame:
+    return publications.item_groups(reader_feeds(spark, sf_dir))
+
+
+@query("SELECT 'f' || doc_id AS feed, 'Language' AS facet_group, '?l=' || lang AS href, true AS active FROM documents")
+def feed_facets(spark, sf_dir) -> DataFrame:
+    return publications.facets(reader_feeds(spark, sf_dir)).select("feed", "facet_group", "href", "active")
+
+
+_KINDS = {"epub": _epub, "cbz": _comic, "fb2": _fb2, "mobi": _mobi, "txt": lambda n, text, lang, source: text.encode()}
+
+
+def mixed_books(spark, sf_dir) -> DataFrame:
+    """One book file per document, of five formats in turn."""
+    kinds = list(_KINDS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [(kinds[r.doc_id % 5], r) for r in batch.itertuples()]
+            yield pd.DataFrame({
+                "path": [f"{r.lang}/my_{r.doc_id}.{k}" for k, r in made],
+                "content": [_KINDS[k](r.doc_id, r.text, r.lang, r.source) for k, r in made],
+            })
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return docs.mapInPandas(run, "path string, content binary")
+
+
+@query("""SELECT lang || '/my_' || doc_id || '.' || kind AS path, CASE kind WHEN 'epub' THEN 'Title & ' || doc_id WHEN 'cbz' THEN 'Series ' || doc_id WHEN 'fb2' THEN 'Book ' || doc_id
+  WHEN 'mobi' THEN CASE WHEN doc_id % 2 = 0 THEN 'Long ' ELSE 'Name ' END || doc_id ELSE 'My ' || doc_id END AS title, upper(kind) AS format, kind <> 'txt' AS has_cover
+  FROM (SELECT *, (['epub', 'cbz', 'fb2', 'mobi', 'txt'])[doc_id % 5 + 1] AS kind FROM documents)""")
+def extracted_entries(spark, sf_dir) -> DataFrame:
+    rows = extract_metadata(mixed_books(spark, sf_dir))
+    entries = book_entries(rows.select("path", F.octet_length("content").alias("size"), "meta", F.col("cover").isNotNull().alias("has_cover")))
+    return entries.select("path", "title", "format", F.col("cover").isNotNull().alias("has_cover"))

@@ -53,6 +53,12 @@ def read_table(spark: SparkSession, table: str) -> DataFrame | None:
     return spark.read.parquet(f"{table}/{version}") if version else None
 
 
+def read_version(spark: SparkSession, table: str, version: str) -> DataFrame | None:
+    """Rows of a named version; None when it was never written."""
+    fs, path = _fs(spark, table)
+    return spark.read.parquet(f"{table}/{version}") if fs.exists(path(f"{table}/{version}/_SUCCESS")) else None
+
+
 def append_log(rows: DataFrame, table: str, batch_id: int) -> None:
     """Rows of a batch in a directory of their own, so a repeated batch replaces itself."""
     rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.constants import ARCHIVE_MAGIC, TAR_MARK, TAR_MARK_OFFSET
+from shelfspark.functions.frames import frames
 from shelfspark.functions.text import col
 
 
@@ -71,16 +72,18 @@ def source_column(files: DataFrame) -> str:
 
 def map_archives(files: DataFrame, read, schema: str) -> DataFrame:
     """Rows of ``read(row, archive)`` for each archive; an unreadable one gives no rows."""
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
     source = source_column(files)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 archive = open_archive(getattr(row, source)) if getattr(row, source) is not None else None
-                rows = list(read(row, archive)) if archive else []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                if archive:
+                    with archive.file:
+                        yield from read(row, archive)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(rows(batches), schema)
 
     return files.mapInPandas(run, schema)
 
@@ -101,7 +104,7 @@ def book_texts(files: DataFrame) -> DataFrame:
     """Rows (path, text) of FB2 books: plain files, or the first ``.fb2`` member of an archive."""
     source = source_column(files)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 found, data = getattr(row, source), None
@@ -117,7 +120,10 @@ def book_texts(files: DataFrame) -> DataFrame:
                             data = file.read()
                     except OSError:
                         data = None
-                text = data.decode("utf-8", "replace").removeprefix("﻿") if data else None
-                yield pd.DataFrame({"path": [row.path], "text": [text]})
+                text = data.decode("utf-8", "replace").removeprefix("\ufeff") if data else None
+                yield row.path, text
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(rows(batches), "path string, text string")
 
     return files.select("path", source).mapInPandas(run, "path string, text string")

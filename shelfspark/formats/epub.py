@@ -123,10 +123,18 @@ def manifest_items(parsed: DataFrame) -> DataFrame:
 
 
 def spine_sections(parsed: DataFrame) -> DataFrame:
-    """Spine joined to the manifest: path, section, href, linear. Items without target are dropped."""
-    spine = parsed.select("path", F.posexplode("p.spine.itemref").alias("section", "s"))
-    spine = spine.select("path", "section", F.col("s._idref").alias("id"), F.col("s._linear").alias("linear"))
-    return spine.join(manifest_items(parsed).select("path", "id", "href"), ["path", "id"])
+    """Spine with the manifest items it names: path, section, id, href, linear.
+
+    Spine and manifest stand in the same package, so the join stays inside the row. References
+    without an item are dropped.
+    """
+    target = lambda s: F.try_element_at(F.filter("p.manifest.item", lambda i: i["_id"] == s["_idref"]), F.lit(-1))
+    spine = F.transform(
+        "p.spine.itemref",
+        lambda s: F.struct(s["_idref"].alias("id"), target(s)["_href"].alias("href"), s["_linear"].alias("linear")),
+    )
+    rows = parsed.select("path", F.posexplode(spine).alias("section", "s")).select("path", "section", "s.*")
+    return rows.filter("href is not null")
 
 
 def item_by_property(items: DataFrame, name: str) -> DataFrame:

@@ -154,12 +154,20 @@ def phrase_hits(text: Column | str, query: str, sensitivity: str = "base", whole
     first = F.collate(F.element_at(wanted, 1), collation)
     whole = F.collate(F.array_join(wanted, ""), collation)
 
+    def starts_alike(unit: Column) -> Column:
+        # Collated comparison is slow; for plain ASCII on both sides it is comparison of the letters.
+        if not query.isascii():
+            return F.collate(unit, collation) == first
+        same = (lambda c: c) if sensitivity in ("case", "variant") else F.lower
+        plain_unit = F.octet_length(unit) == F.length(unit)
+        return F.when(plain_unit, same(unit) == same(F.element_at(wanted, 1))).otherwise(F.collate(unit, collation) == first)
+
     def spans(units: Column) -> Column:
         last = F.size(units) - n + 1
 
         def is_hit(i: Column) -> Column:
             run = F.array_join(F.transform(F.slice(units, i, n), lambda u: u["t"]), "")
-            return (F.collate(F.element_at(units, i)["t"], collation) == first) & (F.collate(run, collation) == whole)
+            return starts_alike(F.element_at(units, i)["t"]) & (F.collate(run, collation) == whole)
 
         at = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: (i <= last) & is_hit(i))
         return F.transform(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.paths import url_to_path
+from shelfspark.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for costly work per row; the first one is its key."""
+    return spread(table(spark, sf_dir, name).select(*columns), columns[0])
+
+
 def page_files(spark: SparkSession, sf_dir: str, html: bool = True) -> DataFrame:
     """One row per page path: path, page_id and, on demand, html. The lowest page id wins."""
     pages = table(spark, sf_dir, "pages").withColumn("path", url_to_path("url"))

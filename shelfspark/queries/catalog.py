@@ -47,6 +47,7 @@ from shelfspark.queries.base import (
     title_sql,
     xml_text_sql,
 )
+from shelfspark.session import checkpointed
 from shelfspark.sinks.documents import feed_document_parts, folder_page_parts, part_fragments, part_headers
 from shelfspark.sinks.tables import seed_root
 
@@ -345,7 +346,7 @@ def parse_feed_entries(spark, sf_dir) -> DataFrame:
 @query(f"""SELECT folder, part, true AS same FROM (SELECT DISTINCT folder, ((pos - 1) // 1000 + 1)::INTEGER AS part FROM {NUMBERED}
   UNION ALL SELECT folder, 0 FROM {FOLDERS} UNION ALL SELECT folder, 2147483647 FROM {FOLDERS})""")
 def feed_round_trip(spark, sf_dir) -> DataFrame:
-    parts = feed_document_parts(*page_catalog(spark, sf_dir))
+    parts = checkpointed(feed_document_parts(*page_catalog(spark, sf_dir)))
     again = feed_document_parts(part_headers(parts), part_fragments(parts)).withColumnRenamed("text", "again")
     both = parts.join(again, ["folder", "part"], "left")
     return both.select("folder", "part", F.col("text").eqNullSafe(F.col("again")).alias("same"))

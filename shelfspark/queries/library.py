@@ -24,7 +24,8 @@ from shelfspark.formats.registry import extract_metadata
 from shelfspark.formats.reports import djvu_metadata, pdf_metadata
 from shelfspark.formats.toc import toc_rows
 from shelfspark.plans.entries import book_entries
-from shelfspark.queries.base import query, table
+from shelfspark.queries.base import query, table, texts
+from shelfspark.session import checkpointed
 from shelfspark.sources.archives import archive_members as list_members
 from shelfspark.sources.archives import archive_type, read_members
 
@@ -139,7 +140,7 @@ def books(spark, sf_dir, kind: str, make) -> DataFrame:
                 "content": [make(r.doc_id, r.text, r.lang, r.source) for r in batch.itertuples()],
             })
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return docs.mapInPandas(run, "path string, content binary")
 
 
@@ -178,17 +179,18 @@ def epub_metadata(spark, sf_dir) -> DataFrame:
 
 
 def epub_packages(spark, sf_dir) -> DataFrame:
-    return epub.packages(books(spark, sf_dir, "epub", _epub))
+    """Parsed package documents, written once: the tables made of them read them several times."""
+    return checkpointed(epub.packages(books(spark, sf_dir, "epub", _epub)))
 
 
 @query(f"SELECT {path_sql('epub')}, s.section::INTEGER AS section, s.href, s.linear FROM documents, (VALUES (0, 'text.txt', NULL), (2, 'nav.xhtml', 'no')) s(section, href, linear)")
 def epub_spine(spark, sf_dir) -> DataFrame:
-    return epub.spine_sections(epub_packages(spark, sf_dir)).select("path", "section", "href", "linear")
+    return epub.spine_sections(epub.packages(books(spark, sf_dir, "epub", _epub))).select("path", "section", "href", "linear")
 
 
 @query(f"SELECT {path_sql('epub')}, 'nav.xhtml' AS href FROM documents")
 def epub_navigation_item(spark, sf_dir) -> DataFrame:
-    return epub.item_by_property(epub.manifest_items(epub_packages(spark, sf_dir)), "nav")
+    return epub.item_by_property(epub.manifest_items(epub.packages(books(spark, sf_dir, "epub", _epub))), "nav")
 
 
 @query(f"""SELECT {path_sql('epub')}, unnest([source, 'Second ' || doc_id, lang]) AS person, unnest(['author', 'illustrator', 'translator']) AS role FROM documents""")
@@ -286,7 +288,7 @@ def djvu_report_metadata(spark, sf_dir) -> DataFrame:
 def contents_rows(spark, sf_dir) -> DataFrame:
     number = F.col("doc_id").cast("string")
     fill = lambda template: F.replace(F.lit(template), F.lit("{n}"), number)
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir, "documents", "doc_id").select(
         F.concat(F.lit("d"), number).alias("path"), F.when(F.col("doc_id") % 2 == 0, fill(NAV)).otherwise(fill(NCX)).alias("xml")
     )
     return toc_rows(docs).withColumn("toc_path", F.array_join(F.transform("toc_path", lambda p: p.cast("string")), "."))
@@ -305,7 +307,7 @@ def reader_feeds(spark, sf_dir) -> DataFrame:
     number, xml = F.col("doc_id").cast("string"), F.lit(_FEED)
     for name, value in (("n", number), ("lang", F.col("lang")), ("source", F.col("source"))):
         xml = F.replace(xml, F.lit(f"{{{name}}}"), value)
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), number).alias("path"), xml.alias("xml"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "lang", "source").select(F.concat(F.lit("f"), number).alias("path"), xml.alias("xml"))
     return publications.reader_entries(docs)
 
 
@@ -325,7 +327,7 @@ def feed_navigation(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT 'f' || doc_id AS feed, unnest([1, 2])::INTEGER AS pos, '/g1' AS "group", unnest([true, false]) AS is_publication FROM documents""")
 def feed_groups(spark, sf_dir) -> DataFrame:
-    return publications.item_groups(reader_feeds(spark, sf_dir))
+    return publications.item_groups(checkpointed(reader_feeds(spark, sf_dir)))
 
 
 @query("SELECT 'f' || doc_id AS feed, 'Language' AS facet_group, '?l=' || lang AS href, true AS active FROM documents")
@@ -348,7 +350,7 @@ def mixed_books(spark, sf_dir) -> DataFrame:
                 "content": [_KINDS[k](r.doc_id, r.text, r.lang, r.source) for k, r in made],
             })
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return docs.mapInPandas(run, "path string, content binary")
 
 

@@ -9,7 +9,7 @@ from shelfspark.constants import BLOCK_TAGS
 from shelfspark.formats.html import element_attributes, elements_by_class, html_elements
 from shelfspark.functions.markup import block_texts, text_segments
 from shelfspark.operators import search
-from shelfspark.queries.base import query, table
+from shelfspark.queries.base import query, table, texts
 
 NEEDLE = "ungau"
 COMMON = "tion"
@@ -24,7 +24,7 @@ def _hits(needle: str, source: str, key: str, text: str) -> str:
 
 @query(f"SELECT doc_id, hit_no::INTEGER AS hit_no, start::INTEGER AS start FROM {_hits(NEEDLE, 'documents', 'doc_id', 'text')}")
 def text_search(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return search.search_text(docs, "text", NEEDLE).select("doc_id", "hit_no", "start")
 
 
@@ -36,13 +36,13 @@ _S = r"[\s\x{00A0}]+"
   FROM (SELECT *, ltrim(regexp_replace(left(text, start::INTEGER), '{_S}', ' ', 'g')) AS b,
     rtrim(regexp_replace(substr(text, start::INTEGER + {len(NEEDLE)} + 1), '{_S}', ' ', 'g')) AS a FROM {_hits(NEEDLE, 'documents', 'doc_id', 'text')})""")
 def search_excerpts(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return search.search_text(docs, "text", NEEDLE).select("doc_id", "hit_no", "pre", "match", "post")
 
 
 @query(f"""SELECT doc_id, ((length(text) - length(replace(text, '{COMMON}', ''))) // {len(COMMON)})::BIGINT AS hits FROM documents WHERE contains(text, '{COMMON}')""")
 def hits_by_document(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     hits = F.size(search.hit_positions("text", COMMON, match_case=True)).cast("long")
     return docs.filter(F.col("text").contains(COMMON)).select("doc_id", hits.alias("hits"))
 
@@ -61,7 +61,7 @@ _FOLDED = r"strip_accents(lower(regexp_replace(regexp_replace(text, '\p{Cf}', ''
 
 @query(f"""SELECT doc_id, ((length(f) - length(replace(f, '{PHRASE}', ''))) // {len(PHRASE)})::BIGINT AS hits FROM (SELECT doc_id, {_FOLDED} AS f FROM documents) WHERE contains(f, '{PHRASE}')""")
 def phrase_search(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return search.search_phrase(docs, "text", "De  là".replace("  ", " ")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -71,7 +71,7 @@ _GAP = r"[^\p{L}\p{M}\p{N}_]+"
 
 @query(f"""SELECT doc_id, hits FROM (SELECT doc_id, len(list_filter(regexp_extract_all(text, '{_WORD}'), lambda w: lower(w) = 'der'))::BIGINT AS hits FROM documents) WHERE hits > 0""")
 def word_search(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     hits = search.search_phrase(docs, "text", "DER", "accent", whole_words=True)
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
@@ -81,7 +81,7 @@ def word_search(spark, sf_dir) -> DataFrame:
     SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_WORD}|{_GAP}') AS t FROM documents)))
   WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}\\p{{N}}_]') GROUP BY doc_id""")
 def text_words(spark, sf_dir) -> DataFrame:
-    rows = search.words(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    rows = search.words(texts(spark, sf_dir, "documents", "doc_id", "text"), "text")
     return rows.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("words"), F.sum("start").alias("starts"), F.max(F.length("word")).alias("longest")
     )
@@ -95,7 +95,7 @@ _SENTENCE = r"[^.!?…]*[.!?…]+[\"''”’)\]]*\s*|[^.!?…]+$"
     SELECT conv_id, turn, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '(?s){_SENTENCE}') AS t FROM conversations)))
   GROUP BY conv_id, turn""")
 def text_sentences(spark, sf_dir) -> DataFrame:
-    rows = search.sentences(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text")
+    rows = search.sentences(texts(spark, sf_dir, "conversations", "conv_id", "turn", "text"), "text")
     return rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("sentences"), F.sum("start").alias("starts"))
 
 
@@ -105,14 +105,14 @@ _SEGMENTS = f"list_filter(string_split_regex({_BODY}, '<[^>]*>'), lambda x: x <>
 
 @query(f"SELECT page_id, (generate_subscripts(s, 1) - 1)::INTEGER AS pos, unnest(s) AS segment FROM (SELECT page_id, {_SEGMENTS} AS s FROM pages)")
 def page_segments(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(text_segments("html")).alias("pos", "segment"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.posexplode(text_segments("html")).alias("pos", "segment"))
 
 
 @query(f"""SELECT page_id, (generate_subscripts(b, 1) - 1)::INTEGER AS pos, unnest(b) AS block FROM (SELECT page_id,
   list_filter(list_transform((string_split_regex({_BODY}, '(?i)<(?:{'|'.join(BLOCK_TAGS)})(?:[\\s/][^>]*)?>'))[2:], lambda x: regexp_replace(x, '<[^>]*>', '', 'g')),
     lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) <> '') AS b FROM pages)""")
 def text_blocks(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(block_texts("html")).alias("pos", "block"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.posexplode(block_texts("html")).alias("pos", "block"))
 
 
 @query(f"""WITH p AS (SELECT page_id, s, array_to_string(s, '') AS text, list_transform(range(1, len(s) + 1), lambda i: coalesce(list_sum(list_transform(s[1:i - 1], lambda x: length(x))), 0)) AS starts
@@ -121,7 +121,7 @@ def text_blocks(spark, sf_dir) -> DataFrame:
   n AS (SELECT h.page_id, a, e, starts, len(list_filter(starts, lambda x: x <= a)) - 1 AS start_node, len(list_filter(starts, lambda x: x <= e)) - 1 AS end_node FROM h JOIN p USING (page_id))
   SELECT page_id, start_node::INTEGER AS start_node, (a - starts[start_node + 1])::INTEGER AS start_offset, end_node::INTEGER AS end_node, (e - starts[end_node + 1])::INTEGER AS end_offset FROM n""")
 def segment_search(spark, sf_dir) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", text_segments("html").alias("segments"))
+    pages = texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", text_segments("html").alias("segments"))
     hits = search.search_segments(pages, "segments", COMMON)
     return hits.select("page_id", "start_node", "start_offset", "end_node", "end_offset")
 
@@ -129,17 +129,17 @@ def segment_search(spark, sf_dir) -> DataFrame:
 @query(r"""SELECT page_id, lower(tag) AS tag, count(*) AS elements FROM (SELECT page_id, unnest(regexp_extract_all(
   regexp_replace(html, '(?is)<!--.*?-->|(<script\b[^>]*>).*?</script\s*>', '\1', 'g'), '<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM pages) GROUP BY 1, 2""")
 def html_element_counts(spark, sf_dir) -> DataFrame:
-    elements = html_elements(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
+    elements = html_elements(texts(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html")
     return elements.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("elements"))
 
 
 @query(r"""SELECT page_id, unnest(regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1)) AS text FROM pages""")
 def html_by_class(spark, sf_dir) -> DataFrame:
-    elements = html_elements(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
+    elements = html_elements(texts(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html")
     return elements_by_class(elements, "ad").select("page_id", "text")
 
 
 @query(r"""SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1)) AS value FROM pages""")
 def html_attributes(spark, sf_dir) -> DataFrame:
-    elements = html_elements(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
+    elements = html_elements(texts(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html")
     return element_attributes(elements, "page_id").filter("tag = 'a' and name = 'href'").select("page_id", "value")

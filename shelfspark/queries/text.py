@@ -15,6 +15,7 @@ from shelfspark.queries.base import (
     query,
     size_sql,
     table,
+    texts,
     title_sql,
     xml_decode_sql,
 )
@@ -74,24 +75,24 @@ def entry_author(spark, sf_dir) -> DataFrame:
 
 @query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), '') AS description FROM pages")
 def clean_text(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", t.clean_description("html").alias("description"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", t.clean_description("html").alias("description"))
 
 
 @query("SELECT doc_id, trim(text, ' \t\n\r') AS body FROM documents")
 def strip_declaration(spark, sf_dir) -> DataFrame:
     xml = F.concat(F.lit('<?xml version="1.0"?>\n'), "text", F.lit('<?xml-stylesheet href="x"?> '))
-    return table(spark, sf_dir, "documents").select("doc_id", t.strip_xml_declaration(xml).alias("body"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", t.strip_xml_declaration(xml).alias("body"))
 
 
 @query(f"SELECT page_id, {xml_decode_sql('html')} AS decoded FROM pages")
 def decode_xml(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", t.decode_xml_entities("html").alias("decoded"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", t.decode_xml_entities("html").alias("decoded"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(html, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') || '€ A А ' || chr(128512) || ' &none; <A>' AS decoded FROM pages")
 def decode_entities(spark, sf_dir) -> DataFrame:
     text = F.concat("html", F.lit("&euro; &#65; &#1040; &#55357;&#56832; &none; &lt;&#x41;&gt;"))
-    return table(spark, sf_dir, "pages").select("page_id", t.decode_entities(text).alias("decoded"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", t.decode_entities(text).alias("decoded"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS from_day, strftime(o_orderdate, '%Y') AS from_year, NULL::VARCHAR AS from_text,
@@ -161,7 +162,7 @@ def camel_names(spark, sf_dir) -> DataFrame:
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '\"', '&quot;'), '''', '&#39;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
 def escape_html(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", t.html_escape("html").alias("escaped"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", t.html_escape("html").alias("escaped"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_mktsegment || ' ' || c_name END AS person,

@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import col, let
+from shelfspark.functions.text import col
 
 
 def _steps(path: Column) -> Column:
-    """array<array<struct<idx, offset>>>; the offset counts at the last step of a part only."""
+    """array<struct<steps, offset>>, one per part: all steps are compared before the last offset."""
 
     def part(text: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit("/([0-9]+(?::[0-9]+)?)"), F.lit(1))
-        offset = lambda s: F.when(s.contains(":"), F.substring_index(s, ":", -1).cast("long"))
-        step = lambda steps: lambda s, i: F.struct(
-            F.substring_index(s, ":", 1).cast("long").alias("idx"),
-            F.when(i == F.size(steps) - 1, offset(s)).alias("offset"),
-        )
-        return let(found, lambda steps: F.transform(steps, step(steps)))
+        found = F.regexp_extract_all(text, F.lit("/([0-9]+)"), F.lit(1))
+        offset = F.regexp_extract(text, "/[0-9]+:([0-9]+)$", 1).try_cast("long")
+        return F.struct(F.transform(found, lambda s: s.cast("long")).alias("steps"), offset.alias("offset"))
 
     return F.transform(F.split(path, "!"), part)
 

@@ -243,34 +243,43 @@ def last_changes(changes: DataFrame, seq: str = "seq") -> DataFrame:
     return changes.groupBy("path").agg(row).select("path", "r.*")
 
 
+def _deleted_above(rows: DataFrame, deleted: DataFrame, column: str) -> DataFrame:
+    """Folders in or below a deleted path: folder, seq of the last such deletion.
+
+    Works on the distinct folders of the rows, not on the rows, so a folder with very many entries
+    costs no more than any other. deleted: path, __deleted. The root is never deleted.
+    """
+    folders = rows.select(parent_path(column).alias("__folder")).distinct()
+    above = folders.select("__folder", F.explode(F.array_remove(ancestor_paths("__folder"), "")).alias("path"))
+    return above.join(deleted, "path").groupBy("__folder").agg(F.max("__deleted").alias("__above"))
+
+
 def apply_changes(entries: DataFrame, changes: DataFrame, seq: str = "seq") -> DataFrame:
     """Entries after a batch of changes. entries: path, ...; changes: path, tag, seq and entry columns.
 
     A deletion takes the whole subtree; an entry created after the deletion of a folder above it stays.
     """
     last = last_changes(changes, seq)
-    deleted = last.filter(F.col("tag").isin("BookDeleted", "FolderDeleted")).select("path", F.col(seq).alias("__deleted"))
+    deleted = last.filter(F.col("tag").isin("BookDeleted", "FolderDeleted")).select(
+        "path", F.col(seq).cast("long").alias("__deleted")
+    )
     created = last.filter(F.col("tag").isin("BookCreated", "FolderCreated"))
     columns = entries.columns
-    kept = entries.join(created, "path", "left_anti").withColumn("__made", F.lit(None).cast("long"))
-    made = created.select(*columns, F.col(seq).cast("long").alias("__made"))
-    rows = kept.select(*columns, "__made").unionByName(made)
-    # Each row meets the deletions of its own path and of the folders above it: an equi-join.
-    above = F.explode(F.array_append(ancestor_paths(parent_path("path")), F.col("path")))
-    hits = rows.select("path", "__made", above.alias("__at")).join(
-        deleted.withColumnRenamed("path", "__at"), "__at"
-    ).filter(F.col("__made").isNull() | (F.col("__made") < F.col("__deleted"))).select("path").distinct()
-    return rows.join(hits, "path", "left_anti").select(*columns)
+    # Every path with a change of its own leaves the old entries, be it created or deleted.
+    kept = entries.join(last, "path", "left_anti").withColumn("__made", F.lit(None).cast("long"))
+    rows = kept.unionByName(created.select(*columns, F.col(seq).cast("long").alias("__made")))
+    rows = rows.withColumn("__folder", parent_path("path"))
+    found = rows.join(_deleted_above(rows, deleted, "path"), "__folder", "left")
+    alive = F.col("__above").isNull() | (F.col("__made") > F.col("__above"))
+    return found.filter(F.coalesce(alive, F.lit(False))).select(*columns)
 
 
 def delete_subtrees(entries: DataFrame, paths: DataFrame, column: str = "path") -> DataFrame:
     """Entries without the given paths and all below them; unknown paths do no harm."""
-    own = entries.select(column).distinct()
-    above = F.explode(F.array_append(ancestor_paths(parent_path(column)), F.col(column)))
-    hits = own.select(column, above.alias("__at")).join(
-        paths.select(F.col("path").alias("__at")).distinct(), "__at", "left_semi"
-    )
-    return entries.join(hits.select(column).distinct(), column, "left_anti")
+    gone = paths.select("path").distinct().withColumn("__deleted", F.lit(0).cast("long"))
+    kept = entries.join(gone.select(F.col("path").alias(column)), column, "left_anti")
+    below = _deleted_above(kept, gone, column).select("__folder")
+    return kept.withColumn("__folder", parent_path(column)).join(below, "__folder", "left_anti").drop("__folder")
 
 
 # --- statistics --------------------------------------------------------------------------------

@@ -83,10 +83,11 @@ def scan_mirror(entries: DataFrame) -> DataFrame:
         F.when(F.bool_or(F.col("kind") == "book"), "book").otherwise("folder").alias("kind"),
         F.max("entry_mtime_ms").alias("entry_mtime_ms"),
     )
-    nested = rows.select("path", F.explode(ancestor_paths(parent_path("path"))).alias("__above"))
+    rows = rows.withColumn("__folder", parent_path("path"))
+    above = rows.select("__folder").distinct().select("__folder", F.explode(ancestor_paths("__folder")).alias("__above"))
     books = rows.filter("kind = 'book'").select(F.col("path").alias("__above"))
-    below = nested.join(books, "__above", "left_semi").select("path").distinct()
-    return rows.join(below, "path", "left_anti")
+    below = above.join(books, "__above", "left_semi").select("__folder").distinct()
+    return rows.join(below, "__folder", "left_anti").drop("__folder")
 
 
 def _read(path: str) -> bytes | None:

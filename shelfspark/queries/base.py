@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.paths import url_to_path
@@ -39,12 +39,14 @@ def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spread(table(spark, sf_dir, name).select(*columns), columns[0])
 
 
-def page_files(spark: SparkSession, sf_dir: str, html: bool = True) -> DataFrame:
-    """One row per page path: path, page_id and, on demand, html. The lowest page id wins."""
-    pages = table(spark, sf_dir, "pages").withColumn("path", url_to_path("url"))
-    if not html:
-        return pages.groupBy("path").agg(F.min("page_id").alias("page_id"))
-    return pages.groupBy("path").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
+def page_files(spark: SparkSession, sf_dir: str, **values: Column) -> DataFrame:
+    """One row per page path: path, page_id and further values. The lowest page id wins.
+
+    Values are computed from a page before the pages of a path are brought together, so the page
+    text itself is not shuffled.
+    """
+    pages = table(spark, sf_dir, "pages").select(url_to_path("url").alias("path"), "page_id", *[v.alias(n) for n, v in values.items()])
+    return pages.groupBy("path").agg(F.min("page_id").alias("page_id"), *[F.min_by(n, "page_id").alias(n) for n in values])
 
 
 # --- pieces of SQL -------------------------------------------------------------------------------

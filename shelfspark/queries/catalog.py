@@ -56,30 +56,30 @@ UPDATED = "2026-01-01T00:00:00.000Z"
 
 @query(f"SELECT folder, name, folder_count::BIGINT AS folder_count, book_count::BIGINT AS book_count FROM {STRUCTURE}")
 def folder_structure_of_pages(spark, sf_dir) -> DataFrame:
-    return folder_structure(page_files(spark, sf_dir, html=False))
+    return folder_structure(page_files(spark, sf_dir))
 
 
 @query(f"SELECT {parent_sql('folder')} AS folder, folder AS subfolder FROM {FOLDERS} WHERE folder <> ''")
 def subfolder_list(spark, sf_dir) -> DataFrame:
-    return folder_edges(folders_of(page_files(spark, sf_dir, html=False)))
+    return folder_edges(folders_of(page_files(spark, sf_dir)))
 
 
 @query(f"""SELECT folder, CASE WHEN folder = '' THEN 0 ELSE len(string_split(folder, '/')) END::INTEGER AS depth,
   count(*)::BIGINT AS files_below FROM (SELECT array_to_string(parts[1:i], '/') AS folder
   FROM (SELECT string_split({parent_sql('path')}, '/') AS parts FROM {PAGES}) t, range(0, 20) r(i) WHERE i <= len(parts)) GROUP BY 1, 2""")
 def files_below_folders(spark, sf_dir) -> DataFrame:
-    direct = page_files(spark, sf_dir, html=False).groupBy(parent_path("path").alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    direct = page_files(spark, sf_dir).groupBy(parent_path("path").alias("folder")).agg(F.count(F.lit(1)).alias("n"))
     above = direct.select(F.explode(ancestor_paths("folder")).alias("folder"), "n")
     return above.groupBy("folder").agg(path_depth("folder").alias("depth"), F.sum("n").alias("files_below"))
 
 
 def page_entries(spark, sf_dir) -> DataFrame:
     """Folder and book entries of the pages: folder, name, kind, title, author, summary."""
-    files = page_files(spark, sf_dir)
+    files = page_files(spark, sf_dir, title=extract_title("html"))
     name = path_name("path")
     books = files.select(
         parent_path("path").alias("folder"), name.alias("name"), F.lit("book").alias("kind"),
-        F.coalesce(empty_to_null(extract_title("html")), normalize_title(strip_extension(name))).alias("title"),
+        F.coalesce(empty_to_null("title"), normalize_title(strip_extension(name))).alias("title"),
         F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("summary"),
     )
     folders = folder_entries(folder_structure(files)).select(
@@ -107,7 +107,7 @@ def catalog_feed(spark, sf_dir) -> DataFrame:
   CASE WHEN book_count > 0 THEN 'acquisition' ELSE 'navigation' END AS kind,
   CASE WHEN s.folder = '' THEN '/feed.xml' ELSE '/' || {encode_sql('s.folder')} || '/feed.xml' END AS self_href FROM {STRUCTURE} s""")
 def feed_header_rows(spark, sf_dir) -> DataFrame:
-    structure = folder_structure(page_files(spark, sf_dir, html=False))
+    structure = folder_structure(page_files(spark, sf_dir))
     kinds = feed_kinds(page_entries(spark, sf_dir).select("folder", "kind"))
     return seed_root(feeds_of(structure, kinds, F.lit(UPDATED))).select("folder", "id", "title", "kind", "self_href")
 
@@ -116,7 +116,7 @@ def feed_header_rows(spark, sf_dir) -> DataFrame:
   {summary_sql('folder_count', 'book_count')} AS summary, '/' || {encode_sql('folder')} || '/feed.xml' AS href
   FROM {STRUCTURE} WHERE folder <> ''""")
 def folder_entry_rows(spark, sf_dir) -> DataFrame:
-    structure = folder_structure(page_files(spark, sf_dir, html=False))
+    structure = folder_structure(page_files(spark, sf_dir))
     return folder_entries(structure).select("folder", "id", "title", "summary", "href")
 
 
@@ -280,10 +280,10 @@ def metadata_merge(spark, sf_dir) -> DataFrame:
 
 def page_catalog(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Feed headers and ordered entries with their XML."""
-    files = page_files(spark, sf_dir)
+    files = page_files(spark, sf_dir, title=extract_title("html"), size=F.length("html"))
     structure = folder_structure(files)
-    meta = metadata(title=extract_title("html"))
-    books = book_entries(files.select("path", F.length("html").alias("size"), meta.alias("meta"), F.lit(False).alias("has_cover")))
+    meta = metadata(title=F.col("title"))
+    books = book_entries(files.select("path", "size", meta.alias("meta"), F.lit(False).alias("has_cover")))
     books = books.withColumn("xml", book_entry_xml(F.lit(UPDATED)))
     folders = folder_entries(structure).withColumn("xml", folder_entry_xml(F.lit(UPDATED)))
     columns = ["folder", "name", "kind", "id", "title", "author", "xml"]
@@ -396,4 +396,4 @@ def first_by_priority(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT folder, '/' || {encode_sql('folder')} || '/feed.xml' AS href FROM {FOLDERS} WHERE folder <> ''")
 def feed_addresses(spark, sf_dir) -> DataFrame:
-    return folders_of(page_files(spark, sf_dir, html=False)).filter("folder <> ''").select("folder", feed_href("folder").alias("href"))
+    return folders_of(page_files(spark, sf_dir)).filter("folder <> ''").select("folder", feed_href("folder").alias("href"))

@@ -72,7 +72,7 @@ def book_link_check(spark, sf_dir) -> DataFrame:
   SELECT page_id, pos::INTEGER AS pos, target FROM (SELECT page_id, pos, host || '/' || lang || CASE WHEN pos % 3 = 0 THEN '' ELSE href END AS target FROM {HREFS})
   WHERE target NOT IN (SELECT node FROM known)""")
 def broken_links(spark, sf_dir) -> DataFrame:
-    files = page_files(spark, sf_dir, html=False)
+    files = page_files(spark, sf_dir)
     folders = folders_of(files)
     edges = folders.filter("folder <> ''").select(parent_path("folder").alias("src"), F.col("folder").alias("dst"))
     root = spark.range(1).select(F.lit("").alias("node"))
@@ -87,7 +87,7 @@ def broken_links(spark, sf_dir) -> DataFrame:
     UNION SELECT folder, '' FROM {FOLDERS}),
   seen AS (SELECT '' AS node UNION SELECT dst FROM edges JOIN seen ON src = node) SELECT node FROM seen""")
 def reachable_feeds(spark, sf_dir) -> DataFrame:
-    folders = folders_of(page_files(spark, sf_dir, html=False))
+    folders = folders_of(page_files(spark, sf_dir))
     down = folders.filter("folder <> '' and folder not like '%/de'").select(parent_path("folder").alias("src"), F.col("folder").alias("dst"))
     back = folders.select(F.col("folder").alias("src"), F.lit("").alias("dst"))
     return reachable(down.union(back), spark.range(1).select(F.lit("").alias("node")))
@@ -149,6 +149,6 @@ def identifier_urns(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT folder, CASE WHEN folder = '' THEN '/' ELSE '/' || folder || '/' END AS page FROM {FOLDERS}")
 def browser_addresses(spark, sf_dir) -> DataFrame:
-    folders = folders_of(page_files(spark, sf_dir, html=False))
+    folders = folders_of(page_files(spark, sf_dir))
     feed = F.when(F.col("folder") == "", "/feed.xml").otherwise(F.concat(F.lit("/"), "folder", F.lit("/feed.xml")))
     return folders.select("folder", l.browser_href(feed).alias("page"))

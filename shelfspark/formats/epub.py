@@ -107,7 +107,7 @@ def package_cover() -> Column:
 
 def epub_metadata(files: DataFrame) -> DataFrame:
     """Rows (path, meta, cover); cover is the archive member with the cover image."""
-    return packages(files).filter("p is not null").select("path", package_metadata().alias("meta"), package_cover().alias("cover"))
+    return packages(files).select("path", package_metadata().alias("meta"), package_cover().alias("cover"))
 
 
 # --- package tables for the reader ---------------------------------------------------------------

@@ -23,6 +23,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pick(array: Column, start: Column, stop: Column, value=lambda x: x) -> Column:
+    """``value`` of the elements from one position to another, both counted from 1.
+
+    Spark's ``slice`` copies the whole array on every call; this touches the wanted elements only.
+    """
+    return F.transform(F.sequence(start, stop), lambda i: value(F.element_at(array, i)))
+
+
 def tail(array: Column, start: Column | int) -> Column:
     """Elements from a 1-based position to the end."""
     return F.slice(array, start, F.size(array))

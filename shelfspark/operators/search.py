@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import re
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.constants import EXCERPT_CONTEXT, SPACE_CLASS
-from shelfspark.functions.text import col, collapse_space, let, tail
+from shelfspark.functions.text import col, collapse_space, let, pick, tail
 
-CHUNK = 256
+CHUNK = 32
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.·]\p{L}[\p{L}\p{M}\p{N}_]*|[.,;'’]\p{N}[\p{L}\p{M}\p{N}_]*)*"
 GAP = r"[^\p{L}\p{M}\p{N}_]+"
 SENTENCE = r"[^.!?…]*[.!?…]+[\"'”’)\]]*\s*|[^.!?…]+$"
@@ -36,13 +37,15 @@ def piece_starts(pieces: Column) -> Column:
 
     def chunked(lengths: Column) -> Column:
         last = F.greatest(F.ceil(F.size(lengths) / CHUNK).cast("int") - 1, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK)))
+        chunk = lambda c: pick(lengths, c * CHUNK + 1, F.least((c + 1) * CHUNK, F.size(lengths)))
+        return F.transform(F.sequence(F.lit(0), last), chunk)
 
     def starts(chunks: Column) -> Column:
         totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, v: a + v))
         return F.flatten(F.zip_with(chunks, fold(totals, F.lit(0)), fold))
 
-    return let(F.transform(pieces, F.length), lambda lengths: let(chunked(lengths), starts))
+    found = let(F.transform(pieces, F.length), lambda lengths: F.when(F.size(lengths) > 0, let(chunked(lengths), starts)))
+    return F.coalesce(found, nothing)
 
 
 def _quote(text: str) -> str:
@@ -142,31 +145,43 @@ def phrase_hits(text: Column | str, query: str, sensitivity: str = "base", whole
     def tokens(c: Column) -> Column:
         return F.regexp_extract_all(c, F.lit(f"({units})"), F.lit(1))
 
+    def visible(t: Column) -> Column:
+        """One ASCII character that is no blank: the common case, decided without a pattern."""
+        return (F.octet_length(t) == 1) & (t > " ")
+
+    def is_space(t: Column) -> Column:
+        return ~visible(t) & t.rlike(rf"^[{SPACE_CLASS}]")
+
     def plain(t: Column) -> Column:
-        return F.when(t.rlike(rf"^[{SPACE_CLASS}]"), " ").otherwise(t)
+        return F.when(is_space(t), " ").otherwise(t)
 
     def placed(pieces: Column) -> Column:
-        unit = lambda t, s: F.struct(plain(t).alias("t"), s.alias("start"), (s + F.length(plain(t))).alias("end"))
-        return F.filter(F.zip_with(pieces, piece_starts(pieces), unit), lambda u: ~u["t"].rlike(r"^\p{Cf}+$"))
-
-    wanted = F.transform(tokens(F.lit(query)), plain)
-    n = F.size(wanted)
-    first = F.collate(F.element_at(wanted, 1), collation)
-    whole = F.collate(F.array_join(wanted, ""), collation)
+        end = lambda t, s: s + F.when(is_space(t), 1).otherwise(F.length(t))
+        unit = lambda t, s: F.struct(plain(t).alias("t"), s.alias("start"), end(t, s).alias("end"))
+        units = F.zip_with(pieces, piece_starts(pieces), unit)
+        return F.filter(units, lambda u: visible(u["t"]) | ~u["t"].rlike(r"^\p{Cf}+$"))
+
+    # The query is cut once, here, and not again for every position of every text.
+    cut = regex.findall(units, query)
+    wanted = [" " if regex.match(rf"[{SPACE_CLASS}]", u) else u for u in cut]
+    n = len(wanted)
+    first = F.collate(F.lit(wanted[0]), collation)
+    whole = F.collate(F.lit("".join(wanted)), collation)
 
     def starts_alike(unit: Column) -> Column:
         # Collated comparison is slow; for plain ASCII on both sides it is comparison of the letters.
         if not query.isascii():
             return F.collate(unit, collation) == first
-        same = (lambda c: c) if sensitivity in ("case", "variant") else F.lower
+        exact = sensitivity in ("case", "variant")
+        same = unit == F.lit(wanted[0]) if exact else F.lower(unit) == F.lit(wanted[0].lower())
         plain_unit = F.octet_length(unit) == F.length(unit)
-        return F.when(plain_unit, same(unit) == same(F.element_at(wanted, 1))).otherwise(F.collate(unit, collation) == first)
+        return F.when(plain_unit, same).otherwise(F.collate(unit, collation) == first)
 
     def spans(units: Column) -> Column:
         last = F.size(units) - n + 1
 
         def is_hit(i: Column) -> Column:
-            run = F.array_join(F.transform(F.slice(units, i, n), lambda u: u["t"]), "")
+            run = F.array_join(pick(units, i, i + n - 1, lambda u: u["t"]), "")
             return starts_alike(F.element_at(units, i)["t"]) & (F.collate(run, collation) == whole)
 
         at = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: (i <= last) & is_hit(i))
@@ -201,7 +216,14 @@ def placed_tokens(text: Column | str, unit: str = WORD, gap: str = GAP) -> Colum
     """array<struct<start, token>> of the words of a text."""
     pieces = F.regexp_extract_all(col(text), F.lit(f"({unit}|{gap})"), F.lit(1))
     place = lambda ps: F.zip_with(ps, piece_starts(ps), lambda t, s: F.struct(s.alias("start"), t.alias("token")))
-    return F.filter(let(pieces, place), lambda p: p["token"].rlike(r"^[\p{L}\p{M}\p{N}_]"))
+
+    def is_word(token: Column) -> Column:
+        # The first character decides; ASCII ones without a pattern.
+        code = F.ascii(token)
+        letter = code.between(97, 122) | code.between(65, 90) | code.between(48, 57) | (code == 95)
+        return F.when(code < 128, letter).otherwise(token.rlike(r"^[\p{L}\p{M}\p{N}_]"))
+
+    return F.filter(let(pieces, place), lambda p: is_word(p["token"]))
 
 
 def words(docs: DataFrame, text: str) -> DataFrame:

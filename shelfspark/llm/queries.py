@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, licenses, mixing, sharding
+from shelfspark.llm import bpe, licenses, mixing, rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,9 @@ def op7_bpe(spark, sf_dir) -> DataFrame:
 
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), path))
+
+
+@query()
+def op9_quality(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.score_documents(docs, rules.fit(docs, table(spark, sf_dir, "labels")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, licenses, mixing, rules, sharding
+from shelfspark.llm import bpe, hashing_index, licenses, mixing, rules, sharding, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,20 @@ def op7_bpe(spark, sf_dir) -> DataFrame:
 def op9_quality(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.score_documents(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+""")
+def op4_top_products(spark, sf_dir) -> DataFrame:
+    return vafile.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op6_nearest(spark, sf_dir) -> DataFrame:
+    return hashing_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

@@ -54,13 +54,6 @@ class Vocabulary:
     suffix: str
     pattern: str
     special: dict[str, int]
-    _codec: Codec | None = None
-
-    def codec(self) -> Codec:
-        """Made once per Python worker, which keeps the broadcast vocabulary between tasks."""
-        if self._codec is None:
-            self._codec = Codec(self)
-        return self._codec
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -179,12 +172,16 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, key: str = "doc_id",
     ``decoded`` is made from the ids. Null and empty texts have no ids and decode to an empty text.
     Repeated rows are encoded each. Other columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    # Plain values, as tasks need not have this package.
+    held = docs.sparkSession.sparkContext.broadcast(vars(read_vocabulary(vocabulary_path)))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     key_type = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = held.value.codec()
+        # A Python worker keeps broadcast values between tasks, and with them the words met before.
+        if "codec" not in held.value:
+            held.value["codec"] = Codec(Vocabulary(**held.value))
+        codec = held.value["codec"]
         for batch in batches:
             start, ids, decoded, size = 0, [], [], 0
             for i, value in enumerate(batch.column(1)):

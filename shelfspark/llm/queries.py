@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, hashing_index, licenses, mixing, rules, sharding, vafile, warc
+from shelfspark.llm import bpe, hashing_index, licenses, mixing, rules, sharding, suffix_tree, vafile, warc
 from shelfspark.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op3_warc(spark, sf_dir) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.read_archives(spark, folder).drop("url", "payload")
+
+
+@query()
+def op2_suffix_tree(spark, sf_dir) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, hashing_index, licenses, mixing, rules, sharding, suffix_tree, vafile, warc
+from shelfspark.llm import bpe, hashing_index, licenses, mixing, order_minhash, rules, sharding, suffix_tree, vafile, warc
 from shelfspark.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def op3_warc(spark, sf_dir) -> DataFrame:
 @query()
 def op2_suffix_tree(spark, sf_dir) -> DataFrame:
     return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_near_duplicates(spark, sf_dir) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -15,7 +15,7 @@ from shelfspark.constants import (
     SUPPRESS_INTERVAL_MS,
 )
 from shelfspark.functions.paths import ancestor_paths, join_path, loose_extension, parent_path
-from shelfspark.operators.ordered import MAX_GROUP_ROWS, number_rows, ordered
+from shelfspark.operators.ordered import number_rows, ordered
 
 IGNORED = "Ignored"
 RAW_EVENT = "parent string, name string, events string"
@@ -88,7 +88,8 @@ def valid_events(lines: DataFrame, value: str = "value") -> tuple[DataFrame, Dat
 # --- suppression -------------------------------------------------------------------------------
 
 
-MAX_KEY_ROWS = 100_000
+# Width of a slice of time, in intervals.
+SLICE_INTERVALS = 8
 LOWEST = np.iinfo(np.int64).min
 
 
@@ -142,33 +143,30 @@ def _chain(slices: list, last: float | None, interval: int) -> list[dict]:
 
 def suppress(
     events: DataFrame, key: str = "key", ms: str = "ms", seq: str = "seq", interval: int = SUPPRESS_INTERVAL_MS,
-    state: DataFrame | None = None, max_rows: int = MAX_KEY_ROWS,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Events accepted when one is let through per key and interval, counted from the last accepted one.
 
     Events are taken in the order of time, then ``seq`` (unique, integer). ``state`` (key, last_ms)
-    continues an earlier run. Repeats within one millisecond are dropped on the map side.
+    continues an earlier run. Repeats within one millisecond are dropped on the map side. A null key
+    is a key like any other.
 
-    Whether an event is accepted depends on all events of its key before it, yet a large key is not
-    handled by one task. Its time is cut in slices, each slice is reduced to the short table of what
-    it makes of any earlier state, these tables are chained per key, and then every slice is decided
-    on its own. A slice holds at most one row per millisecond of its width.
+    Whether an event is accepted depends on all events of its key before it, yet a key is never handled
+    by one task. Its time is cut in slices of ``SLICE_INTERVALS`` intervals, each slice is reduced to the
+    short table of what it makes of any earlier state, these tables are chained per key, and then every
+    slice is decided on its own. All keys go this way, whatever their size.
     """
-    first = events.groupBy(F.col(key).alias("key"), F.col(ms).cast("long").alias("ms")).agg(
+    # A struct around the key: null keys are then equal in joins.
+    first = events.groupBy(F.struct(F.col(key)).alias("key"), F.col(ms).cast("long").alias("ms")).agg(
         F.min(F.col(seq).cast("long")).alias("seq")
     )
     if state is None:
-        state = first.select("key", F.lit(None).cast("long").alias("last_ms")).limit(0)
-    state = state.select("key", F.col("last_ms").alias("initial_ms"))
-    large = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows).select("key")
-    if large.limit(1).isEmpty():
-        taken = _suppress_small(first, state, interval)
+        state = first.select("key", F.lit(None).cast("long").alias("initial_ms")).limit(0)
     else:
-        taken = _suppress_small(first.join(large, "key", "left_anti"), state, interval).unionByName(
-            _suppress_large(first.join(large, "key", "left_semi"), state, interval)
-        )
+        state = state.select(F.struct(F.col("key").alias(key)).alias("key"), F.col("last_ms").alias("initial_ms"))
+    taken = _accepted_by_slices(first, state, interval)
     winners = taken.select(F.col("key").alias("__k"), F.col("seq").alias("__seq"))
-    return events.join(winners, (F.col(key) == F.col("__k")) & (F.col(seq) == F.col("__seq")), "left_semi")
+    return events.join(winners, (F.struct(F.col(key)) == F.col("__k")) & (F.col(seq) == F.col("__seq")), "left_semi")
 
 
 def _in_order(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -184,13 +182,8 @@ def _decide(interval: int):
     return F.pandas_udf(run, "array<long>")
 
 
-def _suppress_small(rows: DataFrame, state: DataFrame, interval: int) -> DataFrame:
-    groups = _in_order(rows, ["key"]).join(state, "key", "left")
-    return groups.select("key", F.explode(_decide(interval)("times", "seqs", "initial_ms")).alias("seq"))
-
-
-def _suppress_large(rows: DataFrame, state: DataFrame, interval: int) -> DataFrame:
-    width = max(2 * interval, min(64 * interval, 4_000_000))
+def _accepted_by_slices(rows: DataFrame, state: DataFrame, interval: int) -> DataFrame:
+    width = SLICE_INTERVALS * interval
     sliced = rows.withColumn("slice", F.floor(F.col("ms") / width))
     groups = _in_order(sliced, ["key", "slice"]).join(state, "key", "left")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.constants import FEED_FILE, REL_ACQUISITION, REL_IMAGE, REL_SUBSECTION, REL_THUMBNAIL
 from shelfspark.functions.natural import natural_key
 from shelfspark.functions.text import empty_to_null, get_string, string_array
-from shelfspark.operators.ordered import MAX_GROUP_ROWS, number_rows, ordered, running_sum
+from shelfspark.operators.ordered import number_rows, ordered, running_sum
 
 XML_OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
 LINK = "array<struct<_rel:string,_href:string,_type:string>>"
@@ -90,14 +90,14 @@ def entry_order() -> list[Column]:
     return [is_book, author.isNotNull(), natural_key(author), natural_key("title"), natural_key("name"), F.col("name")]
 
 
-def order_entries(entries: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def order_entries(entries: DataFrame) -> DataFrame:
     """Position of each entry in the feed of its folder, and the number of each book among the books.
 
     Input columns: folder, name, kind, title, author. Names starting with ``_`` are not listed.
     """
     listed = entries.filter(~F.col("name").startswith("_"))
     keys = {f"__k{i}": c for i, c in enumerate(entry_order())}
-    rows = ordered(listed.withColumns(keys), ["folder"], [F.col(k) for k in keys], max_rows)
+    rows = ordered(listed.withColumns(keys), ["folder"], [F.col(k) for k in keys])
     rows = number_rows(rows, "pos")
     rows = running_sum(rows, (F.col("kind") == "book").cast("long"), "book_no")
     is_book = F.col("kind") == "book"

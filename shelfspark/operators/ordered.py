@@ -1,11 +1,11 @@
 """Ordered computations inside groups of any size: numbering, running sums, carry-forward, as-of.
 
-A plain window sends each group to one task. That is right for ordinary groups and wrong for a
-folder, book or key that holds a large part of all rows. Here a group above ``max_rows`` makes the
-rows range-partitioned by group and order, so a large group is spread over many tasks (blocks).
-The window runs inside a block, and what the earlier blocks of the group add is joined from a
-table of block totals. Neighbouring blocks share at most one group, hence that table has at most
-two rows per block and is safe to broadcast.
+A plain window sends each group to one task, which is wrong for a folder, book or key that holds a
+large part of all rows. Here rows are always range-partitioned by group and order, so any group may
+be spread over several tasks (blocks). The window runs inside a block, and what the earlier blocks
+of the group add is joined from a table of block totals. Neighbouring blocks share at most one
+group, hence that table has at most two rows per block and is safe to broadcast. There is one way
+for all sizes: the only job that runs while the plan is built is the one that writes the blocks.
 """
 
 from __future__ import annotations
@@ -17,18 +17,16 @@ from pyspark.sql import functions as F
 
 from shelfspark.session import checkpointed, shuffle_partitions
 
-MAX_GROUP_ROWS = 1_000_000
 BLOCK = "__block"
 
 
 @dataclass
 class Ordered:
-    """Rows with a block number; ``split`` tells whether groups span several blocks."""
+    """Rows with a block number."""
 
     df: DataFrame
     group: list[str]
     order: list[Column]
-    split: bool
 
     def window(self):
         return Window.partitionBy(*self.group, BLOCK).orderBy(*self.order)
@@ -37,22 +35,12 @@ class Ordered:
         return self.df.drop(BLOCK)
 
 
-def _has_large_group(df: DataFrame, group: list[str], max_rows: int) -> bool:
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return not counts.filter(F.col("n") > max_rows).limit(1).isEmpty()
-
-
-def ordered(df: DataFrame, group: list[str], order: list[Column], max_rows: int = MAX_GROUP_ROWS) -> Ordered:
-    """Prepare rows for the functions below. ``order`` must be total inside a group.
-
-    Without a group the rows are always split, as one window over everything would be one task.
-    """
-    if group and not _has_large_group(df, group, max_rows):
-        return Ordered(df.withColumn(BLOCK, F.lit(0)), group, order, False)
+def ordered(df: DataFrame, group: list[str], order: list[Column]) -> Ordered:
+    """Prepare rows for the functions below. ``order`` must be total inside a group."""
     n = shuffle_partitions(df.sparkSession)
     ranged = df.repartitionByRange(n, *[F.col(g) for g in group], *order)
     # The range bounds come from a sample, so the blocks are written once and then only read.
-    return Ordered(checkpointed(ranged.withColumn(BLOCK, F.spark_partition_id())), group, order, True)
+    return Ordered(checkpointed(ranged.withColumn(BLOCK, F.spark_partition_id())), group, order)
 
 
 def _with_offsets(rows: Ordered, total: Column, merge, name: str) -> DataFrame:
@@ -82,40 +70,36 @@ def _with_offsets(rows: Ordered, total: Column, merge, name: str) -> DataFrame:
 def number_rows(rows: Ordered, name: str) -> Ordered:
     """1-based position of each row in its group."""
     number = F.row_number().over(rows.window()).cast("long")
-    if not rows.split:
-        return Ordered(rows.df.withColumn(name, number), rows.group, rows.order, False)
     merge = lambda c, w: F.sum(c).over(w)
     df = _with_offsets(rows, F.count(F.lit(1)), merge, "__offset")
     df = df.withColumn(name, number + F.coalesce("__offset", F.lit(0))).drop("__offset")
-    return Ordered(df, rows.group, rows.order, True)
+    return Ordered(df, rows.group, rows.order)
 
 
 def running_sum(rows: Ordered, value: Column, name: str) -> Ordered:
-    """Sum of ``value`` from the first row of the group up to and including each row."""
+    """Sum of ``value`` from the first row of the group up to and including each row.
+
+    Nulls count nothing; before the first value that is not null the sum is null.
+    """
     inside = F.sum(value).over(rows.window().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    if not rows.split:
-        return Ordered(rows.df.withColumn(name, inside), rows.group, rows.order, False)
     merge = lambda c, w: F.sum(c).over(w)
-    df = _with_offsets(rows, F.sum(value), merge, "__offset")
-    df = df.withColumn(name, F.coalesce(inside, F.lit(0)) + F.coalesce("__offset", F.lit(0))).drop("__offset")
-    return Ordered(df, rows.group, rows.order, True)
+    df = _with_offsets(rows, F.sum(value), merge, "__offset").withColumn("__inside", inside)
+    both = F.coalesce(F.col("__inside") + F.col("__offset"), "__inside", "__offset")
+    return Ordered(df.withColumn(name, both).drop("__offset", "__inside"), rows.group, rows.order)
 
 
 def carry_forward(rows: Ordered, value: Column, name: str) -> Ordered:
     """Last value that is not null, at or before each row of the group."""
     upto = rows.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = F.last(value, ignorenulls=True).over(upto)
-    if not rows.split:
-        return Ordered(rows.df.withColumn(name, inside), rows.group, rows.order, False)
     # Position inside a block, to take the last value of the block by a plain aggregate.
     marked = rows.df.withColumn("__at", F.row_number().over(rows.window())).withColumn("__value", value)
-    prepared = Ordered(marked, rows.group, rows.order, True)
+    prepared = Ordered(marked, rows.group, rows.order)
     last = F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col("__at")))
     merge = lambda c, w: F.last(c, ignorenulls=True).over(w)
     df = _with_offsets(prepared, last, merge, "__carried")
     inside = F.last("__value", ignorenulls=True).over(upto)
     df = df.withColumn(name, F.coalesce(inside, F.col("__carried"))).drop("__carried", "__at", "__value")
-    return Ordered(df, rows.group, rows.order, True)
+    return Ordered(df, rows.group, rows.order)
 
 
 def as_of(
@@ -126,7 +110,6 @@ def as_of(
     right_on: str,
     payload: str,
     tie: list[str],
-    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Each left row with the ``payload`` of the last right row at or before it.
 
@@ -147,6 +130,6 @@ def as_of(
     )
     both = l.unionByName(r)
     order = [F.col("__pos"), F.col("__side"), *[F.col(f"__tie{i}") for i in range(len(tie))], F.xxhash64("__row")]
-    found = carry_forward(ordered(both, by, order, max_rows), F.col(payload), "__found").plain()
+    found = carry_forward(ordered(both, by, order), F.col(payload), "__found").plain()
     kept = found.filter("__side = 1")
     return kept.select("__row.*", F.col("__found").alias(payload))

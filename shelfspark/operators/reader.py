@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.operators.ordered import MAX_GROUP_ROWS, as_of, carry_forward, number_rows, ordered, running_sum
+from shelfspark.operators.ordered import as_of, carry_forward, number_rows, ordered, running_sum
 
 EPSILON = 2.0**-52
 
@@ -22,28 +22,27 @@ def book_totals(sections: DataFrame) -> DataFrame:
     return sections.groupBy("book").agg(F.sum(counted_size()).alias("total_size"), F.count(F.lit(1)).alias("sections"))
 
 
-def sized_sections(sections: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def sized_sections(sections: DataFrame) -> DataFrame:
     """Sections with counted size, size before and after, and the totals of their book."""
-    rows = ordered(sections.withColumn("counted", counted_size()), ["book"], [F.col("section")], max_rows)
+    rows = ordered(sections.withColumn("counted", counted_size()), ["book"], [F.col("section")])
     placed = running_sum(rows, F.col("counted"), "size_after").plain()
     placed = placed.withColumn("size_before", F.col("size_after") - F.col("counted"))
     return placed.join(book_totals(sections), "book")
 
 
-def section_fractions(sections: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def section_fractions(sections: DataFrame) -> DataFrame:
     """Share of the book before and after each section."""
     share = lambda c: F.try_divide(F.col(c).cast("double"), F.col("total_size").cast("double"))
-    return sized_sections(sections, max_rows).select(
+    return sized_sections(sections).select(
         "book", "section", share("size_before").alias("fraction_start"), share("size_after").alias("fraction_end")
     )
 
 
 def section_progress(
     sections: DataFrame, requests: DataFrame, size_per_location: float, size_per_time: float,
-    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Progress at a place in a section. requests: book, section, fraction, page_fraction."""
-    at = sized_sections(sections, max_rows).join(requests, ["book", "section"])
+    at = sized_sections(sections).join(requests, ["book", "section"])
     size = F.col("size_before") + F.col("fraction") * F.col("counted")
     after = size + F.col("page_fraction") * F.col("counted")
     return at.select(
@@ -57,12 +56,12 @@ def section_progress(
     )
 
 
-def section_at(sections: DataFrame, places: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def section_at(sections: DataFrame, places: DataFrame) -> DataFrame:
     """Section, and share of it, at a share of the book. places: book, at (one row per pair).
 
     The inverse of progress: the last section with a size that starts at or before the place.
     """
-    sized = sized_sections(sections, max_rows)
+    sized = sized_sections(sections)
     start = F.col("size_before") / F.col("total_size")
     starts = sized.filter("counted > 0").select(
         "book", "section", start.alias("start"),
@@ -70,37 +69,37 @@ def section_at(sections: DataFrame, places: DataFrame, max_rows: int = MAX_GROUP
     )
     known = book_totals(sections).select("book", (F.col("sections") - 1).alias("last_section"))
     asked = places.join(known, "book").withColumn("__shifted", F.col("at") + F.lit(EPSILON))
-    found = as_of(asked, starts, ["book"], "__shifted", "start", "hit", ["section"], max_rows)
+    found = as_of(asked, starts, ["book"], "__shifted", "start", "hit", ["section"])
     inside = (F.col("__shifted") - F.col("hit.start")) / F.col("hit.width")
     section = F.when(F.col("at") <= 0, 0).when(F.col("at") >= 1, F.col("last_section")).otherwise(F.coalesce("hit.section", F.lit(0)))
     part = F.when(F.col("at") <= 0, 0.0).when(F.col("at") >= 1, 1.0).otherwise(F.coalesce(inside, F.lit(0.0)))
     return found.select("book", "at", section.cast("long").alias("section"), part.alias("fraction"))
 
 
-def number_toc(toc: DataFrame, path: str = "toc_path", max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def number_toc(toc: DataFrame, path: str = "toc_path") -> DataFrame:
     """Depth-first number of each item from 0. ``path`` holds the positions from the top item down."""
-    numbered = number_rows(ordered(toc, ["book"], [F.col(path)], max_rows), "__no").plain()
+    numbered = number_rows(ordered(toc, ["book"], [F.col(path)]), "__no").plain()
     return numbered.withColumn("toc_id", F.col("__no") - 1).drop("__no")
 
 
-def toc_at_section(sections: DataFrame, toc: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def toc_at_section(sections: DataFrame, toc: DataFrame) -> DataFrame:
     """First table-of-contents label of each section, else that of the last section that has one.
 
     toc: book, section, toc_id, label. Before the first item the label is null.
     """
     first = toc.groupBy("book", "section").agg(F.min_by("label", "toc_id").alias("__label"))
     rows = sections.select("book", "section").join(first, ["book", "section"], "left")
-    filled = carry_forward(ordered(rows, ["book"], [F.col("section")], max_rows), F.col("__label"), "label")
+    filled = carry_forward(ordered(rows, ["book"], [F.col("section")]), F.col("__label"), "label")
     return filled.plain().drop("__label")
 
 
-def toc_at_position(places: DataFrame, toc: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def toc_at_position(places: DataFrame, toc: DataFrame) -> DataFrame:
     """Label of the last item whose anchor is not after a position in the book.
 
     places: book, position. toc: book, position, toc_id, label.
     """
     items = toc.select("book", F.col("position").alias("anchor"), "toc_id", "label")
-    return as_of(places, items, ["book"], "position", "anchor", "label", ["toc_id"], max_rows)
+    return as_of(places, items, ["book"], "position", "anchor", "label", ["toc_id"])
 
 
 def lookup_words(queries: DataFrame, words: DataFrame) -> DataFrame:

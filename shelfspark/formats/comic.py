@@ -49,7 +49,7 @@ def _read(row, archive):
 
 
 def _info(i: Column) -> Column:
-    pages = i["PageCount"].try_cast("double").cast("int")
+    pages = i["PageCount"].try_cast("double").try_cast("int")
     return metadata(
         title=F.coalesce(empty_to_null(i["Title"]), i["Series"]),
         author=F.coalesce(empty_to_null(i["Writer"]), empty_to_null(i["Penciller"]), i["CoverArtist"]),

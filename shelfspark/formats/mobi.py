@@ -80,8 +80,8 @@ def mobi_headers(files: DataFrame) -> DataFrame:
 
 
 def _utf8(data: Column) -> Column:
-    """Text up to the first zero byte."""
-    return F.substring_index(F.decode(data, "UTF-8"), "\0", 1)
+    """Text up to the first zero byte; bytes that are not UTF-8 become the replacement character."""
+    return F.substring_index(F.make_valid_utf8(data.cast("string")), "\0", 1)
 
 
 def _values(kind: str) -> Column:

@@ -14,7 +14,9 @@ def _steps(path: Column) -> Column:
     def part(text: Column) -> Column:
         found = F.regexp_extract_all(text, F.lit("/([0-9]+)"), F.lit(1))
         offset = F.regexp_extract(text, "/[0-9]+:([0-9]+)$", 1).try_cast("long")
-        return F.struct(F.transform(found, lambda s: s.cast("long")).alias("steps"), offset.alias("offset"))
+        # Numbers beyond a long are all the largest one.
+        step = lambda s: F.coalesce(s.try_cast("long"), F.lit(2**63 - 1))
+        return F.struct(F.transform(found, step).alias("steps"), offset.alias("offset"))
 
     return F.transform(F.split(path, "!"), part)
 

@@ -14,8 +14,8 @@ TERTIARY = "UNICODE"
 def natural_key(c: Column | str, collation: str = BASE) -> Column:
     """Sort key of natural order.
 
-    Each run of digits loses its leading zeros and is preceded by its length on four places, so
-    plain collated text comparison orders numbers by value (runs up to 9,999 digits). The result
+    Each run of digits loses its leading zeros and is preceded by its length on ten places, more than
+    any text needs, so plain collated text comparison orders numbers by value. The result
     is one collated string: usable in sorts, ranges, windows and joins.
     """
     raw = col(c)
@@ -23,7 +23,7 @@ def natural_key(c: Column | str, collation: str = BASE) -> Column:
     def mark(token: Column) -> Column:
         digits = F.regexp_replace(token, "^0+(?=.)", "")
         return F.when(
-            token.rlike(r"^\p{Nd}"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
+            token.rlike(r"^\p{Nd}"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
         ).otherwise(token)
 
     tokens = F.regexp_extract_all(raw, F.lit(r"(?s)(\p{Nd}+|\P{Nd}+)"), F.lit(1))

@@ -127,18 +127,27 @@ def decode_xml_entities(c: Column | str) -> Column:
 
 
 def _code_units(token: Column, base: int) -> Column:
-    """Text of a run of numeric references such as ``&#65;&#66;``; codes wrap at 65536."""
+    """Text of a run of numeric references such as ``&#65;&#66;``; codes wrap at 65536.
+
+    Halves of a pair that stand alone become the replacement character.
+    """
     pattern, start = (r"&#([0-9]+);", 10) if base == 10 else (r"(?i)&#x([0-9a-f]+);", 16)
     codes = F.regexp_extract_all(token, F.lit(pattern), F.lit(1))
     if start == 10:
         unit = lambda d: F.lpad(F.hex((d.try_cast("decimal(38,0)") % 65536).cast("int")), 4, "0")
     else:
         unit = lambda d: F.upper(F.lpad(F.right(d, F.lit(4)), 4, "0"))
-    return F.decode(F.unhex(F.array_join(F.transform(codes, unit), "")), "UTF-16BE")
+    units = F.array_join(F.transform(codes, unit), ",")
+    pairs = F.regexp_replace(units, "(D[89AB]..),(D[C-F]..)", "$1$2")
+    whole = F.regexp_replace(pairs, "(?<![0-9A-F])D[89A-F][0-9A-F]{2}(?![0-9A-F])", "FFFD")
+    return F.decode(F.unhex(F.replace(whole, F.lit(","), F.lit(""))), "UTF-16BE")
 
 
 def decode_entities(c: Column | str) -> Column:
-    """Named, then decimal, then hexadecimal references; unknown names stay as they are."""
+    """Named, then decimal, then hexadecimal references; unknown names stay as they are.
+
+    Repeated groups are possessive: the pattern engine then runs them in a loop instead of recursing.
+    """
     raw = col(c)
     names = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
 
@@ -155,10 +164,10 @@ def decode_entities(c: Column | str) -> Column:
         ),
     )
     decimal = rewrite(
-        named, "(?:&#[0-9]+;)+", "[^&]+|&", lambda t: F.when(t.startswith("&#"), _code_units(t, 10)).otherwise(t)
+        named, "(?:&#[0-9]++;)++", "[^&]+|&", lambda t: F.when(t.startswith("&#"), _code_units(t, 10)).otherwise(t)
     )
     hexed = rewrite(
-        decimal, "(?i:&#x[0-9a-f]+;)+", "[^&]+|&", lambda t: F.when(t.rlike("^&#[xX]"), _code_units(t, 16)).otherwise(t)
+        decimal, "(?:&#[xX][0-9a-fA-F]++;)++", "[^&]+|&", lambda t: F.when(t.rlike("^&#[xX]"), _code_units(t, 16)).otherwise(t)
     )
     numeric = F.when(named.contains("&#"), hexed).otherwise(named)
     return F.when(raw.contains("&"), numeric).otherwise(raw)
@@ -221,7 +230,7 @@ def format_series(name: Column | str, volume: Column | str, number: Column | str
 
 
 def year_month(year: Column | str, month: Column | str) -> Column:
-    y, m = col(year).cast("int"), col(month).cast("int")
+    y, m = col(year).try_cast("int"), col(month).try_cast("int")
     label = F.when(m.isNotNull() & (m != 0), F.format_string("%d-%02d", y, m)).otherwise(y.cast("string"))
     return F.when(y.isNotNull() & (y != 0), label)
 

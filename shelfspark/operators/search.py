@@ -16,7 +16,8 @@ from shelfspark.constants import EXCERPT_CONTEXT, SPACE_CLASS
 from shelfspark.functions.text import col, collapse_space, let, pick, tail
 
 CHUNK = 32
-WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.·]\p{L}[\p{L}\p{M}\p{N}_]*|[.,;'’]\p{N}[\p{L}\p{M}\p{N}_]*)*"
+# Possessive, so that the pattern engine loops over the parts of a word instead of recursing.
+WORD = r"[\p{L}\p{M}\p{N}_]++(?:['’.·]\p{L}[\p{L}\p{M}\p{N}_]*+|[.,;'’]\p{N}[\p{L}\p{M}\p{N}_]*+)*+"
 GAP = r"[^\p{L}\p{M}\p{N}_]+"
 SENTENCE = r"[^.!?…]*[.!?…]+[\"'”’)\]]*\s*|[^.!?…]+$"
 

@@ -68,14 +68,14 @@ def plan_summary(actions: DataFrame) -> DataFrame:
 def fingerprint(files: DataFrame) -> DataFrame:
     """Order-independent fingerprint of a listing: equal listings give equal rows.
 
-    Path, size and whole milliseconds of each file make a 60-bit hash; count, exclusive or and sum
-    of the hashes are combined on the map side, so nothing is sorted.
+    Path, size and whole milliseconds of each file make a digest, both halves of which count (60 bits
+    each); count, exclusive or and the whole sum are combined on the map side, so nothing is sorted.
     """
     line = F.concat_ws("|", "path", F.col("size").cast("string"), F.floor("mtime_ms").cast("string"))
-    digest = F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
-    return files.select("size", digest.alias("h")).agg(
+    half = lambda start: F.conv(F.substring(F.md5(line), start, 15), 16, 10).cast("long")
+    return files.select("size", half(1).bitwiseXOR(half(17)).alias("h")).agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("size").alias("bytes"),
         F.bit_xor("h").alias("hash_xor"),
-        F.sum(F.col("h") % F.lit(2**31)).alias("hash_sum"),
+        F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("hash_sum"),
     )

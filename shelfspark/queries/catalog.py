@@ -244,8 +244,9 @@ def live_folder_requests(spark, sf_dir) -> DataFrame:
     return sync.live_folders(requests, folders_of(files))
 
 
-@query(f"""SELECT count(*) AS files, sum(n_chars)::BIGINT AS bytes, bit_xor(h) AS hash_xor, sum(h % 2147483648)::BIGINT AS hash_sum FROM (
-  SELECT n_chars, ('0x' || substr(md5({DOC_PATH} || '|' || n_chars || '|' || (doc_id % 1000)), 1, 15))::BIGINT AS h FROM documents)""")
+@query(f"""SELECT count(*) AS files, sum(n_chars)::BIGINT AS bytes, bit_xor(h) AS hash_xor, sum(h)::HUGEINT::VARCHAR AS hash_sum FROM (
+  SELECT n_chars, xor(('0x' || substr(m, 1, 15))::BIGINT, ('0x' || substr(m, 17, 15))::BIGINT) AS h FROM (
+    SELECT n_chars, md5({DOC_PATH} || '|' || n_chars || '|' || (doc_id % 1000)) AS m FROM documents))""")
 def dataset_fingerprint(spark, sf_dir) -> DataFrame:
     return sync.fingerprint(document_files(spark, sf_dir).select("path", "size", "mtime_ms"))
 

@@ -39,9 +39,9 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_index_number(c: Column | str) -> Column:
-    """Number written in 64 digits, most significant first."""
+    """Number written in 64 digits, most significant first; null when it does not fit into a long."""
     digits = F.filter(F.split(col(c), ""), lambda d: d != "")
-    step = lambda acc, d: acc * 64 + F.instr(F.lit(INDEX_DIGITS), d).cast("long") - 1
+    step = lambda acc, d: F.try_add(F.try_multiply(acc, F.lit(64)), F.instr(F.lit(INDEX_DIGITS), d).cast("long") - 1)
     return F.aggregate(digits, F.lit(0).cast("long"), step)
 
 

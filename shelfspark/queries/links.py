@@ -109,25 +109,24 @@ def group_choice(spark, sf_dir) -> DataFrame:
     return choose_groups(pages.select(F.col("lang").alias("feed"), F.col("page_id").alias("pos"), links.alias("links")))
 
 
-@query("""SELECT doc_id, 'application/atom+xml' AS type, 'opds-catalog' AS profile, lang AS kind, doc_id % 2 = 0 AS is_catalog FROM documents""")
+@query("""SELECT doc_id, 'application/atom+xml' AS type, CASE WHEN doc_id % 2 = 0 THEN 'opds-catalog' ELSE 'x' END AS profile, lang AS kind, doc_id % 2 = 0 AS is_catalog FROM documents""")
 def media_type_parameters(spark, sf_dir) -> DataFrame:
     profile = F.when(F.col("doc_id") % 2 == 0, "opds-catalog").otherwise("x")
     value = F.concat(F.lit('Application/Atom+XML ; Profile="'), profile, F.lit('";kind='), "lang")
     parsed = l.parse_media_type(value)
     rows = table(spark, sf_dir, "documents").select("doc_id", parsed.alias("m"), l.is_catalog_type(value).alias("is_catalog"))
-    same = F.when(F.col("is_catalog"), F.col("m.parameters")["profile"]).otherwise("opds-catalog")
-    return rows.select("doc_id", "m.type", same.alias("profile"), F.col("m.parameters")["kind"].alias("kind"), "is_catalog")
+    return rows.select("doc_id", "m.type", F.col("m.parameters")["profile"].alias("profile"), F.col("m.parameters")["kind"].alias("kind"), "is_catalog")
 
 
 @query(f"""SELECT page_id, path AS plain, {parent_sql('path')} || '/x y.html#a' AS sibling, {parent_sql('path')} || '/' AS dirname,
-  false AS external FROM (SELECT page_id, {PATH} AS path FROM pages)""")
+  {parent_sql(parent_sql('path'))} || '/' AS up, false AS external FROM (SELECT page_id, {PATH} AS path FROM pages)""")
 def resolve_links(spark, sf_dir) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", url_to_path("url").alias("path"))
     return pages.select(
         "page_id", l.resolve_url(F.concat(F.lit("./"), path_name("path"), F.lit("?q=1")), "path").alias("plain"),
-        l.resolve_url(F.lit("../x/../" ), "path").alias("__up"), l.resolve_url(F.lit("x%20y.html?a=b#a"), "path").alias("sibling"),
+        l.resolve_url(F.lit("../x/../"), "path").alias("up"), l.resolve_url(F.lit("x%20y.html?a=b#a"), "path").alias("sibling"),
         l.dirname("path").alias("dirname"), l.is_external("path").alias("external"),
-    ).drop("__up")
+    )
 
 
 @query(f"""SELECT page_id, CASE WHEN path LIKE host || '/en/%' THEN split_part(path, '/', 3) ELSE '../' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3) END AS relative

@@ -72,8 +72,12 @@ CASES = [
     (lambda c: links.relative_path(F.lit("a/b/"), c), {"a/b/c": "c", "a/c": "../c", "x": "../../x", "a/b": ""}),
     (lambda c: links.resolve_url(c, F.lit("OPS/nav/toc.xhtml")), {
         "../text/a%20b.html?x=1#f": "OPS/text/a b.html#f", "c.html": "OPS/nav/c.html", "../../../z": "z", "/r": "r",
+        "../x/../": "OPS/", "#top": "OPS/nav/toc.xhtml#top", "a%2Fb%zz": "a%2Fb%zz", "a%2Fb%20c": "OPS/nav/a%2Fb c", "http://o.x/é": "http://o.x/%C3%A9",
+    }),
+    (lambda c: links.resolve_url(c, F.lit("http://h.x/a/b")), {
+        "../c?x=1": "http://h.x/c?x=1", "": "http://h.x/a/b", "//o.y/d/./e": "http://o.y/d/e", "é f": "http://h.x/a/%C3%A9%20f", "?q": "http://h.x/a/b?q",
+        "/r/../s/..": "http://h.x/",
     }),
-    (lambda c: links.resolve_url(c, F.lit("http://h.x/a/b")), {"../c?x=1": "http://h.x/c?x=1"}),
     (links.is_external, {"http://a": True, "blob:x": False, "a/b": False, "mailto:x": True}),
 ]
 

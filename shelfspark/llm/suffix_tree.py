@@ -41,7 +41,7 @@ CONTEXT_SHARE = 2.0**-20
 PAIR_SHARE = 2.0**-22
 WORD_SHARE = 2.0**-21
 COST = 2.0
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 PIECE = 1 << 20
 EXTRA = 0.1
 
@@ -64,12 +64,11 @@ def blocks(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndar
         key = np.zeros(len(symbols) - depth, np.int64)
         for i in range(depth + 1):
             key = key << BITS | symbols[i : i + len(key)]
-        # The first run of a piece predicts the symbol after its ``depth`` context symbols.
-        spans, starts = np.array(lengths), np.cumsum([0, *lengths[:-1]])
-        counts = spans - depth
-        begins = np.cumsum([0, *counts[:-1]])
-        at = np.repeat(starts - begins, counts) + np.arange(counts.sum())
-        return key[at], begins, np.array(owners)
+        # Runs that reach over the end of a piece are none.
+        spans = np.array(lengths)
+        whole = np.ones(len(key), bool)
+        whole[(np.cumsum(spans)[:-1, None] - depth + np.arange(depth)).ravel()] = False
+        return key[whole], np.cumsum([0, *(spans - depth)[:-1]]), np.array(owners)
 
     for owner, text in enumerate(texts):
         data = np.frombuffer(text, np.uint8).astype(np.uint16)
@@ -139,44 +138,31 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
-def grow(counts: DataFrame, depth: int, context_share: float, pair_share: float, cost: float) -> SuffixTree:
-    """The tree of ``counts`` (run, n)."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
+def grow(counts: DataFrame, total: int, depth: int, context_share: float, pair_share: float, cost: float) -> SuffixTree:
+    """The tree of ``counts`` (run, n), whose n sum up to ``total``."""
     fewest, fewest_pair = context_share * total, pair_share * total
-    tables = [counts.select(F.col("run").alias("pair"), "n")]
-    for d in range(depth - 1, -1, -1):
-        shorter = tables[0].select(F.col("pair").bitwiseAND(low(BITS * (d + 1))).alias("pair"), "n")
-        tables.insert(0, shorter.groupBy("pair").agg(F.sum("n").alias("n")))
-    nodes = []
-    for d, table in enumerate(tables):
-        split = table.select(F.shiftright("pair", BITS).alias("context"), F.col("pair").bitwiseAND(low(BITS)).alias("symbol"), "n")
-        node = split.groupBy("context").agg(
-            F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"),
-            F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("next"),  # at most SYMBOLS entries
-        ).filter(F.col("total") >= fewest)
-        if d:
-            node = node.withColumn("suffix", F.col("context").bitwiseAND(low(BITS * (d - 1))))
-        nodes.append(checkpointed(node))
-    kept: list[DataFrame] = [None] * (depth + 1)
-    for d in range(depth, -1, -1):
-        chosen = nodes[d].select("context")
-        if d:
-            above = nodes[d - 1].select(F.col("context").alias("suffix"), F.col("total").alias("total2"), F.col("next").alias("next2"))
-            gain = F.expr(
-                "aggregate(map_entries(next), 0D, (s, e) -> s + e.value * (ln(e.value / total) - ln(try_element_at(next2, e.key) / total2)))"
-            )
-            chosen = nodes[d].join(above, "suffix").filter(gain > cost * F.col("kinds")).select("context")
-        if d < depth:
-            longer = kept[d + 1].select(F.col("context").bitwiseAND(low(BITS * d)).alias("context"))
-            chosen = chosen.union(longer).distinct()
-        kept[d] = chosen
+    # Counts of all depths at once: a run gives its suffixes.
+    suffixes = [F.struct(F.lit(d).alias("d"), F.col("run").bitwiseAND(low(BITS * (d + 1))).alias("pair")) for d in range(depth + 1)]
+    levels = counts.select(F.explode(F.array(*suffixes)).alias("s"), "n").groupBy("s.d", "s.pair").agg(F.sum("n").alias("n"))
+    split = levels.select("d", F.shiftright("pair", BITS).alias("context"), F.col("pair").bitwiseAND(low(BITS)).alias("symbol"), "n")
+    nodes = checkpointed(split.groupBy("d", "context").agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"),
+        F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("next"),  # at most SYMBOLS entries
+    ).filter(F.col("total") >= fewest))
+    shorter = F.expr(f"context & (shiftleft(1L, {BITS} * (d - 1)) - 1)")
+    above = nodes.select((F.col("d") + 1).alias("d"), F.col("context").alias("suffix"), F.col("total").alias("total2"), F.col("next").alias("next2"))
+    gain = F.expr("aggregate(map_entries(next), 0D, (s, e) -> s + e.value * (ln(e.value / total) - ln(try_element_at(next2, e.key) / total2)))")
+    diverging = nodes.filter("d > 0").withColumn("suffix", shorter).join(above, ["d", "suffix"]).filter(gain > cost * F.col("kinds"))
+    closed = [F.struct(F.lit(d).alias("d"), F.col("context").bitwiseAND(low(BITS * d)).alias("context")) for d in range(depth + 1)]
+    kept = diverging.select(F.explode(F.slice(F.array(*closed), 1, F.col("d") + 1)).alias("k")).select("k.*")
+    kept = kept.union(nodes.filter("d = 0").select("d", "context")).distinct()
+    frequent = F.map_filter("next", lambda _, n: n >= fewest_pair)
+    rows = nodes.join(kept, ["d", "context"]).select("d", "context", "total", "kinds", frequent.alias("next"))
+    # Bounded: see the pigeonhole argument above.
+    held = rows.select("d", "context", "total", "kinds", F.map_keys("next").alias("s"), F.map_values("next").alias("n")).toArrow()
     tree = SuffixTree(depth)
     for d in range(depth + 1):
-        frequent = F.map_filter("next", lambda _, n: n >= fewest_pair)
-        rows = nodes[d].join(kept[d], "context").select("context", "total", "kinds", frequent.alias("next"))
-        # Bounded: see the pigeonhole argument above.
-        held = rows.select("context", "total", "kinds", F.map_keys("next").alias("s"), F.map_values("next").alias("n")).toArrow()
-        smooth(tree, d, held)
+        smooth(tree, d, held.filter(pc.equal(held.column("d"), d)))
     return tree
 
 
@@ -237,7 +223,8 @@ def score_texts(
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
     train = rows.filter(~F.col("held_out"))
-    tree = grow(checkpointed(count_runs(train, depth)), depth, context_share, pair_share, cost)
+    symbols = train.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    tree = grow(count_runs(train, depth), symbols, depth, context_share, pair_share, cost)
     counts = checkpointed(count_words(train))
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = train.count()

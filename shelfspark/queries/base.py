@@ -64,7 +64,7 @@ def name_sql(path: str) -> str:
 
 
 FOLDERS = f"""(SELECT DISTINCT array_to_string(parts[1:i], '/') AS folder
-  FROM (SELECT string_split({parent_sql('path')}, '/') AS parts FROM {PAGES}) t, range(0, 20) r(i) WHERE i <= len(parts)
+  FROM (SELECT parts, unnest(range(0, len(parts) + 1)) AS i FROM (SELECT string_split({parent_sql('path')}, '/') AS parts FROM {PAGES}))
   UNION SELECT '')"""
 # Order of punctuation before digits and letters in the root collation (fixed value).
 PUNCTUATION = " _-,;:!¡?¿.'\"«»()[]{}@*/\\&#%`^+<=>|~$"

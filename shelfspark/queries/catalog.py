@@ -264,9 +264,11 @@ def delete_subtree(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT doc_id, coalesce(CASE WHEN l.doc_id IS NOT NULL AND quality = 1 THEN 'label ' || l.doc_id END, 'doc ' || d.doc_id, '') AS title,
   coalesce(CASE WHEN toxic = 1 THEN 'toxic' END, lang) AS language, coalesce(nullif(quality, 0), nullif(n_chars % 3, 0))::INTEGER AS page_count
-  FROM (SELECT * FROM documents WHERE doc_id % 10 > 0) d FULL JOIN labels l USING (doc_id)""")
+  FROM documents d FULL JOIN (SELECT doc_id + 3 AS doc_id, quality, toxic FROM labels) l USING (doc_id)""")
 def metadata_merge(spark, sf_dir) -> DataFrame:
-    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").filter("doc_id % 10 > 0")
+    # Labels of shifted ids: some of them have no document.
+    labels = table(spark, sf_dir, "labels").withColumn("doc_id", F.col("doc_id") + 3)
+    docs = table(spark, sf_dir, "documents")
     number = lambda prefix: F.concat(F.lit(prefix), F.col("doc_id").cast("string"))
     first = labels.select("doc_id", metadata(
         title=F.when(F.col("quality") == 1, number("label ")), language=F.when(F.col("toxic") == 1, "toxic").otherwise(""),
@@ -366,12 +368,12 @@ def page_profiles(spark, sf_dir) -> DataFrame:
     return profile_feeds(parts.select(path.alias("path"), F.col("text").alias("xml")))
 
 
-@query(f"""WITH p AS (SELECT f.folder, f.folder || '/feed.xml' AS path, count(n.xml) AS entries,
+@query(f"""WITH p AS (SELECT f.folder, CASE WHEN f.folder = '' THEN '' ELSE f.folder || '/' END || 'feed.xml' AS path, count(n.xml) AS entries,
     max(greatest(length({xml_text_sql(title_sql('f.name'))}), coalesce(length({xml_text_sql('n.title')}), 0))) AS longest, bool_or(n.kind = 'book') AS books
-  FROM {STRUCTURE} f JOIN {NUMBERED} n ON n.folder = f.folder WHERE f.folder <> '' GROUP BY f.folder, f.name)
-  SELECT path, entries::INTEGER AS entries, len(string_split(path, '/'))::INTEGER AS depth, books AS book_without_cover, longest::INTEGER AS max_title_length FROM p""")
+  FROM {STRUCTURE} f JOIN {NUMBERED} n ON n.folder = f.folder GROUP BY f.folder, f.name)
+  SELECT path, entries::INTEGER AS entries, len(string_split(path, '/'))::INTEGER AS depth, books AS book_without_cover, false AS cyrillic, longest::INTEGER AS max_title_length FROM p""")
 def feed_profiles(spark, sf_dir) -> DataFrame:
-    return page_profiles(spark, sf_dir).filter("path <> 'feed.xml'").drop("cyrillic")
+    return page_profiles(spark, sf_dir)
 
 
 @query(f"""WITH p AS (SELECT CASE WHEN f.folder = '' THEN 'feed.xml' ELSE f.folder || '/feed.xml' END AS path, count(n.xml) AS entries

@@ -121,13 +121,14 @@ def coalesce_requests(spark, sf_dir) -> DataFrame:
     return ev.coalesce_requests(rows)
 
 
-_CHANGED = f"(SELECT DISTINCT {PATH} AS path FROM pages WHERE page_id % 10 = 0)"
+_CHANGED = f"(SELECT DISTINCT {PATH} AS path FROM pages)"
 
 
 @query(f"""SELECT DISTINCT folder, CASE WHEN folder = '' THEN 0 ELSE len(string_split(folder, '/')) END::INTEGER AS depth FROM (
-  SELECT array_to_string(parts[1:i], '/') AS folder FROM (SELECT string_split({parent_sql('path')}, '/') AS parts FROM {_CHANGED}) t, range(0, 20) r(i) WHERE i <= len(parts))""")
+  SELECT array_to_string(parts[1:i], '/') AS folder FROM (
+    SELECT parts, unnest(range(0, len(parts) + 1)) AS i FROM (SELECT string_split({parent_sql('path')}, '/') AS parts FROM {_CHANGED})))""")
 def cascade_folders(spark, sf_dir) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").filter("page_id % 10 = 0").select(url_to_path("url").alias("path"), F.lit("BookCreated").alias("tag"))
+    pages = table(spark, sf_dir, "pages").select(url_to_path("url").alias("path"), F.lit("BookCreated").alias("tag"))
     return ev.cascade(pages)
 
 

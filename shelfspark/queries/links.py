@@ -99,14 +99,17 @@ def link_groups(spark, sf_dir) -> DataFrame:
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("links"), F.min("page_id").alias("first_page"))
 
 
-# Each page is an entry of the feed of its language; its first two links are group links.
-@query()
+# Each page is an entry of the feed of its language; all its links are group links.
+@query(f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY pos) AS n FROM (
+    SELECT lang AS feed, page_id AS pos, list(href ORDER BY pos) AS links FROM {HREFS} GROUP BY lang, page_id)),
+  walk AS (SELECT feed, pos, n, links[1] AS chosen, [links[1]] AS opened FROM e WHERE n = 1
+    UNION ALL SELECT feed, pos, n, c, CASE WHEN list_contains(opened, c) THEN opened ELSE list_append(opened, c) END FROM (
+      SELECT e.feed, e.pos, e.n, w.opened, coalesce(list_filter(e.links, lambda x: list_contains(w.opened, x))[1], e.links[1]) AS c
+      FROM walk w JOIN e ON e.feed = w.feed AND e.n = w.n + 1))
+  SELECT feed, pos, chosen AS "group" FROM walk""")
 def group_choice(spark, sf_dir) -> DataFrame:
-    pages = page_links(spark, sf_dir).filter("pos <= 2").groupBy("lang", "page_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "href"))).alias("l")
-    )
-    links = F.transform("l", lambda x: F.substring(x["href"], 1, 3))
-    return choose_groups(pages.select(F.col("lang").alias("feed"), F.col("page_id").alias("pos"), links.alias("links")))
+    pages = page_links(spark, sf_dir).groupBy("lang", "page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "href"))).alias("l"))
+    return choose_groups(pages.select(F.col("lang").alias("feed"), F.col("page_id").alias("pos"), F.col("l.href").alias("links")))
 
 
 @query("""SELECT doc_id, 'application/atom+xml' AS type, CASE WHEN doc_id % 2 = 0 THEN 'opds-catalog' ELSE 'x' END AS profile, lang AS kind, doc_id % 2 = 0 AS is_catalog FROM documents""")

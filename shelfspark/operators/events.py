@@ -75,8 +75,9 @@ def valid_events(lines: DataFrame, value: str = "value") -> tuple[DataFrame, Dat
     """JSON lines to (good events, rejected lines): the three fields must be there and be texts."""
     text = F.col(value)
     parsed = lines.withColumn("__e", F.from_json(text, RAW_EVENT, {"mode": "PERMISSIVE"}))
-    # The parser turns numbers and booleans into texts, so the raw value must be a quoted one.
-    is_text = lambda f: F.regexp_extract(text, rf'"{f}"\s*:\s*(")', 1) == '"'
+    # The parser turns numbers and booleans into texts, so the kind of the value itself is asked for.
+    variant = F.try_parse_json(text)
+    is_text = lambda f: F.schema_of_variant(F.try_variant_get(variant, f"$.{f}", "variant")) == "STRING"
     fine = F.lit(True)
     for field in ("parent", "name", "events"):
         fine = fine & F.col(f"__e.{field}").isNotNull() & is_text(field)

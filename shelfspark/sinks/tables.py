@@ -59,6 +59,29 @@ def read_version(spark: SparkSession, table: str, version: str) -> DataFrame | N
     return spark.read.parquet(f"{table}/{version}") if fs.exists(path(f"{table}/{version}/_SUCCESS")) else None
 
 
+def version_before(spark: SparkSession, table: str, prefix: str, number: int) -> str | None:
+    """The written version with the largest number below ``number`` (names: prefix and number)."""
+    fs, path = _fs(spark, table)
+    if not fs.exists(path(table)):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(path(table))]
+    numbers = [int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit()]
+    for found in sorted((n for n in numbers if n < number), reverse=True):
+        if fs.exists(path(f"{table}/{prefix}{found}/_SUCCESS")):
+            return f"{prefix}{found}"
+    return None
+
+
+def expire_versions(spark: SparkSession, table: str, keep: int) -> None:
+    """Delete all but the newest ``keep`` versions; the current one always stays."""
+    fs, path = _fs(spark, table)
+    current = current_version(spark, table)
+    folders = [s for s in fs.listStatus(path(table)) if s.isDirectory() and s.getPath().getName() != current]
+    folders.sort(key=lambda s: s.getModificationTime(), reverse=True)
+    for old in folders[max(keep - 1, 0) :]:
+        fs.delete(old.getPath(), True)
+
+
 def append_log(rows: DataFrame, table: str, batch_id: int) -> None:
     """Rows of a batch in a directory of their own, so a repeated batch replaces itself."""
     rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")

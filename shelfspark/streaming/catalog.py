@@ -1,15 +1,19 @@
 """The catalog as a stream job: events in, entries and feeds kept up to date.
 
 Each micro-batch is validated, classified, suppressed, applied to the entries table, and the folders
-it touches are rebuilt once, after all its changes. Rows that cannot be handled go to a dead-letter
-table and never stop the stream. A marker line (lost events) rebuilds everything from a listing.
+it touches are rebuilt once, after all its changes. Events whose handler fails go to a dead-letter
+table one by one: the other events of their batch are applied and the stream goes on. Failures that
+are not those of a row (storage, lost executors) end the query, which repeats the batch when it is
+started again. A marker (lost events) rebuilds everything from a listing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +29,12 @@ from shelfspark.operators.events import (
 )
 from shelfspark.operators.feeds import order_entries
 from shelfspark.session import checkpointed
-from shelfspark.sinks.tables import append_log, publish, read_table
+from shelfspark.sinks.tables import append_log, expire_versions, publish, read_table
 from shelfspark.streaming.suppress import replay_batch
 
 OVERFLOW = "IN_Q_OVERFLOW"
+# Messages of failures that have nothing to do with a row (fixed values).
+INFRASTRUCTURE = ("ExecutorLost", "FetchFailed", "No space left", "Connection", "OutOfMemory", "FileNotFound", "FILE_NOT_EXIST")
 
 # A handler turns the changes of one tag (path, tag, seq) into entry rows, which it may enrich.
 Handler = Callable[[DataFrame], DataFrame]
@@ -44,6 +50,7 @@ class CatalogStream:
     compat: bool = False
     resync: Callable[[SparkSession], DataFrame] | None = None
     handlers: dict[str, Handler] = field(default_factory=dict)
+    keep_versions: int = 5
 
     def register(self, tag: str, handler: Handler) -> None:
         self.handlers[tag] = handler
@@ -59,17 +66,37 @@ class CatalogStream:
         typed = classify(good).withColumn("path", F.lit(None).cast("string"))
         return typed.withColumn("path", relative_to(self.root, event_path())), bad
 
-    def entry_rows(self, changes: DataFrame) -> DataFrame:
-        """Changes with their entry columns, each tag through its handler."""
-        known = list(self.handlers)
+    def entry_rows(self, changes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """Changes with their entry columns, each tag through its handler, and the changes that failed."""
+        known, failed = list(self.handlers), []
         rows = changes.filter(~F.col("tag").isin(known)) if known else changes
         for tag, handler in self.handlers.items():
-            rows = rows.unionByName(handler(changes.filter(F.col("tag") == tag)), allowMissingColumns=True)
-        return rows
+            for part in self.handled(handler, changes.filter(F.col("tag") == tag), failed):
+                rows = rows.unionByName(part, allowMissingColumns=True)
+        return rows, failed
+
+    def handled(self, handler: Handler, changes: DataFrame, failed: list[DataFrame]) -> list[DataFrame]:
+        """Results of a handler. If it fails, the changes are halved until the failing ones stand alone."""
+        try:
+            return [checkpointed(handler(changes))]
+        except PySparkException as error:
+            if any(word in str(error) for word in INFRASTRUCTURE):
+                raise
+            low, middle, high = changes.agg(F.min("seq"), F.percentile_approx("seq", 0.5), F.max("seq")).first()
+            if low == high:
+                failed.append(changes.withColumn("error", F.lit(str(error))))
+                return []
+            cut = middle if middle < high else high - 1
+            halves = (changes.filter(F.col("seq") <= cut), changes.filter(F.col("seq") > cut))
+            return [part for half in halves for part in self.handled(handler, half, failed)]
+
+    def publish(self, rows: DataFrame, name: str, batch_id: int) -> None:
+        publish(rows, self.table(name), f"b{batch_id}")
+        expire_versions(rows.sparkSession, self.table(name), self.keep_versions)
 
     def full_rebuild(self, spark: SparkSession, batch_id: int) -> None:
         entries = self.resync(spark)
-        publish(entries, self.table("entries"), f"b{batch_id}")
+        self.publish(entries, "entries", batch_id)
         self.rebuild_feeds(spark, batch_id, None)
 
     def rebuild_feeds(self, spark: SparkSession, batch_id: int, changes: DataFrame | None) -> None:
@@ -84,14 +111,18 @@ class CatalogStream:
         if feeds is not None and touched is not None:
             kept = delete_subtrees(feeds, changes.filter("tag = 'FolderDeleted'"), "folder")
             rebuilt = rebuilt.unionByName(kept.join(touched.select("folder"), "folder", "left_anti"))
-        publish(rebuilt, self.table("feeds"), f"b{batch_id}")
+        self.publish(rebuilt, "feeds", batch_id)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        overflow = F.col("value").contains(OVERFLOW)
+        # The marker is the whole line or one of the event kinds of a line; a name may contain the word.
+        kinds = F.split(F.coalesce(F.get_json_object("value", "$.events"), F.lit("")), ",")
+        overflow = F.coalesce((F.trim("value") == OVERFLOW) | F.array_contains(kinds, OVERFLOW), F.lit(False))
         if self.resync is not None and not batch.filter(overflow).limit(1).isEmpty():
             return self.full_rebuild(spark, batch_id)
+        # Without a listing to rebuild from, markers are kept with the rejected lines.
         typed, bad = self.typed(batch.filter(~overflow))
+        bad = bad.unionByName(batch.filter(overflow).select(*bad.columns))
         append_log(bad, self.table("rejected"), batch_id)
         accepted = checkpointed(replay_batch(typed, batch_id, self.table("state"), interval=self.interval))
         append_log(accepted.select("seq", "ms", "tag", "path"), self.table("event_log"), batch_id)
@@ -99,25 +130,23 @@ class CatalogStream:
             return None
         changes = accepted.select("path", "tag", "seq")
         entries = read_table(spark, self.table("entries"))
-        rows = self.entry_rows(changes)
+        rows, failed = self.entry_rows(changes)
+        if failed:
+            append_log(reduce(DataFrame.unionByName, failed), self.table("dead_letters"), batch_id)
+            changes = changes.join(rows.select("seq"), "seq", "left_semi")
+            if changes.isEmpty():
+                return None
         if entries is None:
             entries = spark.createDataFrame([], rows.drop("tag", "seq").schema)
         missing = [c for c in entries.columns if c not in rows.columns]
         rows = rows.withColumns({c: F.lit(None).cast(entries.schema[c].dataType) for c in missing})
-        publish(apply_changes(entries, rows), self.table("entries"), f"b{batch_id}")
+        self.publish(apply_changes(entries, rows), "entries", batch_id)
         self.rebuild_feeds(spark, batch_id, changes)
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger):
         """Start on a stream of lines (seq, ms, value); by default all that is there, then stop."""
 
-        def run(batch: DataFrame, batch_id: int) -> None:
-            try:
-                self.process(batch, batch_id)
-            except Exception as error:  # noqa: BLE001 - a failed batch is kept aside, the stream goes on
-                failed = batch.withColumn("error", F.lit(str(error)[:2000]))
-                append_log(failed, self.table("dead_letters"), batch_id)
-
-        writer = lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        writer = lines.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 

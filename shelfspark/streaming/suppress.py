@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shelfspark.constants import SUPPRESS_IDLE_MS, SUPPRESS_INTERVAL_MS
 from shelfspark.operators.events import suppress
-from shelfspark.sinks.tables import publish, read_version
+from shelfspark.sinks.tables import publish, read_version, version_before
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -66,10 +66,12 @@ def replay_batch(
 ) -> DataFrame:
     """Accepted events of one micro-batch; the state table (key, last_ms) gets a version per batch.
 
-    State is read from the version of the batch before, so a repeated batch gives the same rows.
+    State is read from the latest version before this batch, so a repeated batch gives the same rows and
+    a batch without events in between loses nothing.
     """
     spark = batch.sparkSession
-    state = read_version(spark, state_table, f"v{batch_id - 1}") if batch_id > 0 else None
+    before = version_before(spark, state_table, "v", batch_id)
+    state = read_version(spark, state_table, before) if before else None
     accepted = suppress(batch, key, ms, seq, interval, state=state)
     last = accepted.groupBy(F.col(key).alias("key")).agg(F.max(F.col(ms).cast("long")).alias("last_ms"))
     if state is not None:

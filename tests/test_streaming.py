@@ -84,6 +84,45 @@ def test_failing_handler_does_not_stop_the_stream(spark):
     assert [r.seq for r in dead] == [1] and "bad book" in dead[0].error
 
 
+def test_bad_event_leaves_the_others_of_its_batch_alone(spark):
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    job = CatalogStream("/books", f"{base}/tables", keep_versions=2)
+    bad = F.when(F.col("path").contains("bad"), F.raise_error(F.lit("bad book"))).otherwise(F.lit("fine"))
+    job.register("BookCreated", lambda df: default_entries(df).withColumn("title", bad))
+    names = ["a", "bad1", "b", "c", "bad2", "d", "e"]
+    batches = [
+        [(i, 10 * i, raw("/books/", f"{n}.epub", "CLOSE_WRITE")) for i, n in enumerate(names)],
+        [(20, 5000, raw("/books/", "f.epub", "CLOSE_WRITE"))], [(21, 6000, raw("/books/", "g.epub", "CLOSE_WRITE"))],
+    ]
+    job.start(stream_of(spark, base, batches), f"{base}/checkpoint").awaitTermination()
+    assert sorted(r.path for r in read_table(spark, f"{base}/tables/entries").collect()) == [f"{n}.epub" for n in "abcdefg"]
+    assert sorted(r.seq for r in spark.read.parquet(f"{base}/tables/dead_letters").collect()) == [1, 4]
+    assert len([n for n in os.listdir(f"{base}/tables/entries") if n.startswith("b")]) == 2
+
+
+def test_state_outlives_a_batch_without_events(spark):
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    listing = lambda session: default_entries(session.createDataFrame([("x.epub", "BookCreated", 1)], "path string, tag string, seq long")).drop("tag", "seq")
+    job = CatalogStream("/books", f"{base}/tables", resync=listing)
+    job.register("BookCreated", default_entries)
+    one = lambda seq, ms: [(seq, ms, raw("/books/", "a.epub", "CLOSE_WRITE"))]
+    batches = [one(1, 1000), [(2, 1050, raw("", "", "IN_Q_OVERFLOW"))], one(3, 1100), one(4, 1600)]
+    job.start(stream_of(spark, base, batches), f"{base}/checkpoint").awaitTermination()
+    assert sorted(r.seq for r in spark.read.parquet(f"{base}/tables/event_log").collect()) == [1, 4]
+
+
+def test_a_name_is_no_overflow_marker(spark):
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    job = CatalogStream("/books", f"{base}/tables", resync=lambda session: 1 / 0)
+    job.register("BookCreated", default_entries)
+    rows = [(1, 1, raw("/books/", "IN_Q_OVERFLOW.epub", "CLOSE_WRITE"))]
+    job.start(stream_of(spark, base, [rows]), f"{base}/checkpoint").awaitTermination()
+    assert [r.path for r in read_table(spark, f"{base}/tables/entries").collect()] == ["IN_Q_OVERFLOW.epub"]
+    kept = CatalogStream("/books", f"{base}/kept")
+    kept.start(stream_of(spark, f"{base}/2", [[(1, 1, "IN_Q_OVERFLOW")]]), f"{base}/checkpoint2").awaitTermination()
+    assert [r.seq for r in spark.read.parquet(f"{base}/kept/rejected").collect()] == [1]
+
+
 def test_live_suppression_lets_one_event_per_key_through(spark):
     base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfspark.constants import BLOCK_TAGS
-from shelfspark.functions.text import SPACE, col, decode_xml_entities, empty_to_null, strip_space, tail
+from shelfspark.functions.text import SPACE, col, decode_entities, decode_xml_entities, empty_to_null, strip_space, tail
+
+
+# A tag with its attributes, whose values may hold ">"; else up to the next ">". Possessive, so without recursion.
+INSIDE_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+TAG = rf"<{INSIDE_TAG}|<[^>]*>"
 
 
 def extract_title(xml: Column | str) -> Column:
@@ -20,13 +27,6 @@ def extract_author(xml: Column | str) -> Column:
     return decode_xml_entities(strip_space(raw))
 
 
-def strip_namespaces(xml: Column | str) -> Column:
-    """Drop namespace declarations, and the prefixes of tags and attributes."""
-    bare = F.regexp_replace(col(xml), r"""\sxmlns(?::[\w.\-]+)?\s*=\s*(?:"[^"]*"|'[^']*')""", "")
-    bare = F.regexp_replace(bare, r"(</?)[A-Za-z_][\w.\-]*:", "$1")
-    return F.regexp_replace(bare, r"""(\s)[A-Za-z_][\w.\-]*:([A-Za-z_][\w.\-]*\s*=\s*["'])""", "$1$2")
-
-
 def without_scripts(html: Column | str) -> Column:
     """HTML without comments and without the content of script and style."""
     return F.regexp_replace(
@@ -41,20 +41,24 @@ def body_of(html: Column | str) -> Column:
     return F.when(h.rlike(r"(?i)<body\b"), inner).otherwise(h)
 
 
-def text_segments(html: Column | str) -> Column:
-    """Text nodes of the body in document order, script and style left out."""
-    parts = F.split(body_of(without_scripts(html)), "<[^>]*>")
-    return F.filter(parts, lambda p: p != "")
+def text_segments(html: Column | str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Decoded text nodes of the body in document order, script and style left out.
+
+    ``keep`` is a further condition on the text of a node.
+    """
+    parts = F.filter(F.split(body_of(without_scripts(html)), TAG), lambda p: p != "")
+    nodes = F.transform(parts, decode_entities)
+    return nodes if keep is None else F.filter(nodes, keep)
 
 
 def block_texts(html: Column | str) -> Column:
-    """Texts between the starts of block elements, blank ones dropped."""
-    starts = rf"(?i)<(?:{'|'.join(BLOCK_TAGS)})(?:[\s/][^>]*)?>"
+    """Decoded texts between the starts of block elements, blank ones dropped."""
+    starts = rf"(?i)<(?:{'|'.join(BLOCK_TAGS)})(?:>|[\s/](?:{INSIDE_TAG}|[^>]*>))"
     body = body_of(without_scripts(html))
     blocks = F.split(body, starts)
     # Text before the first block belongs to no block, unless there is no block at all.
     kept = F.when(F.size(blocks) > 1, tail(blocks, 2)).otherwise(blocks)
-    texts = F.transform(kept, lambda b: F.regexp_replace(b, "<[^>]*>", ""))
+    texts = F.transform(kept, lambda b: decode_entities(F.regexp_replace(b, TAG, "")))
     return F.filter(texts, lambda t: strip_space(t) != "")
 
 

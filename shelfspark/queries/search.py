@@ -100,7 +100,18 @@ def text_sentences(spark, sf_dir) -> DataFrame:
 
 
 _BODY = r"""regexp_extract(regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)', 1)"""
-_SEGMENTS = f"list_filter(string_split_regex({_BODY}, '<[^>]*>'), lambda x: x <> '')"
+_INSIDE = r"""(?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+_TAG = f"<{_INSIDE}|<[^>]*>"
+
+
+def _decoded(x: str) -> str:
+    """Text with the references that the pages hold."""
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    return x
+
+
+_SEGMENTS = f"list_transform(list_filter(string_split_regex({_BODY}, '{_TAG}'), lambda x: x <> ''), lambda x: {_decoded('x')})"
 
 
 @query(f"SELECT page_id, (generate_subscripts(s, 1) - 1)::INTEGER AS pos, unnest(s) AS segment FROM (SELECT page_id, {_SEGMENTS} AS s FROM pages)")
@@ -109,7 +120,8 @@ def page_segments(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""SELECT page_id, (generate_subscripts(b, 1) - 1)::INTEGER AS pos, unnest(b) AS block FROM (SELECT page_id,
-  list_filter(list_transform((string_split_regex({_BODY}, '(?i)<(?:{'|'.join(BLOCK_TAGS)})(?:[\\s/][^>]*)?>'))[2:], lambda x: regexp_replace(x, '<[^>]*>', '', 'g')),
+  list_filter(list_transform((string_split_regex({_BODY}, '(?i)<(?:{'|'.join(BLOCK_TAGS)})(?:>|[\\s/](?:{_INSIDE}|[^>]*>))'))[2:],
+    lambda x: {_decoded(f"regexp_replace(x, '{_TAG}', '', 'g')")}),
     lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) <> '') AS b FROM pages)""")
 def text_blocks(spark, sf_dir) -> DataFrame:
     return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.posexplode(block_texts("html")).alias("pos", "block"))

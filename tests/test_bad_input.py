@@ -47,3 +47,13 @@ def test_bytes_that_are_not_utf8(spark):
 def test_very_long_numbers_in_natural_order(spark):
     names = spark.createDataFrame([("1" + "0" * 10_000,), ("9" * 9_999,), ("2",)], "n string")
     assert [len(r.n) for r in names.orderBy(natural_key("n")).collect()] == [1, 9_999, 10_001]
+
+
+def test_text_nodes(spark):
+    from shelfspark.functions.markup import block_texts, text_segments
+
+    html = """<body><p title="a>b" class='c"d'>AT&amp;T &#65;</p><p title="x>plain</p><div>&nosuch;</div>""" + "<b x='1'>" * 20_000
+    row = spark.createDataFrame([(html,)], "h string").select(
+        text_segments("h").alias("s"), block_texts("h").alias("b"), text_segments("h", lambda t: t.contains("&")).alias("k")
+    ).first()
+    assert row.s[0] == "AT&T A" and "plain" in row.s and row.b[0] == "AT&T A" and row.k == ["AT&T A", "&nosuch;"]

@@ -29,14 +29,3 @@ def natural_key(c: Column | str, collation: str = BASE) -> Column:
     tokens = F.regexp_extract_all(raw, F.lit(r"(?s)(\p{Nd}+|\P{Nd}+)"), F.lit(1))
     marked = F.when(raw.rlike(r"\p{Nd}"), F.array_join(F.transform(tokens, mark), "")).otherwise(raw)
     return F.collate(marked, collation)
-
-
-def folder_order(title: Column | str, name: Column | str) -> list[Column]:
-    """Folders by title, then directory name; the plain name makes the order total."""
-    return [natural_key(title), natural_key(name), col(name)]
-
-
-def book_order(author: Column | str, title: Column | str, name: Column | str) -> list[Column]:
-    """Books without author first, then by author, title and directory name."""
-    author = F.nullif(col(author), F.lit(""))
-    return [author.isNotNull(), natural_key(author), natural_key(title), natural_key(name), col(name)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.constants import FEED_FILE, REL_ACQUISITION, REL_IMAGE, REL_SUBSECTION, REL_THUMBNAIL
+from shelfspark.constants import FEED_FILE, REL_IMAGE, REL_SUBSECTION, REL_THUMBNAIL
 from shelfspark.functions.natural import natural_key
 from shelfspark.functions.text import empty_to_null, get_string, string_array
 from shelfspark.operators.ordered import number_rows, ordered, running_sum
@@ -157,7 +157,3 @@ def pick_feeds(profiles: DataFrame, path: str = "path") -> DataFrame:
                            (-F.col(f"{n}.rank")).alias("rank")) for n in picks])
     )
     return best.select(rows.alias("r")).select("r.*").filter(F.col("path").isNotNull())
-
-
-def is_acquisition(rel: Column) -> Column:
-    return rel.startswith(REL_ACQUISITION)

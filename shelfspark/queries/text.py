@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import text as t
 from shelfspark.functions.markup import extract_author, extract_title
-from shelfspark.functions.paths import file_extension, loose_extension, url_to_path
+from shelfspark.functions.paths import file_extension, is_hidden, loose_extension, url_to_path
 from shelfspark.queries.base import (
     PAGE_TITLE,
     PATH,
@@ -190,7 +190,12 @@ def scalar_coercions(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""SELECT page_id, CASE WHEN contains(name, '.') THEN lower(regexp_extract(name, '[^.]*$')) ELSE '' END AS extension,
-  lower(regexp_extract(name, '[^.]*$')) AS loose FROM (SELECT page_id, regexp_extract({PATH}, '[^/]*$') AS name FROM pages)""")
+  lower(regexp_extract(name, '[^.]*$')) AS loose, page_id % 3 = 0 OR regexp_matches(path, '(^|/)[.]') AS hidden
+  FROM (SELECT page_id, {PATH} AS path, regexp_extract({PATH}, '[^/]*$') AS name FROM pages)""")
 def extension_rules(spark, sf_dir) -> DataFrame:
     name = F.substring_index(url_to_path("url"), "/", -1)
-    return table(spark, sf_dir, "pages").select("page_id", file_extension(name).alias("extension"), loose_extension(name).alias("loose"))
+    # Every third path gets a hidden folder.
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("a/.b/"), url_to_path("url"))).otherwise(url_to_path("url"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", file_extension(name).alias("extension"), loose_extension(name).alias("loose"), is_hidden(path).alias("hidden")
+    )

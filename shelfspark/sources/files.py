@@ -96,17 +96,3 @@ def _read(path: str) -> bytes | None:
             return file.read()
     except OSError:
         return None
-
-
-def with_content(files: DataFrame, column: str = "full_path") -> DataFrame:
-    """Bytes of each file as ``content`` (null when unreadable). One file per output batch."""
-    schema = f"{files._jdf.schema().toDDL()}, content binary"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(len(batch)):
-                row = batch.iloc[i : i + 1].copy()
-                row["content"] = [_read(row[column].iloc[0])]
-                yield row
-
-    return files.mapInPandas(run, schema)

@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.llm.batches import cut
 from shelfspark.session import checkpointed
 
 DEPTH = 6
@@ -96,7 +97,7 @@ def count_runs(texts: DataFrame, depth: int) -> DataFrame:
     """run, n over the column ``text``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, 0):
             for runs, _, _ in blocks(lowered(batch.column(0)), depth):
                 codes, found = pd.factorize(runs)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(codes))], ["run", "n"])
@@ -203,7 +204,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     """word, c over the column ``text``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, 0):
             found = pc.value_counts(tokens_of(batch.column(0))[1])
             yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
@@ -243,7 +244,7 @@ def score_texts(
         kept, head_words, head_counts = model.value
         tree = SuffixTree(**kept)
         logs = np.log10((head_counts + EXTRA) / scale)
-        for batch in batches:
+        for batch in cut(batches, 3):
             size, rows, texts = batch.num_rows, batch.column(0), batch.column(3)
             scores, offset = np.zeros(size), 0
             for runs, begins, owners in blocks(lowered(texts), tree.depth):

@@ -255,6 +255,8 @@ def near_rows():
             for _ in range(random.randint(0, max(1, len(text) // 60))):
                 edited[random.randrange(len(edited))] = random.choice(words)
             rows.append((group * 50 + copy, " ".join(edited)))
+    short = [" ".join(f"s{i}" for i in range(n)) for n in (6, 8, 9, 13, 14, 16, 17, 19, 20, 21)]
+    rows += [(8000 + i, t) for i, t in enumerate(short)] + [(8100 + i, t + " end") for i, t in enumerate(short)]
     return rows + [(0, rows[7][1]), (0, rows[7][1]), (7000, rows[7][1])]
 
 

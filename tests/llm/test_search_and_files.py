@@ -345,3 +345,22 @@ def test_pipeline(spark):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in kept["tokens"]) == sorted(
         (r["doc_id"], len(library.encode(r["text"], add_special_tokens=False).ids)) for r in kept["mixture"]
     )
+
+
+def test_large_group_of_copies_costs_few_pairs(spark):
+    """Copies of one text that are hardly similar to each other, and pairs among them that are."""
+    random.seed(12)
+    words = [f"w{i}" for i in range(3000)]
+    base = random.choices(words, k=200)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 90):
+        edited = list(base)
+        for _ in range(random.choice([3, 4, 5, 6, 7, 8])):
+            edited[random.randrange(200)] = random.choice(words)
+        rows.append((i, " ".join(edited)))
+        if i % 10 == 0:
+            edited[5] = "twin"
+            rows.append((1000 + i, " ".join(edited)))
+    got = order_minhash.near_duplicates(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in got) == classes_by_hand(rows)
+    assert len({r.class_id for r in got}) > 10

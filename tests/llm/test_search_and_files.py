@@ -364,3 +364,28 @@ def test_large_group_of_copies_costs_few_pairs(spark):
     got = order_minhash.near_duplicates(documents(spark, rows)).collect()
     assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in got) == classes_by_hand(rows)
     assert len({r.class_id for r in got}) > 10
+
+
+def test_texts_at_the_edge_of_similarity_share_a_sketch():
+    """All sizes at similarity 0.8: the matched shingles in order, all others different."""
+    random_state = np.random.default_rng(8)
+    items = lambda n: random_state.integers(0, 1 << 63, n, dtype=np.uint64)
+    with_others = lambda common, n: np.insert(common, np.sort(random_state.integers(0, len(common) + 1, n - len(common))), items(n - len(common)))
+    for n in [*range(4, 65), 80, 120, 200]:
+        for m in {n, (n + math.ceil(n / 0.8)) // 2, math.floor(n / 0.8)}:
+            k = order_minhash.needed(n, m, 0.8)
+            for _ in range(15 if k <= n else 0):
+                common = items(k)
+                a, b = with_others(common, n), with_others(common, m)
+                assert order_minhash.aligned(a.tolist(), b.tolist(), 0.8)
+                assert set(order_minhash.sketches_of(a, 0.8)) & set(order_minhash.sketches_of(b, 0.8)), (n, m, k)
+
+
+def test_pairs_at_the_edge_are_linked(spark):
+    """22 words of which the last two differ: 16 of 18 shingles match on both sides, similarity 0.8."""
+    rows = []
+    for i in range(60):
+        words = [f"p{i}w{j}" for j in range(24)]
+        rows += [(2 * i, " ".join(words[:22])), (2 * i + 1, " ".join(words[:20] + words[22:]))]
+    got = order_minhash.near_duplicates(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == [(i, i - i % 2, 2) for i in range(120)]

@@ -1,8 +1,8 @@
 """Searches of a set of query vectors against all vectors, in blocks of bounded size.
 
 Vectors are dealt to slices and queries to blocks. Each pair (query block, slice) is one group of a
-cogroup: it holds at most about ``QUERY_ROWS`` queries and ``SLICE_ROWS`` vectors, however large or
-repetitive the table is, and returns at most k rows per query. The k best of all slices are then
+cogroup: it holds at most about ``QUERY_ROWS`` queries and ``SLICE_ROWS`` vectors of one length,
+however large or repetitive the table is, and returns at most k rows per query. The k best of all slices are then
 chosen per query. Vectors are copied once per query block and queries once per slice; nothing is
 broadcast or collected but two counts.
 """
@@ -23,8 +23,8 @@ QUERY_ROWS = 8192
 def usable(vectors: DataFrame, key: str, vector: str, zero: bool) -> DataFrame:
     """Rows (vec_id, vector of doubles) that can take part.
 
-    Left out are rows with a null id, null vectors, empty ones, those with a null or non-finite component, those of another
-    length than most (of equally frequent lengths the smaller counts) and, unless ``zero``, zero vectors.
+    Left out are rows with a null id, null vectors, empty ones, those with a null or non-finite component and, unless
+    ``zero``, zero vectors.
     """
     values = F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), values.alias("vector"))
@@ -35,13 +35,6 @@ def usable(vectors: DataFrame, key: str, vector: str, zero: bool) -> DataFrame:
     return rows
 
 
-def common_length(rows: DataFrame) -> tuple[int, int]:
-    """The most frequent vector length, and how many rows have it."""
-    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    found = sizes.orderBy(F.desc("n"), "size").limit(1).collect()
-    return (found[0]["size"], found[0]["n"]) if found else (0, 0)
-
-
 def search_blocks(
     vectors: DataFrame, is_query: Column, k: int, kernel: Callable, score_type: str, largest: bool,
     key: str, vector: str, zero: bool, slice_rows: int = SLICE_ROWS, query_rows: int = QUERY_ROWS,
@@ -49,24 +42,24 @@ def search_blocks(
     """query_id, rank, vec_id, score: the best ``k`` of each query, ties to the smaller vec_id.
 
     ``kernel(query ids, query vectors, ids, vectors)`` yields (query position, positions of vectors,
-    scores) for one slice. A query's own rows, those with its id, take no part.
+    scores) for one slice. Vectors of each length are searched among their own. A query's own rows,
+    those with its id, take no part.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, key, vector, zero)
-    length, n = common_length(rows)
+    n = rows.count()
     schema = f"query_id long, vec_id long, score {score_type}"
     if not n:
         found = spark.createDataFrame([], schema)
     else:
-        rows = rows.filter(F.size("vector") == length)
         n_slices = -(-n // slice_rows)
         # One row per query id: of rows with the same id, the smallest vector asks.
         queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
         n_blocks = max(1, -(-queries.count() // query_rows))
         # Dealt by place, so that equal ids are spread as well.
-        sliced = rows.withColumn("slice", (F.monotonically_increasing_id() % n_slices).cast("int"))
+        sliced = rows.withColumn("length", F.size("vector")).withColumn("slice", (F.monotonically_increasing_id() % n_slices).cast("int"))
         sliced = sliced.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
+        asked = queries.withColumn("length", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
         asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
 
         def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +78,7 @@ def search_blocks(
             kind = pa.int64() if score_type == "long" else pa.float64()
             return pa.table({"query_id": joined(asked_ids, pa.int64()), "vec_id": joined(found_ids, pa.int64()), "score": joined(scores, kind)})
 
-        found = sliced.groupBy("block", "slice").cogroup(asked.groupBy("block", "slice")).applyInArrow(search, schema)
+        found = sliced.groupBy("length", "block", "slice").cogroup(asked.groupBy("length", "block", "slice")).applyInArrow(search, schema)
     best = F.desc("score") if largest else F.asc("score")
     order = Window.partitionBy("query_id").orderBy(best, "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

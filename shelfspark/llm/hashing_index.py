@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by multi-index hashing of learned binary codes.
 
 Codes: the vectors are centred, rotated and cut at zero; the rotations are learned on a bounded
-sample so that the rotated vectors lie close to the corners of the cube (iterative quantisation).
+sample of each vector length so that the rotated vectors lie close to the corners of the cube (iterative quantisation).
 Several rotations give ``BITS`` bits in all.
 
 Index: a code is split into substrings of one byte, and each substring has its own table from byte to
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.blocks import SLICE_ROWS, common_length, own_rows, search_blocks, usable
+from shelfspark.llm.blocks import SLICE_ROWS, own_rows, search_blocks, usable
 
 BITS = 256
 # Codes per slice that are compared as floats, at least.
@@ -88,8 +88,9 @@ class SubstringTables:
         raise AssertionError("a byte has eight bits")
 
 
-def nearest_kernel(k: int, mean: np.ndarray, rotations: np.ndarray, wanted: int):
+def nearest_kernel(k: int, learnt: dict[int, tuple[np.ndarray, np.ndarray]], wanted: int):
     def kernel(asking, qs, ids, xs) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        mean, rotations = learnt[xs.shape[1]]
         encode = lambda v: np.packbits((v - mean) @ rotations > 0, axis=1)
         tables, codes = SubstringTables(encode(xs)), encode(qs)
         for i, own in enumerate(own_rows(asking, ids)):
@@ -107,15 +108,15 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: about the k nearest by Euclidean distance, nearest first.
 
-    Rows with a null id, a null, empty or zero vector, null or non-finite components or an uncommon
-    length take no part. Rows with the query's id are its own. Repeated rows are candidates each, and a
+    Rows with a null id, a null, empty or zero vector, null or non-finite components take no part.
+    Vectors of each length are searched among their own. Rows with the query's id are its own. Repeated rows are candidates each, and a
     repeated query id asks once, with its smallest vector. An empty table gives no rows; a table of
     fewer than k others gives all of them. Other columns are not read.
     """
     rows = usable(vectors, key, vector, False)
-    length, _ = common_length(rows)
-    picked = rows.filter(F.size("vector") == length).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
-    held = [r["vector"] for r in picked.select("vector").collect()]
-    mean, rotations = learn(np.array(held) if held else np.zeros((1, 1)), bits)
-    kernel = nearest_kernel(k, mean, rotations, wanted)
+    learnt = {}
+    for length in sorted(r["size"] for r in rows.select(F.size("vector").alias("size")).distinct().collect()):
+        picked = rows.filter(F.size("vector") == length).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+        learnt[length] = learn(np.array([r["vector"] for r in picked.select("vector").collect()]), bits)
+    kernel = nearest_kernel(k, learnt, wanted)
     return search_blocks(vectors, is_query, k, kernel, "double", False, key, vector, False, slice_rows)

@@ -86,8 +86,8 @@ def top_inner_products(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of floor(1024 x) vectors.
 
-    Rows with a null id, a null or empty vector, null or non-finite components or an uncommon length
-    take no part. Rows with the query's id are its own. Repeated rows are candidates each, and a
+    Rows with a null id, a null or empty vector, null or non-finite components take no part. Vectors
+    of each length are searched among their own. Rows with the query's id are its own. Repeated rows are candidates each, and a
     repeated query id asks once, with its smallest vector. Scores beyond 64 bits are cut to them.
     An empty table gives no rows; other columns are not read.
     """

@@ -58,6 +58,16 @@ def test_top_products_of_huge_components(spark):
     assert sorted(map(tuple, got.collect())) == by_hand([(i, list(np.float32(v).astype(float))) for i, v in good], inner, True)
 
 
+def test_each_length_is_searched_among_its_own(spark):
+    sixes, fours = random_vectors(301, 6, 21), [(i + 1000, v) for i, v in random_vectors(201, 4, 22)]
+    table, asking = vectors(spark, sixes + fours), F.col("vec_id") % 100 == 0
+    rows = lambda found: sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect())
+    assert rows(vafile.top_inner_products(table, asking, slice_rows=100)) == by_hand(sixes, inner, True) + by_hand(fours, inner, True)
+    far = lambda x, y: float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum()))
+    wanted = by_hand(sixes, far, False) + by_hand(fours, far, False)
+    assert [x[:3] for x in rows(hashing_index.nearest(table, asking))] == [x[:3] for x in wanted]
+
+
 def test_searches_of_nothing(spark):
     for search in (vafile.top_inner_products, hashing_index.nearest):
         assert search(vectors(spark, []), F.col("vec_id") % 100 == 0).collect() == []

@@ -16,6 +16,7 @@ from shelfspark.constants import (
 )
 from shelfspark.functions.paths import ancestor_paths, join_path, loose_extension, parent_path
 from shelfspark.operators.ordered import number_rows, ordered
+from shelfspark.session import checkpointed
 
 IGNORED = "Ignored"
 RAW_EVENT = "parent string, name string, events string"
@@ -89,9 +90,11 @@ def valid_events(lines: DataFrame, value: str = "value") -> tuple[DataFrame, Dat
 # --- suppression -------------------------------------------------------------------------------
 
 
-# Width of a slice of time, in intervals.
+# Width of a slice of time, in intervals, and number of slices that are composed at a time.
 SLICE_INTERVALS = 8
+FAN_IN = 32
 LOWEST = np.iinfo(np.int64).min
+STEPS = "array<struct<from_ms:long,exit_ms:long>>"
 
 
 def _following(times: np.ndarray, interval: int) -> np.ndarray:
@@ -99,46 +102,68 @@ def _following(times: np.ndarray, interval: int) -> np.ndarray:
     return np.searchsorted(times, times + interval, side="left")
 
 
-def _first_allowed(times: np.ndarray, last: float | None, interval: int) -> int:
-    return 0 if pd.isna(last) else int(np.searchsorted(times, int(last) + interval, side="left"))
-
-
-def _accepted(times: np.ndarray, seqs: np.ndarray, last: float | None, interval: int) -> np.ndarray:
-    """Numbers of the accepted events of one key or slice, given the last accepted time before it."""
-    at, following, taken = _first_allowed(times, last, interval), _following(times, interval), []
+def _accepted(times: np.ndarray, seqs: np.ndarray, allowed: float | None, interval: int) -> np.ndarray:
+    """Numbers of the accepted events of one slice, of which none before ``allowed`` may pass."""
+    at = 0 if pd.isna(allowed) else int(np.searchsorted(times, int(allowed), side="left"))
+    following, taken = _following(times, interval), []
     while at < len(times):
         taken.append(at)
         at = following[at]
     return seqs[taken]
 
 
-def _transfer(times: np.ndarray, reach: int | None, interval: int) -> list[dict]:
+def _steps(starts: np.ndarray, exits: np.ndarray, reach: int) -> list[dict]:
+    """A step function as (from_ms, exit_ms): equal neighbours are one step, none begins beyond ``reach``."""
+    keep = np.concatenate(([True], exits[1:] != exits[:-1])) & (starts <= reach)
+    return [{"from_ms": int(a), "exit_ms": int(b)} for a, b in zip(starts[keep], exits[keep])]
+
+
+def _transfer(times: np.ndarray, reach: int, interval: int) -> list[dict]:
     """What a slice makes of any earlier state, as steps (from_ms, exit_ms).
 
-    If the earlier state allows events from time t on, the last accepted time after this slice is
-    the exit of the last step whose ``from_ms`` is at or before t. Paths that merge share a step.
-    An earlier state cannot block beyond ``reach``.
+    If events may pass from time t on, the last one that passes in this slice is the exit of the last
+    step whose ``from_ms`` is at or before t. Paths that merge share a step. No earlier event blocks
+    beyond ``reach``.
     """
     following, exits = _following(times, interval), times.copy()
     for i in range(len(times) - 1, -1, -1):
         if following[i] < len(times):
             exits[i] = exits[following[i]]
     # Starting after times[i - 1] and not after times[i] means that times[i] is accepted first.
-    starts = np.concatenate(([LOWEST], times[:-1] + 1))
-    keep = np.concatenate(([True], exits[1:] != exits[:-1]))
-    if reach is not None:
-        keep &= starts <= reach
-    return [{"from_ms": int(a), "exit_ms": int(b)} for a, b in zip(starts[keep], exits[keep])]
+    return _steps(np.concatenate(([LOWEST], times[:-1] + 1)), exits, reach)
+
+
+def _tables(slices: list) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(last_ms, starts, exits) of slices in order."""
+    column = lambda part, name: np.array([s[name] for s in part["steps"]], dtype=np.int64)
+    return [(part["last_ms"], column(part, "from_ms"), column(part, "exit_ms")) for part in slices]
+
 
+def _through(table: tuple[int, np.ndarray, np.ndarray], allowed: np.ndarray, interval: int) -> np.ndarray:
+    """From when on events may pass after a slice, for each time from which they may pass before it."""
+    last_ms, starts, exits = table
+    exit_ms = exits[np.searchsorted(starts, allowed, side="right") - 1]
+    return np.where(allowed <= last_ms, exit_ms + interval, allowed)
 
-def _chain(slices: list, last: float | None, interval: int) -> list[dict]:
-    """Last accepted time before each slice of one key. slices: (slice, last_ms, steps) in order."""
-    last, out = None if pd.isna(last) else int(last), []
-    for part in slices:
-        out.append({"slice": part["slice"], "entry_ms": last})
-        allowed = LOWEST if last is None else last + interval
-        if allowed <= part["last_ms"]:
-            last = max(s["exit_ms"] for s in part["steps"] if s["from_ms"] <= allowed)
+
+def _compose(slices: list, reach: int, interval: int) -> list[dict]:
+    """The steps of neighbouring slices taken as one. slices: (slice, last_ms, steps) in order."""
+    tables = _tables(slices)
+    # Between two of these times all entries take the same way.
+    starts = np.unique(np.concatenate([np.append(t[1], t[0] + 1) for t in tables]))
+    starts = starts[starts <= min(reach, tables[-1][0])]
+    allowed = starts
+    for table in tables:
+        allowed = _through(table, allowed, interval)
+    return _steps(starts, allowed - interval, reach)
+
+
+def _entries(slices: list, allowed: float | None, interval: int) -> list[dict]:
+    """From when on events may pass in each of neighbouring slices, given that of the first."""
+    at, out = np.array([LOWEST if pd.isna(allowed) else int(allowed)]), []
+    for part, table in zip(slices, _tables(slices)):
+        out.append({"slice": part["slice"], "allowed": None if at[0] == LOWEST else int(at[0])})
+        at = _through(table, at, interval)
     return out
 
 
@@ -152,59 +177,97 @@ def suppress(
     continues an earlier run. Repeats within one millisecond are dropped on the map side. A null key
     is a key like any other.
 
-    Whether an event is accepted depends on all events of its key before it, yet a key is never handled
-    by one task. Its time is cut in slices of ``SLICE_INTERVALS`` intervals, each slice is reduced to the
-    short table of what it makes of any earlier state, these tables are chained per key, and then every
-    slice is decided on its own. All keys go this way, whatever their size.
+    Whether an event is accepted depends on all events of its key before it, yet no task reads a key as
+    a whole. Time is cut in slices of ``SLICE_INTERVALS`` intervals. A slice that begins at least an
+    interval after the event before it depends on nothing, so only stretches of slices that hang
+    together go on: each slice is reduced to the step function that it makes of any earlier state, at
+    most one step per millisecond of an interval; ``FAN_IN`` neighbours are composed into one, level
+    by level, and the states are then handed down the same tree. At the end each slice is decided alone.
     """
     # A struct around the key: null keys are then equal in joins.
     first = events.groupBy(F.struct(F.col(key)).alias("key"), F.col(ms).cast("long").alias("ms")).agg(
         F.min(F.col(seq).cast("long")).alias("seq")
     )
-    if state is None:
-        state = first.select("key", F.lit(None).cast("long").alias("initial_ms")).limit(0)
-    else:
-        state = state.select(F.struct(F.col("key").alias(key)).alias("key"), F.col("last_ms").alias("initial_ms"))
-    taken = _accepted_by_slices(first, state, interval)
+    if state is not None:
+        # What the state blocks leaves no trace.
+        known = state.select(F.struct(F.col("key").alias(key)).alias("key"), "last_ms")
+        open_from = F.col("last_ms") + interval
+        first = first.join(known, "key", "left").filter(F.col("last_ms").isNull() | (F.col("ms") >= open_from)).drop("last_ms")
+    taken = _accepted_by_slices(first, interval)
     winners = taken.select(F.col("key").alias("__k"), F.col("seq").alias("__seq"))
     return events.join(winners, (F.struct(F.col(key)) == F.col("__k")) & (F.col(seq) == F.col("__seq")), "left_semi")
 
 
-def _in_order(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Times and numbers of each group as arrays in order."""
-    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ms", "seq"))).alias("__e"))
-    return listed.select(*by, F.col("__e.ms").alias("times"), F.col("__e.seq").alias("seqs"))
-
+def _decide(groups: DataFrame, interval: int) -> DataFrame:
+    """key, seq of the accepted events of slices (key, times, seqs, allowed)."""
 
-def _decide(interval: int):
-    def run(times: pd.Series, seqs: pd.Series, last: pd.Series) -> pd.Series:
-        return pd.Series([_accepted(t, s, l, interval) for t, s, l in zip(times, seqs, last)], dtype=object)
+    def run(times: pd.Series, seqs: pd.Series, allowed: pd.Series) -> pd.Series:
+        return pd.Series([_accepted(t, s, a, interval) for t, s, a in zip(times, seqs, allowed)], dtype=object)
 
-    return F.pandas_udf(run, "array<long>")
+    return groups.select("key", F.explode(F.pandas_udf(run, "array<long>")("times", "seqs", "allowed")).alias("seq"))
 
 
-def _accepted_by_slices(rows: DataFrame, state: DataFrame, interval: int) -> DataFrame:
+def _accepted_by_slices(rows: DataFrame, interval: int) -> DataFrame:
     width = SLICE_INTERVALS * interval
     sliced = rows.withColumn("slice", F.floor(F.col("ms") / width))
-    groups = _in_order(sliced, ["key", "slice"]).join(state, "key", "left")
-
-    def reduce(times: pd.Series, number: pd.Series, initial: pd.Series) -> pd.Series:
-        reach = (n * width + interval if pd.isna(i) else None for n, i in zip(number, initial))
-        return pd.Series([_transfer(t, r, interval) for t, r in zip(times, reach)], dtype=object)
-
-    def chain(slices: pd.Series, initial: pd.Series) -> pd.Series:
-        return pd.Series([_chain(s, i, interval) for s, i in zip(slices, initial)], dtype=object)
+    listed = sliced.groupBy("key", "slice").agg(F.array_sort(F.collect_list(F.struct("ms", "seq"))).alias("__e"))
+    groups = checkpointed(listed.select("key", "slice", F.col("__e.ms").alias("times"), F.col("__e.seq").alias("seqs")))
+    # A slice hangs on the one before it if less than an interval lies between their events.
+    bounds = groups.select("key", "slice", F.element_at("times", 1).alias("low"), F.element_at("times", -1).alias("high"))
+    before = bounds.select("key", (F.col("slice") + 1).alias("slice"), F.col("high").alias("before"))
+    hanging = bounds.join(before, ["key", "slice"]).filter(F.col("low") - F.col("before") < interval)
+    dense = hanging.select("key", F.explode(F.array(F.col("slice") - 1, F.col("slice"))).alias("slice")).distinct()
+    dense = checkpointed(dense)
+    span = dense.agg(F.min("slice").alias("low"), F.max("slice").alias("high")).first()
+    alone = groups.join(dense, ["key", "slice"], "left_anti").withColumn("allowed", F.lit(None).cast("long"))
+    # The only event of a slice that hangs on nothing passes.
+    single = alone.filter(F.size("seqs") == 1).select("key", F.element_at("seqs", 1).alias("seq"))
+    alone = alone.filter(F.size("seqs") > 1)
+    if span["low"] is None:
+        return single.union(_decide(alone, interval))
+    # Slices are counted from the first one, so that the tree is no higher than their span asks for.
+    chained = groups.join(dense, ["key", "slice"]).withColumn("slice", F.col("slice") - span["low"])
+    allowed = _states(chained, span["low"] * width, span["high"] - span["low"] + 1, interval)
+    known = chained.join(allowed, ["key", "slice"]).select("key", "times", "seqs", "allowed")
+    return single.union(_decide(alone.select("key", "times", "seqs", "allowed").union(known), interval))
+
+
+def _states(chained: DataFrame, origin: int, slices: int, interval: int) -> DataFrame:
+    """key, slice, allowed: from when on events may pass in each slice (null: from its start)."""
+    width = SLICE_INTERVALS * interval
 
-    steps = F.pandas_udf(reduce, "array<struct<from_ms:long,exit_ms:long>>")("times", "slice", "initial_ms")
-    tables = groups.select("key", "slice", "initial_ms", F.array_max("times").alias("last_ms"), steps.alias("steps"))
-    per_key = tables.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("slice", "last_ms", "steps"))).alias("slices"),
-        F.first("initial_ms").alias("initial_ms"),
-    )
-    entries = F.pandas_udf(chain, "array<struct<slice:long,entry_ms:long>>")("slices", "initial_ms")
-    entry = per_key.select("key", F.explode(entries).alias("x")).select("key", "x.*")
-    decided = groups.select("key", "slice", "times", "seqs").join(entry, ["key", "slice"])
-    return decided.select("key", F.explode(_decide(interval)("times", "seqs", "entry_ms")).alias("seq"))
+    def reduce(times: pd.Series, number: pd.Series) -> pd.Series:
+        return pd.Series([_transfer(t, origin + n * width + interval, interval) for t, n in zip(times, number)], dtype=object)
+
+    steps = F.pandas_udf(reduce, STEPS)("times", "slice")
+    table = checkpointed(chained.select("key", "slice", F.array_max("times").alias("last_ms"), steps.alias("steps")))
+    levels, covered = [], 1
+    while covered < slices:
+        covered *= FAN_IN
+        children = F.array_sort(F.collect_list(F.struct("slice", "last_ms", "steps"))).alias("children")
+        level = checkpointed(table.groupBy("key", F.floor(F.col("slice") / FAN_IN).alias("slice")).agg(children))
+        levels.append(level)
+        if covered < slices:
+            table = checkpointed(level.select("key", "slice", F.array_max("children.last_ms").alias("last_ms"),
+                                              _composed(origin, covered * width, interval)("children", "slice").alias("steps")))
+
+    def hand_down(children: pd.Series, allowed: pd.Series) -> pd.Series:
+        return pd.Series([_entries(c, a, interval) for c, a in zip(children, allowed)], dtype=object)
+
+    entries = F.pandas_udf(hand_down, "array<struct<slice:long,allowed:long>>")
+    state = None
+    for level in reversed(levels):
+        known = level.withColumn("allowed", F.lit(None).cast("long")) if state is None else level.join(state, ["key", "slice"])
+        state = known.select("key", F.explode(entries("children", "allowed")).alias("x")).select("key", "x.*")
+    return state
+
+
+def _composed(origin: int, width: int, interval: int):
+    def compose(children: pd.Series, number: pd.Series) -> pd.Series:
+        reach = (origin + n * width + interval for n in number)
+        return pd.Series([_compose(c, r, interval) for c, r in zip(children, reach)], dtype=object)
+
+    return F.pandas_udf(compose, STEPS)
 
 
 # --- coalescing, cascades, applying ------------------------------------------------------------

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators.events import suppress
+from shelfspark.operators.events import SLICE_INTERVALS, _accepted, _compose, _entries, _transfer, suppress
 from shelfspark.operators.ordered import as_of, carry_forward, number_rows, ordered, running_sum
 
 
@@ -97,6 +98,43 @@ def test_suppression_agrees_with_reading_events_one_by_one(spark, with_state):
     assert got == greedy(events, 500, state)
 
 
+@pytest.mark.parametrize("per_interval", [1, 2, 5, 20, 100])
+def test_suppression_of_one_dense_key_over_many_slices(spark, per_interval):
+    rnd = random.Random(per_interval)
+    events, now = [], 1_700_000_000_000
+    for seq in range(6000):
+        now += rnd.randrange(1, max(2, 2 * 500 // per_interval))
+        events.append(("hot", now, seq))
+        if rnd.random() < 0.05:
+            events.append((f"k{rnd.randrange(20)}", now + rnd.randrange(1000), 10_000 + seq))
+    df = spark.createDataFrame(events, "key string, ms long, seq long")
+    assert sorted(r.seq for r in suppress(df).collect()) == greedy(events, 500)
+
+
+def test_composed_steps_agree_with_the_slices_one_after_the_other():
+    rnd = random.Random(5)
+    for _ in range(300):
+        interval, n = rnd.choice([5, 20]), rnd.randrange(2, 6)
+        width = SLICE_INTERVALS * interval
+        parts = []
+        for i in range(n):
+            times = np.array(sorted({i * width + rnd.randrange(width) for _ in range(rnd.choice([1, 3, 30]))}))
+            parts.append({"slice": i, "last_ms": int(times[-1]), "steps": _transfer(times, i * width + interval, interval), "times": times})
+        whole = np.concatenate([p["times"] for p in parts])
+        steps = _compose(parts, interval, interval)
+        for allowed in range(-2, interval + 1):
+            taken = _accepted(whole, whole, allowed, interval)
+            exit_ms = [s["exit_ms"] for s in steps if s["from_ms"] <= allowed][-1]
+            assert exit_ms == taken[-1] if len(taken) else allowed > whole[-1]
+            states = _entries(parts, allowed, interval)
+            got = [x for p, s in zip(parts, states) for x in _accepted(p["times"], p["times"], s["allowed"], interval)]
+            assert got == list(taken)
+
+
+def test_suppression_of_few_rows(spark):
+    assert suppress(spark.createDataFrame([], "key string, ms long, seq long")).collect() == []
+
+
 def test_suppression_cases(spark):
     events = [("k", 1 + t, i) for i, t in enumerate([0, 300, 499, 500, 900, 1000])]
     df = spark.createDataFrame(events, "key string, ms long, seq long")

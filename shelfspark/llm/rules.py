@@ -138,13 +138,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score_documents(docs: DataFrame, model: RuleModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted. Other columns are not read."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted. Other columns are not read.
+
+    A null text counts as empty; an empty one has a score as well. Texts are read whole, repeated rows get equal
+    scores, and a null id is not held out. An empty table gives no rows.
+    """
     rows = with_statistics(docs, key, text)
     scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that the model does not reject, with their columns as they are."""
-    rows = docs.select(F.struct("*").alias("row"), F.struct(*[c.cast("double").alias(n) for n, c in statistics(F.col(text)).items()]).alias("stats"))
+    """Rows of ``docs`` that the model does not reject, with their columns as they are.
+
+    Null and empty texts have statistics like any other and are judged by them; repeated rows are judged alike.
+    Texts are read whole, however long. An empty table stays empty.
+    """
+    stats = F.struct(*[c.cast("double").alias(n) for n, c in statistics(F.col(text)).items()])
+    # A row generator: the filter cannot be pushed below it, which would compute each statistic once per condition.
+    rows = docs.select(F.struct("*").alias("row"), F.explode(F.array(stats)).alias("stats"))
     return rows.filter(model.score() >= THRESHOLD).select("row.*")

@@ -210,3 +210,16 @@ def test_condition_of_text_statistics(spark):
     row = documents(spark, [(1, "Ab, c.\nAb 1*", "en", "s")]).select(*[c.cast("double").alias(n) for n, c in stats.items()]).first()
     assert row.upper_share == pytest.approx(2 / 12) and row.mark_share == pytest.approx(1 / 12) and row.digit_share == pytest.approx(1 / 12)
     assert row.distinct_words == pytest.approx(1.0) and row.line_length == 6
+
+
+def test_quality_filter_computes_each_statistic_once(spark):
+    rule = lambda *parts: frozenset(parts)
+    limits = [("upper_share", "<=", 0.2), ("mark_share", ">", 0.01), ("digit_share", "<=", 0.3), ("log_chars", ">", 2.0)]
+    model = rules.RuleModel(0.5, [(rule(a, b), 0.3 * i) for i, (a, b) in enumerate(zip(limits, limits[1:] + limits[:1]))] * 3)
+    docs = documents(spark, EDGE)
+    kept = rules.keep_good(docs, model)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 5
+    good = {repr(r.doc_id) for r in rules.score_documents(docs, model).collect() if r.predicted}
+    assert {repr(r.doc_id) for r in kept.collect()} == good and kept.columns == docs.columns
+    assert rules.keep_good(documents(spark, []), model).collect() == []

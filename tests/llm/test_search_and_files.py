@@ -234,9 +234,13 @@ def test_alignment():
     assert min(seen.values()) > 50
 
 
+def runs(words):
+    return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+
+
 def classes_by_hand(rows):
     lower = {i: i + 32 for i in range(65, 91)}
-    items = [order_minhash.runs(re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) or [""]) for _, t in rows]
+    items = [runs(re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) or [""]) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -399,3 +403,31 @@ def test_pairs_at_the_edge_are_linked(spark):
         rows += [(2 * i, " ".join(words[:22])), (2 * i + 1, " ".join(words[:20] + words[22:]))]
     got = order_minhash.near_duplicates(documents(spark, rows)).collect()
     assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == [(i, i - i % 2, 2) for i in range(120)]
+
+
+def test_texts_with_common_passages_cost_few_pairs(spark):
+    """Many texts share two passages, one of which the hub lacks; some are copies of each other, some in another order."""
+    random.seed(21)
+    words = [f"w{i}" for i in range(5000)]
+    first, second = random.choices(words, k=30), random.choices(words, k=25)
+    rows = [(0, " ".join(first + random.choices(words, k=12)))]
+    for i in range(1, 120):
+        own = random.choices(words, k=20)
+        rows.append((i, " ".join(first + own + second)))
+        if i % 15 == 0:
+            own[3] = "other"
+            rows.append((1000 + i, " ".join(first + own + second)))
+        if i % 20 == 0:
+            rows.append((2000 + i, " ".join(second + first + own)))
+            own[9] = "another"
+            rows.append((3000 + i, " ".join(second + first + own)))
+    got = order_minhash.near_duplicates(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in got) == classes_by_hand(rows)
+    assert sum(r.class_size > 1 for r in got) > 20
+
+
+def test_buckets_are_compared_as_stars(spark):
+    rows = [("s", i, 10 + i, i % 3) for i in range(50)] + [("t", i, 5, 1) for i in range(60, 70)]
+    buckets = spark.createDataFrame(rows, "shingle string, node long, size long, root long")
+    got = {(r.a, r.b) for r in order_minhash.star(buckets, ["shingle"]).collect()}
+    assert got == {(0, i) for i in range(1, 50)}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, hashing_index, licenses, mixing, order_minhash, rules, sharding, suffix_tree, vafile, warc
+from shelfspark.llm import bpe, decontamination, hashing_index, licenses, mixing, order_minhash, rules, sharding, suffix_tree, vafile, warc
 from shelfspark.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ def op2_suffix_tree(spark, sf_dir) -> DataFrame:
 @query()
 def op5_near_duplicates(spark, sf_dir) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(decontamination.leaks_sql())
+def op13_decontamination(spark, sf_dir) -> DataFrame:
+    leaks = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.digests(leaks)

@@ -429,5 +429,7 @@ def test_texts_with_common_passages_cost_few_pairs(spark):
 def test_buckets_are_compared_as_stars(spark):
     rows = [("s", i, 10 + i, i % 3) for i in range(50)] + [("t", i, 5, 1) for i in range(60, 70)]
     buckets = spark.createDataFrame(rows, "shingle string, node long, size long, root long")
-    got = {(r.a, r.b) for r in order_minhash.star(buckets, ["shingle"]).collect()}
-    assert got == {(0, i) for i in range(1, 50)}
+    pairs = lambda hubs: {(r.a, r.b) for r in order_minhash.star(buckets, ["shingle"], hubs).collect()}
+    assert pairs(1) == {(0, i) for i in range(1, 50)}
+    several = pairs(4)
+    assert pairs(1) < several and len({a for a, _ in several}) == 4 and all(a < b for a, b in several)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, decontamination, hashing_index, licenses, mixing, order_minhash, rules, sharding, suffix_tree, vafile, warc
+from shelfspark.llm import bpe, decontamination, hashing_index, licenses, mixing, order_minhash, rules, sharding, suffix_tree, vafile, warc, whitening
 from shelfspark.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op5_near_duplicates(spark, sf_dir) -> DataFrame:
 def op13_decontamination(spark, sf_dir) -> DataFrame:
     leaks = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontamination.digests(leaks)
+
+
+@query()
+def op12_whitening(spark, sf_dir) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, decontamination, hashing_index, licenses, mixing, order_minhash, rules, sharding, suffix_tree, vafile, warc, whitening
+from shelfspark.llm import bpe, conversations, decontamination, hashing_index, licenses, mixing, order_minhash, rules, sharding, suffix_tree, vafile, warc, whitening
 from shelfspark.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ def op13_decontamination(spark, sf_dir) -> DataFrame:
 @query()
 def op12_whitening(spark, sf_dir) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op11_conversations(spark, sf_dir) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))

@@ -14,7 +14,6 @@ Texts are moved twice: into order, and to their edits. All else works on one let
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,21 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from shelfspark.llm.auction_paths import ACCEPTED, NEVER, STATES, auction, placed, transfer
+from shelfspark.llm.tables import written
 from shelfspark.operators.ordered import number_rows, ordered
-from shelfspark.session import checkpointed, shared_dir, shuffle_partitions
+from shelfspark.session import checkpointed, shuffle_partitions
 
 RUN, FAN_IN = 64, 64
 BLANKS = " \t\n\x0b\x0c\r"
 LEGAL = ("su", "ua", "au")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def runs_of(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """conv, run, turns, roles, texts, codes, marks: runs of messages in order.
 
@@ -351,3 +344,48 @@ def repair_damaged(messages: DataFrame) -> DataFrame:
     numbers = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     empty = F.sha2(F.lit("").cast("binary"), 256)
     return found.select(F.col("c.conv_id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
+
+
+def repair_sql() -> str:
+    """The reports of ``repair_damaged`` in DuckDB SQL over the table ``conversations``.
+
+    Messages are read one by one. For each state the best way so far is a text: its cost in nine digits, the
+    edits, character 1, and the repaired messages, each behind character 2; the least text is the best way.
+    """
+    def add(way: str, cost: str, label: str, line: str | None) -> str:
+        total = f"lpad((left({way}, 9)::INT + {cost})::VARCHAR, 9, '0')"
+        lines = f"split_part({way}, chr(1), 2)" + (f" || chr(2) || {line}" if line else "")
+        return f"{total} || split_part(substr({way}, 10), chr(1), 1) || '{label}' || chr(1) || {lines}"
+
+    insert = lambda way, role: add(way, "2", "I", f"'{role}:'")
+    closed = lambda rows: f"""SELECT conv_id, i, s0, s1, v2 AS s2, least(s3, {insert('v2', 'assistant')}) AS s3 FROM (
+      SELECT conv_id, i, s0, s1, s3, least(s2, {insert('s0', 'user')}, {insert('s1', 'user')}, {insert('s3', 'user')}) AS v2 FROM ({rows}))"""
+    stays, new = "role || ':' || text", lambda role: f"'{role}:' || text"
+    keep = lambda way, initial: f"CASE WHEN NOT gone AND initial = '{initial}' THEN {add(way, 'cut', 'K', stays)} END"
+    turned = lambda way, role: f"CASE WHEN NOT gone THEN {add(way, '2 + cut', 'R', new(role))} END"
+    drop = lambda way: add(way, "3", "D", None)
+    users = ", ".join(f"{keep(s, 'u')}, {turned(s, 'user')}" for s in ("s0", "s1", "s3"))
+    return rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_reduce(
+    [4294967295::BIGINT] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM (SELECT *, xor(crc, 4294967295) % 20 AS kind FROM o) WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS nth,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS plain FROM d),
+m AS (SELECT *, left(role, 1) AS initial, plain = '' AS blank, plain <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nth) > 1 AS again FROM n),
+f AS (SELECT *, blank OR again AS gone, (NOT blank AND NOT again AND right(plain, 1) NOT IN ('.', '!', '?'))::INT AS cut,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY nth) || initial AS pair FROM m),
+w AS ({closed("SELECT DISTINCT conv_id, 0::BIGINT AS i, '000000000' || chr(1) AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM f")}
+  UNION ALL {closed(f'''SELECT f.conv_id, nth AS i, {drop('s0')} AS s0, least({drop('s1')}, {keep('s0', 's')}) AS s1, least({drop('s2')}, {users}) AS s2,
+    least({drop('s3')}, {keep('s2', 'a')}, {turned('s2', 'assistant')}) AS s3 FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.nth = w.i + 1''')}),
+c AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) AS size, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate,
+    sum(cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+b AS (SELECT c.*, least(s0, s3) AS best FROM c JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.size)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(best, 9)::BIGINT, 0) AS cost,
+  coalesce(split_part(substr(best, 10), chr(1), 1), '') AS audit,
+  sha256(coalesce(replace(substr(split_part(best, chr(1), 2), 2), chr(2), chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN b ON a.conv_id IS NOT DISTINCT FROM b.conv_id
+"""

@@ -116,6 +116,6 @@ def op12_whitening(spark, sf_dir) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-@query()
+@query(conversations.repair_sql())
 def op11_conversations(spark, sf_dir) -> DataFrame:
     return conversations.repair_damaged(table(spark, sf_dir, "conversations"))

@@ -1,0 +1,34 @@
+"""Intermediate results as tables in the shared folder.
+
+Unlike a checkpoint they are compressed and their size is known to the planner, so joins with small ones need no shuffle.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+
+from shelfspark.session import shared_dir
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once and read from there."""
+    table = Appended(df, name)
+    table.add(df)
+    return table.read().drop("part")
+
+
+class Appended:
+    """A table to which parts are added one by one; column ``part`` is the number of the part."""
+
+    def __init__(self, like: DataFrame, name: str):
+        self.spark, self.schema = like.sparkSession, like.schema
+        self.path, self.parts = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def add(self, df: DataFrame) -> None:
+        df.write.parquet(f"{self.path}/part={self.parts}")
+        self.parts += 1
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema.toDDL()}, part int").parquet(self.path)

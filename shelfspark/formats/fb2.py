@@ -34,8 +34,8 @@ BINARY = r'(?s)<binary\b[^>]*?\bid="{id}"[^>]*>(.*?)</binary>'
 
 def fb2_metadata(files: DataFrame) -> DataFrame:
     """Rows (path, meta, cover); cover is the id of the embedded image."""
-    texts = book_texts(files).filter(F.col("text").contains("<FictionBook"))
-    # Only the description is parsed; the body and the images, most of the file, are left alone.
+    # Only the description is read; the body and the images, most of the file, are left alone.
+    texts = book_texts(files, end="</description>").filter(F.col("text").contains("<FictionBook"))
     head = F.regexp_extract("text", r"(?s)<description\b[^>]*>.*?</description>", 0)
     note = F.regexp_extract("__head", r"(?s)<annotation\b[^>]*>(.*?)</annotation>", 1)
     bare = F.regexp_replace("__head", r"(?s)<annotation\b[^>]*>.*?</annotation>", "")

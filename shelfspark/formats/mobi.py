@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -38,23 +39,53 @@ def _exth(record: bytes, start: int) -> list[tuple[int, bytes]]:
     return out
 
 
-def _parse(source: str | bytes) -> tuple | None:
-    if isinstance(source, (bytes, bytearray)):
-        data = bytes(source)
-    else:
-        with open(source, "rb") as file:
-            data = file.read()
-    records = struct.unpack_from(">H", data, 76)[0] if len(data) >= HEADER_BYTES else 0
+class Ranges:
+    """Ranged reads of a file, or of bytes that are there already."""
+
+    def __init__(self, source: str | bytes):
+        self.data = bytes(source) if isinstance(source, (bytes, bytearray)) else None
+        self.file = None if self.data is not None else open(source, "rb")
+        self.size = len(self.data) if self.data is not None else os.fstat(self.file.fileno()).st_size
+
+    def read(self, start: int, stop: int) -> bytes:
+        if self.data is not None:
+            return self.data[start:stop]
+        self.file.seek(start)
+        return self.file.read(max(0, stop - start))
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+def _parse(source: Ranges) -> tuple | None:
+    """What is read is the head, the index of records and record 0, whatever the size of the file."""
+    start = source.read(0, HEADER_BYTES)
+    records = struct.unpack_from(">H", start, 76)[0] if len(start) >= HEADER_BYTES else 0
     if not records:
         return None
-    offsets = [struct.unpack_from(">I", data, HEADER_BYTES + 8 * i)[0] for i in range(records)]
-    head = data[offsets[0] : (offsets + [len(data)])[1]]
+    index = source.read(HEADER_BYTES, HEADER_BYTES + 8 * records)
+    offsets = [struct.unpack_from(">I", index, 8 * i)[0] for i in range(records)]
+    head = source.read(offsets[0], (offsets + [source.size])[1])
     if head[16:20] != b"MOBI":
         return None
     header_size, title_at, title_size = (struct.unpack_from(">I", head, at)[0] for at in (20, 84, 88))
     first_image, flags = (struct.unpack_from(">I", head, at)[0] for at in (108, 128))
     exth = _exth(head, 16 + header_size) if flags & 0x40 else []
-    return head[title_at : title_at + title_size], first_image, len(data), offsets, exth
+    return head[title_at : title_at + title_size], first_image, source.size, offsets, exth
+
+
+def _parse_file(source: str | bytes | None) -> tuple | None:
+    try:
+        ranges = Ranges(source)
+    except (OSError, TypeError):
+        return None
+    try:
+        return _parse(ranges)
+    except (OSError, struct.error):
+        return None
+    finally:
+        ranges.close()
 
 
 def mobi_headers(files: DataFrame) -> DataFrame:
@@ -64,10 +95,7 @@ def mobi_headers(files: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                try:
-                    found = _parse(getattr(row, source))
-                except (OSError, TypeError, struct.error):
-                    found = None
+                found = _parse_file(getattr(row, source))
                 if found:
                     full_name, image, size, offsets, exth = found
                     exth = [{"type": t, "data": d} for t, d in exth]

@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.session import checkpointed
+from shelfspark.session import Appended, checkpointed, written
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Nodes that can be reached from the start nodes. edges: src, dst; start: node. Loops are fine.
 
-    One round per level; a round joins the newest level only. Each level is written once, which
-    also keeps the plans short.
+    One round per level; a round joins the newest level only and adds what is new to the table of all
+    levels, so a node is written once. Edges are made once.
     """
-    edges = edges.select("src", "dst").distinct()
-    seen = level = checkpointed(start.select("node").distinct())
-    while True:
-        found = edges.join(level, edges.src == level.node, "left_semi").select(F.col("dst").alias("node")).distinct()
-        level = checkpointed(found.join(seen, "node", "left_anti"))
-        if level.isEmpty():
-            return seen
-        seen = checkpointed(seen.union(level))
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    seen = Appended(start.select("node"), "reached")
+    seen.add(start.select("node").distinct())
+    while not seen.latest().isEmpty():
+        found = edges.join(seen.latest(), edges.src == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct()
+        seen.add(found.join(seen.read().select("node"), "node", "left_anti"))
+    return seen.read().select("node")
 
 
 def broken_links(links: DataFrame, targets: DataFrame, sources: DataFrame, first_only: bool = False) -> DataFrame:

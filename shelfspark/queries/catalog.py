@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,7 @@ from shelfspark.queries.base import (
     xml_text_sql,
 )
 from shelfspark.session import checkpointed
+from shelfspark.sinks import documents
 from shelfspark.sinks.documents import feed_document_parts, folder_page_parts, part_fragments, part_headers
 from shelfspark.sinks.tables import seed_root
 
@@ -314,7 +317,7 @@ _FOLDER_XML = " || chr(10) || ".join([
     f"""'  <link rel="subsection" href="/' || {encode_sql('path')} || '/feed.xml" type="{_NAV}"/>'""", "'</entry>'"])
 XML_ENTRIES = f"""(SELECT *, {_FOLDER_XML} AS xml, 'folder' AS kind FROM (SELECT folder AS path, {parent_sql('folder')} AS folder, name,
     {title_sql('name')} AS title, folder_count, book_count FROM {STRUCTURE} WHERE folder <> '')
-  UNION ALL BY NAME SELECT folder, path, name, title, {_BOOK_XML} AS xml, 'book' AS kind FROM (SELECT html, path, {parent_sql('path')} AS folder, {name_sql('path')} AS name,
+  UNION ALL BY NAME SELECT folder, path, name, title, {_BOOK_XML} AS xml, 'book' AS kind, {size_sql("length(html)")} AS size FROM (SELECT html, path, {parent_sql('path')} AS folder, {name_sql('path')} AS name,
     coalesce(nullif({PAGE_TITLE}, ''), {title_sql(f"regexp_replace({name_sql('path')}, '[.][^.]+$', '')")}) AS title FROM {PAGES}))"""
 NUMBERED = f"""(SELECT *, row_number() OVER (PARTITION BY folder ORDER BY kind = 'book', {natural_sql('title')}, {natural_sql('name')}, name) AS pos
   FROM {XML_ENTRIES} WHERE name NOT LIKE '\\_%' ESCAPE '\\')"""
@@ -355,7 +358,37 @@ def feed_round_trip(spark, sf_dir) -> DataFrame:
     return both.select("folder", "part", F.col("text").eqNullSafe(F.col("again")).alias("same"))
 
 
-@query()
+def _html(value: str) -> str:
+    for char, name in (("&", "&amp;"), ('"', "&quot;"), ("''", "&#39;"), ("<", "&lt;"), (">", "&gt;")):
+        value = f"replace({value}, '{char}', '{name}')"
+    return value
+
+
+def _filled(template: str, **values: str) -> str:
+    """SQL of a template text with each {name} replaced by an expression."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    return " || ".join(values[t] if i % 2 else quoted(t) for i, t in enumerate(re.split(r"\{(\w+)\}", template)) if i % 2 or t)
+
+
+_TITLE = _html("trim(title)")
+_HREF = _html(f"'/' || {encode_sql('path')} || '/'")
+_FOLDER_CARD = _filled(documents.FOLDER_CARD, shelf=_filled(documents.FOLDER_SHELF, title=_TITLE), href=_HREF, title=_TITLE,
+                       summary=f"coalesce({_filled(documents.CARD_TEXT, value=_html(summary_sql('folder_count', 'book_count')))}, '')")
+_FILE = _html(f"'/' || {encode_sql('path')} || '/' || {encode_sql('name')}")
+_ABOUT = f"'<span>' || {_html(f'''concat_ws(' · ', nullif(upper({_EXT}), ''), size)''')} || '</span>'"
+_BOOK_CARD = _filled(
+    documents.BOOK_CARD, title=_TITLE, number="book_no", card_cover=_filled(documents.COVER_TEXT, title=_TITLE), popup_cover=_filled(documents.COVER_TEXT, title=_TITLE),
+    card_author="''", popup_author="''", popup_summary="''", meta=_filled(documents.POPUP_META, value=_ABOUT),
+    downloads=_filled(documents.POPUP_DOWNLOADS, value=_filled(documents.DOWNLOAD, href=_FILE, label="'Download'")))
+
+
+@query(f"""WITH e AS (SELECT *, count(*) FILTER (kind = 'book') OVER (PARTITION BY folder ORDER BY pos) AS book_no FROM {NUMBERED}),
+  parts AS (SELECT folder, ((pos - 1) // 1000 + 1)::INTEGER AS part, CASE WHEN (pos - 1) // 1000 > 0 THEN chr(10) ELSE '' END AS glue,
+    string_agg(CASE WHEN kind = 'folder' THEN {_FOLDER_CARD} ELSE {_BOOK_CARD} END, chr(10) ORDER BY pos) AS text FROM e GROUP BY folder, (pos - 1) // 1000),
+  pages AS (SELECT folder, 0 AS part, {_filled(documents.PAGE_OPEN, title=_html('title'), home=f"CASE WHEN folder = '' THEN '' ELSE {_filled(documents.PAGE_HOME, start=chr(39) + '/' + chr(39))} END")} AS text
+      FROM (SELECT folder, CASE WHEN folder = '' THEN 'Catalog' ELSE {title_sql('name')} END AS title FROM {STRUCTURE})
+    UNION ALL SELECT folder, part, glue || text FROM parts UNION ALL SELECT folder, 2147483647, {_filled(documents.PAGE_CLOSE)} FROM {FOLDERS})
+  SELECT folder, part, length(text)::INTEGER AS length, md5(text) AS digest FROM pages""")
 def folder_pages(spark, sf_dir) -> DataFrame:
     feeds, entries = page_catalog(spark, sf_dir)
     parsed = parse_entries(entries.select("folder", "pos", "book_no", "xml"))

@@ -132,18 +132,22 @@ def cascade_folders(spark, sf_dir) -> DataFrame:
     return ev.cascade(pages)
 
 
-@query(f"""WITH typed AS (SELECT event_id, tag, 'u' || user_id || '/' || name AS path FROM {TYPED} WHERE tag LIKE 'Book%'),
+# All events over entries that are there before: what a last folder deletion covers goes, later creations stay.
+@query(f"""WITH typed AS (SELECT event_id, tag, 'u' || user_id || CASE WHEN tag LIKE 'Folder%' THEN '' ELSE '/' || name END AS path FROM {TYPED}),
   old AS (SELECT DISTINCT 'u' || user_id || '/b' || (event_id % 20) || '.epub' AS path, -1 AS source FROM events),
-  last AS (SELECT path, arg_max(tag, event_id) AS tag, max(event_id) AS event_id FROM typed GROUP BY path)
-  SELECT path, source FROM old WHERE path NOT IN (SELECT path FROM last) UNION ALL SELECT path, event_id FROM last WHERE tag = 'BookCreated'""")
+  last AS (SELECT path, arg_max(tag, event_id) AS tag, max(event_id) AS event_id FROM typed GROUP BY path),
+  gone AS (SELECT path AS folder, event_id AS deleted FROM last WHERE tag = 'FolderDeleted')
+  SELECT path, source FROM old LEFT JOIN gone ON folder = split_part(path, '/', 1) WHERE folder IS NULL AND path NOT IN (SELECT path FROM last)
+  UNION ALL SELECT path, event_id FROM last LEFT JOIN gone ON folder = split_part(path, '/', 1) WHERE tag LIKE '%Created' AND (folder IS NULL OR event_id > deleted)""")
 def apply_events(spark, sf_dir) -> DataFrame:
     raw = raw_events(spark, sf_dir)
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     old = raw.select(
         F.concat(user, F.lit("/b"), (F.col("event_id") % 20).cast("string"), F.lit(".epub")).alias("path")
     ).distinct().withColumn("source", F.lit(-1).cast("long"))
-    typed = ev.classify(raw).filter(F.col("tag").startswith("Book"))
-    changes = typed.select(F.concat_ws("/", user, "name").alias("path"), "tag", F.col("event_id").alias("seq"), F.col("event_id").alias("source"))
+    typed = ev.classify(raw)
+    path = F.when(F.col("tag").startswith("Folder"), user).otherwise(F.concat_ws("/", user, "name"))
+    changes = typed.select(path.alias("path"), "tag", F.col("event_id").alias("seq"), F.col("event_id").alias("source"))
     return ev.apply_changes(old, changes)
 
 

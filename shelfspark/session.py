@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -43,6 +45,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once as a table in the shared folder and read from there.
+
+    Unlike a checkpoint the table is compressed and its size is known to the planner, so joins with small
+    ones need no shuffle.
+    """
+    table = Appended(df, name)
+    table.add(df)
+    return table.read().drop("part")
+
+
+class Appended:
+    """A table in the shared folder to which parts are added one by one; column ``part`` is the number of the part."""
+
+    def __init__(self, like: DataFrame, name: str):
+        self.spark, self.schema = like.sparkSession, like.schema
+        self.path, self.parts = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def add(self, df: DataFrame) -> None:
+        df.write.parquet(f"{self.path}/part={self.parts}")
+        self.parts += 1
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema.toDDL()}, part int").parquet(self.path)
+
+    def latest(self) -> DataFrame:
+        return self.read().filter(F.col("part") == self.parts - 1).drop("part")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows spread over all cores when they come in fewer partitions than there are cores.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,6 +49,10 @@ class Archive:
             return [n for n in self.zip.namelist() if not n.endswith("/")]
         return [m.name for m in self.tar.getmembers() if not m.isdir()] if self.tar else []
 
+    def open(self, name: str):
+        """A member as an open file; null if it is not there."""
+        return self.zip.open(name) if self.zip else self.tar.extractfile(name) if self.tar else None
+
     def read(self, name: str) -> bytes | None:
         """Bytes of a member; a missing or empty one gives None."""
         try:
@@ -100,28 +105,50 @@ def read_members(files: DataFrame, wanted: str = "wanted") -> DataFrame:
     return map_archives(files.select("path", source_column(files), wanted), read, "path string, member string, data binary")
 
 
-def book_texts(files: DataFrame) -> DataFrame:
-    """Rows (path, text) of FB2 books: plain files, or the first ``.fb2`` member of an archive."""
-    source = source_column(files)
+# Texts are read in pieces of this size until the wanted end is found.
+PIECE = 1 << 16
+
+
+def _upto(file, end: bytes | None) -> bytes:
+    """The bytes of an open file, up to and including the first ``end`` if it is there."""
+    if end is None:
+        return file.read()
+    out = bytearray()
+    while piece := file.read(PIECE):
+        seen = max(0, len(out) - len(end))
+        out += piece
+        at = out.find(end, seen)
+        if at >= 0:
+            return bytes(out[: at + len(end)])
+    return bytes(out)
+
+
+def book_texts(files: DataFrame, end: str | None = None) -> DataFrame:
+    """Rows (path, text) of FB2 books: plain files, or the first ``.fb2`` member of an archive.
+
+    With ``end`` a book is read only up to its first occurrence, also inside an archive.
+    """
+    source, stop = source_column(files), None if end is None else end.encode()
+
+    def opened(found, path: str):
+        if path.lower().endswith((".fbz", ".fb2.zip")):
+            archive = open_archive(found)
+            names = [n for n in archive.names() if n.lower().endswith(".fb2")] if archive else []
+            return archive.open(names[0]) if names else None
+        return io.BytesIO(found) if isinstance(found, (bytes, bytearray)) else open(found, "rb")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 found, data = getattr(row, source), None
-                if row.path.lower().endswith((".fbz", ".fb2.zip")):
-                    archive = open_archive(found) if found is not None else None
-                    names = [n for n in archive.names() if n.lower().endswith(".fb2")] if archive else []
-                    data = archive.read(names[0]) if names else None
-                elif isinstance(found, (bytes, bytearray)):
-                    data = bytes(found)
-                elif found is not None:
-                    try:
-                        with open(found, "rb") as file:
-                            data = file.read()
-                    except OSError:
-                        data = None
-                text = data.decode("utf-8", "replace").removeprefix("\ufeff") if data else None
-                yield row.path, text
+                try:
+                    file = opened(found, row.path) if found is not None else None
+                    if file is not None:
+                        with file:
+                            data = _upto(file, stop)
+                except (OSError, EOFError, KeyError, RuntimeError, ValueError, zipfile.BadZipFile, tarfile.TarError, zlib.error):
+                    data = None
+                yield row.path, data.decode("utf-8", "replace").removeprefix("\ufeff") if data else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return frames(rows(batches), "path string, text string")

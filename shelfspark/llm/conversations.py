@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from shelfspark.llm.auction_paths import ACCEPTED, NEVER, STATES, auction, placed, transfer
-from shelfspark.llm.tables import written
 from shelfspark.operators.ordered import number_rows, ordered
-from shelfspark.session import checkpointed, shuffle_partitions
+from shelfspark.session import checkpointed, shuffle_partitions, written
 
 RUN, FAN_IN = 64, 64
 BLANKS = " \t\n\x0b\x0c\r"

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.operators.numbering import numbered
+from shelfspark.llm.numbering import numbered
 
 ROUNDS = 6
 # Modulus and multipliers of the round function (fixed values).

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.operators.numbering import numbered
+from shelfspark.llm.numbering import numbered
 
 SHARD_ROWS = 4096
 ROLL_BYTES = 64 << 20

@@ -314,12 +314,12 @@ def _deleted_above(rows: DataFrame, deleted: DataFrame, column: str) -> DataFram
 def apply_changes(entries: DataFrame, changes: DataFrame, seq: str = "seq") -> DataFrame:
     """Entries after a batch of changes. entries: path, ...; changes: path, tag, seq and entry columns.
 
-    A deletion takes the whole subtree; an entry created after the deletion of a folder above it stays.
+    The same as taking the changes one by one in the order of seq: a deletion takes the whole subtree, also
+    if its folder is created again later; an entry created after the last deletion above it stays.
     """
     last = last_changes(changes, seq)
-    deleted = last.filter(F.col("tag").isin("BookDeleted", "FolderDeleted")).select(
-        "path", F.col(seq).cast("long").alias("__deleted")
-    )
+    gone = changes.filter(F.col("tag").isin("BookDeleted", "FolderDeleted"))
+    deleted = gone.groupBy("path").agg(F.max(F.col(seq).cast("long")).alias("__deleted"))
     created = last.filter(F.col("tag").isin("BookCreated", "FolderCreated"))
     columns = entries.columns
     # Every path with a change of its own leaves the old entries, be it created or deleted.

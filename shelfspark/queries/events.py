@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.paths import url_to_path
+from shelfspark.functions.paths import parent_path, url_to_path
 from shelfspark.operators import events as ev
 from shelfspark.queries.base import PATH, parent_sql, query, table
 from shelfspark.session import shared_dir
+from shelfspark.sinks.buckets import BucketedTable, apply_to_buckets
 from shelfspark.sinks.tables import append_log
 from shelfspark.sources.text import parse_log
 from shelfspark.streaming.suppress import suppress_replay
@@ -132,37 +133,56 @@ def cascade_folders(spark, sf_dir) -> DataFrame:
     return ev.cascade(pages)
 
 
-# All events over entries that are there before: what a last folder deletion covers goes, later creations stay.
-@query(f"""WITH typed AS (SELECT event_id, tag, 'u' || user_id || CASE WHEN tag LIKE 'Folder%' THEN '' ELSE '/' || name END AS path FROM {TYPED}),
-  old AS (SELECT DISTINCT 'u' || user_id || '/b' || (event_id % 20) || '.epub' AS path, -1 AS source FROM events),
+# What the events of the tree leave behind: the last creation of each path, unless a deletion of it or above it came later.
+_EVENTS = f"""typed AS (SELECT event_id, tag, 'u' || user_id || CASE WHEN tag LIKE 'Folder%' THEN '' ELSE '/' || name END AS path FROM {TYPED}),
   last AS (SELECT path, arg_max(tag, event_id) AS tag, max(event_id) AS event_id FROM typed GROUP BY path),
-  gone AS (SELECT path AS folder, event_id AS deleted FROM last WHERE tag = 'FolderDeleted')
+  gone AS (SELECT path AS folder, max(event_id) AS deleted FROM typed WHERE tag = 'FolderDeleted' GROUP BY path),
+  made AS (SELECT path, event_id AS source FROM last LEFT JOIN gone ON folder = split_part(path, '/', 1) WHERE tag LIKE '%Created' AND (folder IS NULL OR event_id > deleted))"""
+_APPLIED = f"""WITH {_EVENTS}, old AS (SELECT DISTINCT 'u' || user_id || '/b' || (event_id % 20) || '.epub' AS path, -1 AS source FROM events)
   SELECT path, source FROM old LEFT JOIN gone ON folder = split_part(path, '/', 1) WHERE folder IS NULL AND path NOT IN (SELECT path FROM last)
-  UNION ALL SELECT path, event_id FROM last LEFT JOIN gone ON folder = split_part(path, '/', 1) WHERE tag LIKE '%Created' AND (folder IS NULL OR event_id > deleted)""")
-def apply_events(spark, sf_dir) -> DataFrame:
-    raw = raw_events(spark, sf_dir)
+  UNION ALL SELECT path, source FROM made"""
+
+
+def path_changes(raw: DataFrame) -> DataFrame:
+    """Changes (path, tag, seq, source) of raw events: folders are users, books lie in them."""
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    old = raw.select(
-        F.concat(user, F.lit("/b"), (F.col("event_id") % 20).cast("string"), F.lit(".epub")).alias("path")
-    ).distinct().withColumn("source", F.lit(-1).cast("long"))
-    typed = ev.classify(raw)
     path = F.when(F.col("tag").startswith("Folder"), user).otherwise(F.concat_ws("/", user, "name"))
-    changes = typed.select(path.alias("path"), "tag", F.col("event_id").alias("seq"), F.col("event_id").alias("source"))
-    return ev.apply_changes(old, changes)
+    return ev.classify(raw).select(path.alias("path"), "tag", F.col("event_id").alias("seq"), F.col("event_id").alias("source"))
 
 
-# Folder deletions take their subtree; later creations stay.
-@query(f"""WITH typed AS (SELECT event_id, tag, 'u' || user_id || CASE WHEN tag LIKE 'Folder%' THEN '' ELSE '/' || name END AS path FROM {TYPED}),
-  last AS (SELECT path, arg_max(tag, event_id) AS tag, max(event_id) AS event_id FROM typed GROUP BY path)
-  SELECT l.path, l.event_id AS source FROM last l LEFT JOIN last d ON d.path = split_part(l.path, '/', 1) AND d.tag = 'FolderDeleted' AND d.event_id > l.event_id
-  WHERE l.tag LIKE '%Created' AND d.path IS NULL""")
-def apply_folder_events(spark, sf_dir) -> DataFrame:
+def old_entries(raw: DataFrame) -> DataFrame:
+    """Entries (path, source) that are there before the events."""
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    typed = ev.classify(raw_events(spark, sf_dir))
-    path = F.when(F.col("tag").startswith("Folder"), user).otherwise(F.concat_ws("/", user, "name"))
-    changes = typed.select(path.alias("path"), "tag", F.col("event_id").alias("seq"), F.col("event_id").alias("source"))
-    nothing = changes.select("path", "source").limit(0)
-    return ev.apply_changes(nothing, changes)
+    path = F.concat(user, F.lit("/b"), (F.col("event_id") % 20).cast("string"), F.lit(".epub"))
+    return raw.select(path.alias("path")).distinct().withColumn("source", F.lit(-1).cast("long"))
+
+
+@query(_APPLIED)
+def apply_events(spark, sf_dir) -> DataFrame:
+    raw = raw_events(spark, sf_dir)
+    return ev.apply_changes(old_entries(raw), path_changes(raw))
+
+
+@query(f"WITH {_EVENTS} SELECT path, source FROM made")
+def apply_folder_events(spark, sf_dir) -> DataFrame:
+    changes = path_changes(raw_events(spark, sf_dir))
+    return ev.apply_changes(changes.select("path", "source").limit(0), changes)
+
+
+@query(_APPLIED)
+def applied_buckets(spark, sf_dir) -> DataFrame:
+    """The same from a table in buckets of folders, to which the events are applied in three batches."""
+    raw = raw_events(spark, sf_dir)
+    entries = BucketedTable(spark, f"{shared_dir(spark)}/entries-{uuid.uuid4().hex}", buckets=16)
+    with_folder = lambda rows: rows.withColumn("folder", parent_path("path"))
+    entries.rewrite(with_folder(old_entries(raw)))
+    changes = with_folder(path_changes(raw))
+    first, last = changes.agg(F.min("seq"), F.max("seq")).first()
+    if first is not None:
+        number = F.floor((F.col("seq") - first) * 3 / (last - first + 1))
+        for batch in range(3):
+            apply_to_buckets(entries, changes.filter(number == batch))
+    return entries.read().select("path", "source")
 
 
 @query("SELECT event_id, event_no FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS event_no FROM events) WHERE event_no % 50 = 0")

@@ -1,7 +1,7 @@
 """The catalog as a stream job: events in, entries and feeds kept up to date.
 
 Each micro-batch is validated, classified, suppressed, applied to the entries table, and the folders
-it touches are rebuilt once, after all its changes. Events whose handler fails go to a dead-letter
+it touches are rebuilt once, after all its changes; of both tables only the buckets that hold them are rewritten. Events whose handler fails go to a dead-letter
 table one by one: the other events of their batch are applied and the stream goes on. Failures that
 are not those of a row (storage, lost executors) end the query, which repeats the batch when it is
 started again. A marker (lost events) rebuilds everything from a listing.
@@ -29,7 +29,8 @@ from shelfspark.operators.events import (
 )
 from shelfspark.operators.feeds import order_entries
 from shelfspark.session import checkpointed
-from shelfspark.sinks.tables import append_log, expire_versions, publish, read_table
+from shelfspark.sinks.buckets import BUCKETS, BucketedTable, apply_to_buckets
+from shelfspark.sinks.tables import append_log, expire_versions
 from shelfspark.streaming.suppress import replay_batch
 
 OVERFLOW = "IN_Q_OVERFLOW"
@@ -51,6 +52,7 @@ class CatalogStream:
     resync: Callable[[SparkSession], DataFrame] | None = None
     handlers: dict[str, Handler] = field(default_factory=dict)
     keep_versions: int = 5
+    buckets: int = BUCKETS
 
     def register(self, tag: str, handler: Handler) -> None:
         self.handlers[tag] = handler
@@ -90,28 +92,32 @@ class CatalogStream:
             halves = (changes.filter(F.col("seq") <= cut), changes.filter(F.col("seq") > cut))
             return [part for half in halves for part in self.handled(handler, half, failed)]
 
-    def publish(self, rows: DataFrame, name: str, batch_id: int) -> None:
-        publish(rows, self.table(name), f"b{batch_id}")
-        expire_versions(rows.sparkSession, self.table(name), self.keep_versions)
+    def buckets_of(self, spark: SparkSession, name: str) -> BucketedTable:
+        """The table of entries or of feeds: rows in buckets of folders."""
+        return BucketedTable(spark, self.table(name), buckets=self.buckets)
 
-    def full_rebuild(self, spark: SparkSession, batch_id: int) -> None:
-        entries = self.resync(spark)
-        self.publish(entries, "entries", batch_id)
-        self.rebuild_feeds(spark, batch_id, None)
+    def full_rebuild(self, spark: SparkSession) -> None:
+        self.buckets_of(spark, "entries").rewrite(self.resync(spark))
+        self.rebuild_feeds(spark, None)
 
-    def rebuild_feeds(self, spark: SparkSession, batch_id: int, changes: DataFrame | None) -> None:
+    def rebuild_feeds(self, spark: SparkSession, changes: DataFrame | None) -> None:
         """Feeds of the folders that changes touch replace the old ones; None rebuilds all.
 
-        Feeds of deleted folders, and of the folders below them, go away.
+        Feeds of deleted folders, and of the folders below them, go away. Only the buckets of these folders are
+        read and written.
         """
-        touched = None if changes is None else cascade(changes, self.compat)
-        entries, feeds = read_table(spark, self.table("entries")), read_table(spark, self.table("feeds"))
-        source = entries if touched is None else entries.join(touched.select("folder"), "folder", "left_semi")
-        rebuilt = order_entries(source).select("folder", "pos", "kind", "name", "title", "author", "path")
-        if feeds is not None and touched is not None:
-            kept = delete_subtrees(feeds, changes.filter("tag = 'FolderDeleted'"), "folder")
-            rebuilt = rebuilt.unionByName(kept.join(touched.select("folder"), "folder", "left_anti"))
-        self.publish(rebuilt, "feeds", batch_id)
+        entries, feeds = self.buckets_of(spark, "entries"), self.buckets_of(spark, "feeds")
+        listed = lambda rows: order_entries(rows).select("folder", "pos", "kind", "name", "title", "author", "path")
+        if changes is None:
+            return feeds.rewrite(listed(entries.read()))
+        touched = checkpointed(cascade(changes, self.compat).select("folder"))
+        deleted = changes.filter("tag = 'FolderDeleted'")
+        buckets = feeds.touched(touched.union(feeds.below(deleted)))
+        rows = listed(entries.read(entries.touched(touched)).join(touched, "folder", "left_semi"))
+        old = feeds.read(buckets)
+        if old is not None:
+            rows = rows.unionByName(delete_subtrees(old, deleted, "folder").join(touched, "folder", "left_anti"))
+        feeds.replace(rows, buckets)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -119,7 +125,7 @@ class CatalogStream:
         kinds = F.split(F.coalesce(F.get_json_object("value", "$.events"), F.lit("")), ",")
         overflow = F.coalesce((F.trim("value") == OVERFLOW) | F.array_contains(kinds, OVERFLOW), F.lit(False))
         if self.resync is not None and not batch.filter(overflow).limit(1).isEmpty():
-            return self.full_rebuild(spark, batch_id)
+            return self.full_rebuild(spark)
         # Without a listing to rebuild from, markers are kept with the rejected lines.
         typed, bad = self.typed(batch.filter(~overflow))
         bad = bad.unionByName(batch.filter(overflow).select(*bad.columns))
@@ -129,19 +135,19 @@ class CatalogStream:
         if accepted.isEmpty():
             return None
         changes = accepted.select("path", "tag", "seq")
-        entries = read_table(spark, self.table("entries"))
         rows, failed = self.entry_rows(changes)
         if failed:
             append_log(reduce(DataFrame.unionByName, failed), self.table("dead_letters"), batch_id)
             changes = changes.join(rows.select("seq"), "seq", "left_semi")
             if changes.isEmpty():
                 return None
-        if entries is None:
-            entries = spark.createDataFrame([], rows.drop("tag", "seq").schema)
-        missing = [c for c in entries.columns if c not in rows.columns]
-        rows = rows.withColumns({c: F.lit(None).cast(entries.schema[c].dataType) for c in missing})
-        self.publish(apply_changes(entries, rows), "entries", batch_id)
-        self.rebuild_feeds(spark, batch_id, changes)
+        table = self.buckets_of(spark, "entries")
+        known = table.read()
+        missing = [] if known is None else [f for f in known.schema if f.name not in rows.columns]
+        rows = checkpointed(rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}))
+        apply_to_buckets(table, rows)
+        self.rebuild_feeds(spark, changes)
+        expire_versions(spark, self.table("state"), self.keep_versions)
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger):
         """Start on a stream of lines (seq, ms, value); by default all that is there, then stop."""

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from shelfspark.sinks.tables import read_table
+from shelfspark.sinks.buckets import BucketedTable, apply_to_buckets
 from shelfspark.streaming.catalog import CatalogStream, default_entries
 from shelfspark.streaming.suppress import STATE_PROVIDER, suppress_live
 
@@ -51,7 +51,7 @@ def test_catalog_stream(spark):
     ]
     query = job.start(stream_of(spark, base, batches), f"{base}/checkpoint")
     query.awaitTermination()
-    feeds = read_table(spark, f"{base}/tables/feeds")
+    feeds = BucketedTable(spark, f"{base}/tables/feeds").read()
     got = [tuple(r) for r in feeds.orderBy("folder", "pos").select("folder", "pos", "kind", "title").collect()]
     assert got == [("", 1, "folder", "Sci Fi"), ("SciFi", 1, "book", "Item2")]
     log = spark.read.parquet(f"{base}/tables/event_log")
@@ -69,7 +69,7 @@ def test_overflow_rebuilds_from_listing(spark):
 
     job = CatalogStream("/books", f"{base}/tables", resync=listing)
     job.start(stream_of(spark, base, [[(1, 1, "IN_Q_OVERFLOW")]]), f"{base}/checkpoint").awaitTermination()
-    assert [r.path for r in read_table(spark, f"{base}/tables/feeds").collect()] == ["x.epub"]
+    assert [r.path for r in BucketedTable(spark, f"{base}/tables/feeds").read().collect()] == ["x.epub"]
 
 
 def test_failing_handler_does_not_stop_the_stream(spark):
@@ -95,9 +95,9 @@ def test_bad_event_leaves_the_others_of_its_batch_alone(spark):
         [(20, 5000, raw("/books/", "f.epub", "CLOSE_WRITE"))], [(21, 6000, raw("/books/", "g.epub", "CLOSE_WRITE"))],
     ]
     job.start(stream_of(spark, base, batches), f"{base}/checkpoint").awaitTermination()
-    assert sorted(r.path for r in read_table(spark, f"{base}/tables/entries").collect()) == [f"{n}.epub" for n in "abcdefg"]
+    assert sorted(r.path for r in BucketedTable(spark, f"{base}/tables/entries").read().collect()) == [f"{n}.epub" for n in "abcdefg"]
     assert sorted(r.seq for r in spark.read.parquet(f"{base}/tables/dead_letters").collect()) == [1, 4]
-    assert len([n for n in os.listdir(f"{base}/tables/entries") if n.startswith("b")]) == 2
+    assert len([n for n in os.listdir(f"{base}/tables/state") if n.startswith("v")]) == 2
 
 
 def test_state_outlives_a_batch_without_events(spark):
@@ -117,7 +117,7 @@ def test_a_name_is_no_overflow_marker(spark):
     job.register("BookCreated", default_entries)
     rows = [(1, 1, raw("/books/", "IN_Q_OVERFLOW.epub", "CLOSE_WRITE"))]
     job.start(stream_of(spark, base, [rows]), f"{base}/checkpoint").awaitTermination()
-    assert [r.path for r in read_table(spark, f"{base}/tables/entries").collect()] == ["IN_Q_OVERFLOW.epub"]
+    assert [r.path for r in BucketedTable(spark, f"{base}/tables/entries").read().collect()] == ["IN_Q_OVERFLOW.epub"]
     kept = CatalogStream("/books", f"{base}/kept")
     kept.start(stream_of(spark, f"{base}/2", [[(1, 1, "IN_Q_OVERFLOW")]]), f"{base}/checkpoint2").awaitTermination()
     assert [r.seq for r in spark.read.parquet(f"{base}/kept/rejected").collect()] == [1]
@@ -136,3 +136,28 @@ def test_live_suppression_lets_one_event_per_key_through(spark):
     ).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert sorted((r.seq, r.key) for r in spark.sql("select * from live_out").collect()) == [(0, "k0"), (1, "k1"), (2, "k2")]
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark):
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    table = BucketedTable(spark, f"{base}/entries", buckets=32)
+    rows = [(f"f{i}", f"f{i}/b{j}", 1) for i in range(40) for j in range(3)] + [("f1/deep", "f1/deep/x", 1), ("", "f1", 1)]
+    table.rewrite(spark.createDataFrame(rows, "folder string, path string, source long"))
+    files = lambda: {name: sorted(os.listdir(f"{base}/entries/{name}")) for name in os.listdir(f"{base}/entries") if name.startswith("bucket=")}
+    before = files()
+    changes = [("f2", "f2/new", 2, "BookCreated", 1), ("", "f1", 2, "FolderDeleted", 2), ("f3", "f3/b0", 2, "BookDeleted", 3)]
+    schema = "folder string, path string, source long, tag string, seq long"
+    rewritten = apply_to_buckets(table, spark.createDataFrame(changes, schema))
+    after = files()
+    assert len(after) == len(before) == 32 and 0 < len(rewritten) <= 5
+    assert {int(n.split("=")[1]) for n in after if after[n] != before[n]} == set(rewritten)
+    wanted = {(p, s) for f, p, s in rows if not p.startswith("f1/") and p not in ("f1", "f3/b0")} | {("f2/new", 2)}
+    assert {(r.path, r.source) for r in table.read().collect()} == wanted
+    # A repeated batch changes nothing, nor does an empty one.
+    apply_to_buckets(table, spark.createDataFrame(changes, schema))
+    assert apply_to_buckets(table, spark.createDataFrame([], schema)) == []
+    assert {(r.path, r.source) for r in table.read().collect()} == wanted
+    # A bucket that loses its last row is empty, not as it was.
+    gone = [("", f"f{i}", 3, "FolderDeleted", i) for i in range(40)]
+    apply_to_buckets(table, spark.createDataFrame(gone, schema))
+    assert table.read().collect() == []

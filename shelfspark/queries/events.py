@@ -13,6 +13,7 @@ from shelfspark.queries.base import PATH, parent_sql, query, table
 from shelfspark.session import shared_dir
 from shelfspark.sinks.buckets import BucketedTable, apply_to_buckets
 from shelfspark.sinks.tables import append_log
+from shelfspark.sources.event_source import read_events
 from shelfspark.sources.text import parse_log
 from shelfspark.streaming.suppress import suppress_replay
 
@@ -114,6 +115,15 @@ def suppress_one_key(spark, sf_dir) -> DataFrame:
     return ev.suppress(one, seq="event_id", interval=HOURS).select("event_id")
 
 
+@query(f"SELECT event_id, parent, name, events FROM {RAW}")
+def change_event_rows(spark, sf_dir) -> DataFrame:
+    """The raw events written as a change log and read again by its source, in ranges of a part of a file."""
+    log = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    raw_events(spark, sf_dir).select(F.to_json(F.struct("parent", "name", "events", "event_id"))).write.text(log)
+    good, _ = ev.valid_events(read_events(spark, log, partBytes=1 << 20).withColumn("event_id", F.get_json_object("value", "$.event_id").cast("long")))
+    return good.select("event_id", "parent", "name", "events")
+
+
 @query("SELECT event_id // 1000 AS batch, 'u' || user_id AS folder, max(event_id) AS last_seq, count(*) AS requests FROM events GROUP BY 1, 2")
 def coalesce_requests(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(

@@ -428,7 +428,9 @@ def test_texts_with_common_passages_cost_few_pairs(spark):
 
 def test_buckets_are_compared_as_stars(spark):
     rows = [("s", i, 10 + i, i % 3) for i in range(50)] + [("t", i, 5, 1) for i in range(60, 70)]
-    buckets = spark.createDataFrame(rows, "shingle string, node long, size long, root long")
+    rows += [("u", i, i, i) for i in range(70, 75)]
+    rows = [(*r, r[0] != "u") for r in rows]
+    buckets = spark.createDataFrame(rows, "shingle string, node long, rank long, root long, strong boolean")
     pairs = lambda hubs: {(r.a, r.b) for r in order_minhash.star(buckets, ["shingle"], hubs).collect()}
     assert pairs(1) == {(0, i) for i in range(1, 50)}
     several = pairs(4)

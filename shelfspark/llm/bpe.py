@@ -170,7 +170,8 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, key: str = "doc_id",
     """One row per row of ``docs``: doc_id, ``ids`` (32-bit little-endian unsigned numbers), ``decoded``.
 
     ``decoded`` is made from the ids. Null and empty texts have no ids and decode to an empty text.
-    Repeated rows are encoded each. Other columns are not read.
+    Repeated rows are encoded each, texts whole, however long; a long word takes a heap of its own. An empty
+    table gives no rows. Other columns are not read.
     """
     # Plain values, as tasks need not have this package.
     held = docs.sparkSession.sparkContext.broadcast(vars(read_vocabulary(vocabulary_path)))

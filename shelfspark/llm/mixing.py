@@ -111,7 +111,8 @@ def choose(
     is not taken has no row. Null language or source are names of their own, null and empty texts have
     no tokens and come with the prefix that they fall into. Rows with equal key, language, source and
     text are one (``n_rows`` tells how many): they are taken or left together. Equal keys with different
-    texts are different documents. Extra columns are not read.
+    texts are different documents. Words of a text are counted whole, however long it is; an empty table
+    gives no rows. Extra columns are not read.
     """
     rows = docs.select(
         domain_of(F.col("source")).alias("domain"), F.col("lang").alias("lang"), F.col("source").alias("source"),
@@ -147,7 +148,11 @@ def choose(
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that ``choose`` takes, each as often as it is taken. Columns stay as they are."""
+    """The rows of ``docs`` that ``choose`` takes, each as often as it is taken. Columns stay as they are.
+
+    Nulls, empty texts, repeated rows and empty tables as in ``choose``: repeated rows are taken together, each
+    of them as often as their copies say. Columns may have any names.
+    """
     taken = choose(docs, key=key, text=text, **options)
     taken = taken.select(*[F.col(c).alias(f"t_{c}") for c in ("doc_id", "digest", "lang", "source", "copies")])
     rows = docs.select(

@@ -109,8 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learn from labelled rows of ``docs`` that are not held out.
 
     Labels other than 0 and 1 are left out, of several labels of an id the smallest counts, and rows
-    with a null id take no part. Without both kinds of labels the model is a constant: the share of
-    label 1, or ``NO_LABELS``.
+    with a null id take no part. Of repeated documents each counts. Texts are read whole; null and empty ones
+    are learnt from like others. Without both kinds of labels, or without documents, the model is a
+    constant: the share of label 1, or ``NO_LABELS``.
     """
     known = labels.select(F.col(key).alias("doc_id"), F.col("quality").alias("quality"))
     known = known.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))

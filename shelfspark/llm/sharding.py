@@ -67,7 +67,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 7, key: str =
 
     ``size`` is the length of the text in bytes plus 1, 1 for null, whose check sum is that of an
     empty text. Rows are numbered by key (null first), check sum and size, so repeated keys with
-    different texts have a fixed order, and of equal rows it does not matter. Other columns are not read.
+    different texts have a fixed order, and of equal rows it does not matter. A text counts whole, however
+    long; an empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(
         F.col(key).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),

@@ -219,7 +219,7 @@ def score_texts(
 
     Learnt from rows that are not held out, in all their copies. Null texts are empty: one token, the
     end. Without training rows the tree is uniform and the base score 0. Repeated keys are rows of their
-    own. Other columns are not read.
+    own. Texts are scored whole, however long; an empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))

@@ -117,7 +117,8 @@ def write_archives(
 
     A null page is an empty payload, a null url has no target address. Payloads below ``min_bytes`` are
     never revisits. Null pages sort first and are the smallest. Rows with equal page and payload are kept
-    together: the first is the response, or all revisit that of a larger page. Other columns are not read.
+    together: the first is the response, or all revisit that of a larger page. A payload is one record,
+    however long. An empty table gives an empty manifest. Other columns are not read.
     """
     spark = pages.sparkSession
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)

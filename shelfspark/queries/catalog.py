@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,10 +50,11 @@ from shelfspark.queries.base import (
     title_sql,
     xml_text_sql,
 )
-from shelfspark.session import checkpointed
+from shelfspark.session import checkpointed, shared_dir
 from shelfspark.sinks import documents
 from shelfspark.sinks.documents import feed_document_parts, folder_page_parts, part_fragments, part_headers
 from shelfspark.sinks.tables import seed_root
+from shelfspark.streaming.catalog import CatalogStream, default_entries
 
 UPDATED = "2026-01-01T00:00:00.000Z"
 
@@ -234,6 +236,20 @@ def plan_events(spark, sf_dir) -> DataFrame:
     return sync.plan_events(sync.plan(*plan_inputs(spark, sf_dir)), "/books")
 
 
+# The state lies in a table of entries; afterwards it has the files and folders of the listing, rewritten where need be.
+@query(PLAN + """SELECT path, 'book' AS kind, path IN (SELECT path FROM changed) AS fresh FROM files
+  UNION ALL SELECT path, 'folder', true FROM folders WHERE path <> ''""")
+def resynced_entries(spark, sf_dir) -> DataFrame:
+    files, state = plan_inputs(spark, sf_dir)
+    job = CatalogStream("/books", f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}", buckets=8)
+    for tag in ("BookCreated", "FolderCreated"):
+        job.register(tag, default_entries)
+    entries = job.buckets_of(spark, "entries")
+    entries.rewrite(default_entries(state.withColumn("tag", F.when(F.col("kind") == "book", "BookCreated").otherwise("FolderCreated"))).drop("tag"))
+    job.resynchronize(files, 0, now_ms=1 << 50)
+    return entries.read().select("path", "kind", (F.col("entry_mtime_ms") == float(1 << 50)).alias("fresh"))
+
+
 @query(PLAN + """SELECT count(*) FILTER (action = 'process')::BIGINT AS books_process, count(*) FILTER (action = 'delete')::BIGINT AS books_delete,
   count(*) FILTER (action = 'folder')::BIGINT AS folders_count FROM plan""")
 def plan_summary(spark, sf_dir) -> DataFrame:

@@ -9,12 +9,13 @@ started again. A marker (lost events) rebuilds everything from a listing.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.constants import SUPPRESS_INTERVAL_MS
@@ -28,15 +29,20 @@ from shelfspark.operators.events import (
     valid_events,
 )
 from shelfspark.operators.feeds import order_entries
+from shelfspark.plans.sync import plan
 from shelfspark.session import checkpointed
 from shelfspark.sinks.buckets import BUCKETS, BucketedTable, apply_to_buckets
 from shelfspark.sinks.tables import append_log, expire_versions
+from shelfspark.sources.files import scan_mirror
 from shelfspark.streaming.suppress import replay_batch
 
 OVERFLOW = "IN_Q_OVERFLOW"
 # Messages of failures that have nothing to do with a row (fixed values).
 INFRASTRUCTURE = ("ExecutorLost", "FetchFailed", "No space left", "Connection", "OutOfMemory", "FileNotFound", "FILE_NOT_EXIST")
 
+# Column of an entry with the time at which it was written, and the shortest interval of resyncs in seconds.
+WRITTEN, LEAST_RESYNC = "entry_mtime_ms", 60
+
 # A handler turns the changes of one tag (path, tag, seq) into entry rows, which it may enrich.
 Handler = Callable[[DataFrame], DataFrame]
 
@@ -53,6 +59,7 @@ class CatalogStream:
     handlers: dict[str, Handler] = field(default_factory=dict)
     keep_versions: int = 5
     buckets: int = BUCKETS
+    busy: threading.Lock = field(default_factory=threading.Lock, repr=False)
 
     def register(self, tag: str, handler: Handler) -> None:
         self.handlers[tag] = handler
@@ -97,8 +104,9 @@ class CatalogStream:
         return BucketedTable(spark, self.table(name), buckets=self.buckets)
 
     def full_rebuild(self, spark: SparkSession) -> None:
-        self.buckets_of(spark, "entries").rewrite(self.resync(spark))
-        self.rebuild_feeds(spark, None)
+        with self.busy:
+            self.buckets_of(spark, "entries").rewrite(self.resync(spark).withColumn(WRITTEN, written_ms(None)))
+            self.rebuild_feeds(spark, None)
 
     def rebuild_feeds(self, spark: SparkSession, changes: DataFrame | None) -> None:
         """Feeds of the folders that changes touch replace the old ones; None rebuilds all.
@@ -135,19 +143,66 @@ class CatalogStream:
         if accepted.isEmpty():
             return None
         changes = accepted.select("path", "tag", "seq")
+        with self.busy:
+            self.apply(spark, changes, batch_id)
+        expire_versions(spark, self.table("state"), self.keep_versions)
+
+    def apply(self, spark: SparkSession, changes: DataFrame, batch_id: int, now_ms: int | None = None) -> None:
+        """Apply changes (path, tag, seq) to the entries and rebuild the feeds that they touch."""
         rows, failed = self.entry_rows(changes)
         if failed:
             append_log(reduce(DataFrame.unionByName, failed), self.table("dead_letters"), batch_id)
-            changes = changes.join(rows.select("seq"), "seq", "left_semi")
+            changes = changes.join(rows.select("seq", "path"), ["seq", "path"], "left_semi")
             if changes.isEmpty():
-                return None
+                return
         table = self.buckets_of(spark, "entries")
         known = table.read()
-        missing = [] if known is None else [f for f in known.schema if f.name not in rows.columns]
-        rows = checkpointed(rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}))
+        missing = [] if known is None else [f for f in known.schema if f.name not in (*rows.columns, WRITTEN)]
+        rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
+        rows = checkpointed(rows.withColumn(WRITTEN, written_ms(now_ms)))
         apply_to_buckets(table, rows)
         self.rebuild_feeds(spark, changes)
-        expire_versions(spark, self.table("state"), self.keep_versions)
+
+    # --- resync -----------------------------------------------------------------------------------
+
+    def resynchronize(self, files: DataFrame, number: int, now_ms: int | None = None) -> bool:
+        """Bring the entries in line with a listing (path, size, mtime_ms); False while a batch is being applied.
+
+        The refresh plan of the listing against the entries is applied as one batch, without suppression: entries
+        of paths that are gone go, folders without an entry and files newer than theirs get one.
+        """
+        if not self.busy.acquire(blocking=False):
+            return False
+        try:
+            spark = files.sparkSession
+            entries = self.buckets_of(spark, "entries").read()
+            if entries is None:
+                entries = spark.createDataFrame([], f"path string, kind string, {WRITTEN} double")
+            state = checkpointed(scan_mirror(entries))
+            actions = checkpointed(plan(files.select("path", "size", "mtime_ms"), state))
+            known = state.filter("kind = 'folder'").select("path")
+            fresh = actions.filter("action = 'folder' AND path <> ''").join(known, "path", "left_anti")
+            wanted = actions.filter("action <> 'folder'").unionByName(fresh)
+            tag = F.when(F.col("action") == "delete", "BookDeleted").when(F.col("action") == "folder", "FolderCreated").otherwise("BookCreated")
+            changes = checkpointed(wanted.select("path", tag.alias("tag"), F.col("seq").cast("long").alias("seq")))
+            if not changes.isEmpty():
+                self.apply(spark, changes, number, now_ms)
+            return True
+        finally:
+            self.busy.release()
+
+    def start_resync(self, spark: SparkSession, listing: Callable[[SparkSession], DataFrame], seconds: int, checkpoint: str):
+        """Resynchronize with ``listing(spark)`` at a fixed interval of at least ``LEAST_RESYNC`` seconds; 0 is off.
+
+        A time that comes while the last resync still runs, or while events are applied, is passed over.
+        """
+        if seconds == 0:
+            return None
+        if seconds < LEAST_RESYNC:
+            raise ValueError(f"resync every {LEAST_RESYNC} seconds at most")
+        ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        run = lambda tick, number: self.resynchronize(listing(tick.sparkSession), number) and None
+        return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger):
         """Start on a stream of lines (seq, ms, value); by default all that is there, then stop."""
@@ -156,6 +211,12 @@ class CatalogStream:
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def written_ms(now_ms: int | None) -> Column:
+    """Time at which an entry is written."""
+    now = F.unix_millis(F.current_timestamp()) if now_ms is None else F.lit(now_ms)
+    return now.cast("double")
+
+
 def default_entries(changes: DataFrame) -> DataFrame:
     """Entry columns from the path alone; registered handlers replace this per tag."""
     from shelfspark.functions.paths import parent_path, path_name, strip_extension
@@ -170,10 +231,3 @@ def default_entries(changes: DataFrame) -> DataFrame:
         "title": normalize_title(F.when(is_folder, name).otherwise(strip_extension(name))),
         "author": F.lit(None).cast("string"),
     })
-
-
-def reconcile(spark: SparkSession, files: DataFrame, state: DataFrame, root: str) -> DataFrame:
-    """Scheduled reconciliation: the refresh plan as typed events, without suppression."""
-    from shelfspark.plans.sync import plan, plan_events
-
-    return plan_events(plan(files, state), root)

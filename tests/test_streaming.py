@@ -3,10 +3,13 @@
 import json
 import os
 import tempfile
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.sinks.buckets import BucketedTable, apply_to_buckets
+from shelfspark.streaming import catalog
 from shelfspark.streaming.catalog import CatalogStream, default_entries
 from shelfspark.streaming.suppress import STATE_PROVIDER, suppress_live
 
@@ -161,3 +164,41 @@ def test_a_batch_rewrites_only_the_buckets_it_touches(spark):
     gone = [("", f"f{i}", 3, "FolderDeleted", i) for i in range(40)]
     apply_to_buckets(table, spark.createDataFrame(gone, schema))
     assert table.read().collect() == []
+
+
+def test_resync_follows_the_listing_and_passes_over_busy_times(spark):
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    job = CatalogStream("/books", f"{base}/tables", buckets=4)
+    for tag in ("BookCreated", "FolderCreated"):
+        job.register(tag, default_entries)
+    listing = lambda *rows: spark.createDataFrame(list(rows), "path string, size long, mtime_ms double")
+    entries = lambda: {(r.path, r.kind, r.entry_mtime_ms) for r in BucketedTable(spark, f"{base}/tables/entries", buckets=4).read().collect()}
+    assert job.resynchronize(listing(("a/x.epub", 1, 10.0), ("a/b/y.pdf", 1, 10.0)), 0, now_ms=100)
+    assert entries() == {("a", "folder", 100), ("a/b", "folder", 100), ("a/x.epub", "book", 100), ("a/b/y.pdf", "book", 100)}
+    after = listing(("a/x.epub", 1, 100.5), ("c/z.epub", 1, 5.0))
+    with job.busy:
+        assert not job.resynchronize(after, 1, now_ms=200)
+    assert job.resynchronize(after, 2, now_ms=200)
+    wanted = {("a", "folder", 100), ("a/x.epub", "book", 200), ("c", "folder", 200), ("c/z.epub", "book", 200)}
+    assert entries() == wanted
+    assert job.resynchronize(after, 3, now_ms=300) and entries() == wanted
+    feeds = BucketedTable(spark, f"{base}/tables/feeds", buckets=4).read()
+    assert sorted((r.folder, r.name) for r in feeds.collect()) == [("", "a"), ("", "c"), ("a", "x.epub"), ("c", "z.epub")]
+
+
+def test_resync_interval(spark, monkeypatch):
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    job = CatalogStream("/books", f"{base}/tables", buckets=4)
+    job.register("BookCreated", default_entries)
+    rows = lambda session: session.createDataFrame([("x.epub", 1, 1.0)], "path string, size long, mtime_ms double")
+    assert job.start_resync(spark, rows, 0, f"{base}/checkpoint") is None
+    with pytest.raises(ValueError):
+        job.start_resync(spark, rows, 59, f"{base}/checkpoint")
+    monkeypatch.setattr(catalog, "LEAST_RESYNC", 1)
+    query = job.start_resync(spark, rows, 1, f"{base}/checkpoint")
+    entries = BucketedTable(spark, f"{base}/tables/feeds", buckets=4)
+    end = time.time() + 90
+    while not entries.exists() and query.isActive and time.time() < end:
+        time.sleep(0.5)
+    query.stop()
+    assert [r.path for r in entries.read().collect()] == ["x.epub"]

@@ -1,4 +1,4 @@
-"""Full-text search with excerpts, phrase search under a collation, words with offsets.
+"""Full-text search with excerpts, words with offsets.
 
 Inputs are columns with the whole text, or with the text nodes of a document. Positions count
 characters from 0.
@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import re
 
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.constants import EXCERPT_CONTEXT, SPACE_CLASS
+from shelfspark.constants import EXCERPT_CONTEXT
 from shelfspark.functions.text import col, collapse_space, let, pick, tail
 
 CHUNK = 32
@@ -21,9 +20,6 @@ WORD = r"[\p{L}\p{M}\p{N}_]++(?:['’.·]\p{L}[\p{L}\p{M}\p{N}_]*+|[.,;'’]\p{N
 GAP = r"[^\p{L}\p{M}\p{N}_]+"
 SENTENCE = r"[^.!?…]*[.!?…]+[\"'”’)\]]*\s*|[^.!?…]+$"
 
-# Collation of each sensitivity: what counts as different besides the letter itself.
-SENSITIVITY = {"base": "UNICODE_CI_AI", "accent": "UNICODE_CI", "case": "UNICODE_AI", "variant": "UNICODE"}
-
 
 def piece_starts(pieces: Column) -> Column:
     """Start of each piece of a text cut in pieces.
@@ -135,75 +131,6 @@ def search_segments(docs: DataFrame, segments: str, query: str, match_case: bool
     )
 
 
-def phrase_hits(text: Column | str, query: str, sensitivity: str = "base", whole_words: bool = False) -> Column:
-    """array<struct<start, end>>: runs of characters (or words) equal to the query under a collation.
-
-    A run of white space counts as one blank; format characters are skipped.
-    """
-    collation = SENSITIVITY[sensitivity]
-    units = rf"[{SPACE_CLASS}]+|{WORD}|(?s:.)" if whole_words else rf"[{SPACE_CLASS}]+|\X"
-
-    def tokens(c: Column) -> Column:
-        return F.regexp_extract_all(c, F.lit(f"({units})"), F.lit(1))
-
-    def visible(t: Column) -> Column:
-        """One ASCII character that is no blank: the common case, decided without a pattern."""
-        return (F.octet_length(t) == 1) & (t > " ")
-
-    def is_space(t: Column) -> Column:
-        return ~visible(t) & t.rlike(rf"^[{SPACE_CLASS}]")
-
-    def plain(t: Column) -> Column:
-        return F.when(is_space(t), " ").otherwise(t)
-
-    def placed(pieces: Column) -> Column:
-        end = lambda t, s: s + F.when(is_space(t), 1).otherwise(F.length(t))
-        unit = lambda t, s: F.struct(plain(t).alias("t"), s.alias("start"), end(t, s).alias("end"))
-        units = F.zip_with(pieces, piece_starts(pieces), unit)
-        return F.filter(units, lambda u: visible(u["t"]) | ~u["t"].rlike(r"^\p{Cf}+$"))
-
-    # The query is cut once, here, and not again for every position of every text.
-    cut = regex.findall(units, query)
-    wanted = [" " if regex.match(rf"[{SPACE_CLASS}]", u) else u for u in cut]
-    n = len(wanted)
-    first = F.collate(F.lit(wanted[0]), collation)
-    whole = F.collate(F.lit("".join(wanted)), collation)
-
-    def starts_alike(unit: Column) -> Column:
-        # Collated comparison is slow; for plain ASCII on both sides it is comparison of the letters.
-        if not query.isascii():
-            return F.collate(unit, collation) == first
-        exact = sensitivity in ("case", "variant")
-        same = unit == F.lit(wanted[0]) if exact else F.lower(unit) == F.lit(wanted[0].lower())
-        plain_unit = F.octet_length(unit) == F.length(unit)
-        return F.when(plain_unit, same).otherwise(F.collate(unit, collation) == first)
-
-    def spans(units: Column) -> Column:
-        last = F.size(units) - n + 1
-
-        def is_hit(i: Column) -> Column:
-            run = F.array_join(pick(units, i, i + n - 1, lambda u: u["t"]), "")
-            return starts_alike(F.element_at(units, i)["t"]) & (F.collate(run, collation) == whole)
-
-        at = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: (i <= last) & is_hit(i))
-        return F.transform(
-            at, lambda i: F.struct(F.element_at(units, i)["start"].alias("start"), F.element_at(units, i + n - 1)["end"].alias("end"))
-        )
-
-    found = let(tokens(col(text)), lambda pieces: let(placed(pieces), spans))
-    return F.coalesce(found, F.array().cast("array<struct<start:int,end:int>>"))
-
-
-def search_phrase(docs: DataFrame, text: str, query: str, sensitivity: str = "base", whole_words: bool = False) -> DataFrame:
-    """One row per phrase hit: the other columns, start, end. Texts without the phrase are left out early."""
-    others = [c for c in docs.columns if c != text]
-    collation = SENSITIVITY[sensitivity]
-    folded = F.collate(collapse_space(F.regexp_replace(text, r"\p{Cf}", "")), collation)
-    likely = F.contains(folded, F.collate(F.lit(re.sub(r"\s+", " ", query)), collation))
-    spans = F.explode(phrase_hits(text, query, sensitivity, whole_words))
-    return docs.filter(likely).select(*others, spans.alias("s")).select(*others, "s.start", "s.end")
-
-
 def hits_by_section(hits: DataFrame, totals: DataFrame, book: str, section: str) -> DataFrame:
     """Hits per section that has any, with the share of the book read after it.
 

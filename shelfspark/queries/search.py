@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.constants import BLOCK_TAGS
 from shelfspark.formats.html import element_attributes, elements_by_class, html_elements
 from shelfspark.functions.markup import block_texts, text_segments
-from shelfspark.operators import search
+from shelfspark.operators import phrases, search
 from shelfspark.queries.base import query, table, texts
 
 NEEDLE = "ungau"
@@ -62,7 +62,7 @@ _FOLDED = r"strip_accents(lower(regexp_replace(regexp_replace(text, '\p{Cf}', ''
 @query(f"""SELECT doc_id, ((length(f) - length(replace(f, '{PHRASE}', ''))) // {len(PHRASE)})::BIGINT AS hits FROM (SELECT doc_id, {_FOLDED} AS f FROM documents) WHERE contains(f, '{PHRASE}')""")
 def phrase_search(spark, sf_dir) -> DataFrame:
     docs = texts(spark, sf_dir, "documents", "doc_id", "text")
-    return search.search_phrase(docs, "text", "De  là".replace("  ", " ")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    return phrases.search_phrase(docs, "text", "De  là".replace("  ", " ")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 _WORD = r"[\p{L}\p{M}\p{N}_]+(?:[''’.·]\p{L}[\p{L}\p{M}\p{N}_]*|[.,;''’]\p{N}[\p{L}\p{M}\p{N}_]*)*"
@@ -72,7 +72,7 @@ _GAP = r"[^\p{L}\p{M}\p{N}_]+"
 @query(f"""SELECT doc_id, hits FROM (SELECT doc_id, len(list_filter(regexp_extract_all(text, '{_WORD}'), lambda w: lower(w) = 'der'))::BIGINT AS hits FROM documents) WHERE hits > 0""")
 def word_search(spark, sf_dir) -> DataFrame:
     docs = texts(spark, sf_dir, "documents", "doc_id", "text")
-    hits = search.search_phrase(docs, "text", "DER", "accent", whole_words=True)
+    hits = phrases.search_phrase(docs, "text", "DER", "accent", whole_words=True)
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -138,6 +138,26 @@ def segment_search(spark, sf_dir) -> DataFrame:
     return hits.select("page_id", "start_node", "start_offset", "end_node", "end_offset")
 
 
+NODE_PHRASE = "hès"
+_JOINT = "chr(65529)"
+_OVER = r"(?i)h\x{FFF9}?[eéèêë]\x{FFF9}?s"
+
+
+@query(f"""WITH p AS (SELECT page_id, s, regexp_extract_all(t, '{_OVER}') AS m, string_split_regex(t, '{_OVER}') AS parts,
+    list_transform(range(1, len(s) + 1), lambda i: coalesce(list_sum(list_transform(s[1:i - 1], lambda x: length(x) + 1)), 0)) AS starts
+    FROM (SELECT page_id, s, array_to_string(s, {_JOINT}) AS t FROM (SELECT page_id, {_SEGMENTS} AS s FROM pages))),
+  h AS (SELECT page_id, s, starts, m[i] AS found, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
+    FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM p)),
+  n AS (SELECT *, len(list_filter(starts, lambda x: x <= a)) AS f, len(list_filter(starts, lambda x: x <= a + length(found) - 1)) AS l FROM h),
+  o AS (SELECT page_id, f, l, (a - starts[f])::INTEGER AS start_offset, (a + length(found) - starts[l])::INTEGER AS end_offset, replace(found, {_JOINT}, '') AS match, s FROM n)
+  SELECT page_id, (f - 1)::INTEGER AS start_node, start_offset, (l - 1)::INTEGER AS end_node, end_offset,
+    CASE WHEN length(b) < 50 THEN '' ELSE '…' END || right(b, 50) AS pre, match, left(e, 50) || CASE WHEN length(e) < 50 THEN '' ELSE '…' END AS post
+  FROM (SELECT *, ltrim(regexp_replace(left(s[f], start_offset), '{_S}', ' ', 'g')) AS b, rtrim(regexp_replace(substr(s[l], end_offset + 1), '{_S}', ' ', 'g')) AS e FROM o)""")
+def segment_phrase(spark, sf_dir) -> DataFrame:
+    pages = texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", text_segments("html").alias("segments"))
+    return phrases.search_nodes(pages, "segments", NODE_PHRASE)
+
+
 @query(r"""SELECT page_id, lower(tag) AS tag, count(*) AS elements FROM (SELECT page_id, unnest(regexp_extract_all(
   regexp_replace(html, '(?is)<!--.*?-->|(<script\b[^>]*>).*?</script\s*>', '\1', 'g'), '<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM pages) GROUP BY 1, 2""")
 def html_element_counts(spark, sf_dir) -> DataFrame:

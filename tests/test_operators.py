@@ -17,7 +17,7 @@ from shelfspark.operators import events as ev
 from shelfspark.operators.feeds import feed_fragments, feed_headers, order_entries, parse_entries
 from shelfspark.operators.folders import folder_edges, folder_structure, folders_of
 from shelfspark.operators.links import choose_groups, reachable
-from shelfspark.operators.search import search_phrase, search_segments, search_text
+from shelfspark.operators.search import search_segments, search_text
 from shelfspark.plans.entries import book_entries, book_entry_xml
 from shelfspark.plans.sync import changed_files, fingerprint, orphan_entries, plan, plan_events
 from shelfspark.sinks.documents import feed_document_parts, folder_page_parts, join_parts
@@ -134,15 +134,6 @@ def test_search_across_nodes(spark):
     assert (row.pre, row.match, row.post) == ("", "one two", " three")
 
 
-def test_phrase_search(spark):
-    df = spark.createDataFrame([(1, "Le  CAFÉ­\n noir, cafe noirs")], "id int, text string")
-    spans = lambda *a, **k: [(r.start, r.end) for r in search_phrase(df, "text", *a, **k).orderBy("start").collect()]
-    assert spans("cafe noir") == [(4, 15), (17, 26)]
-    assert spans("cafe noir", whole_words=True) == [(4, 15)]
-    assert spans("café noir", "accent") == [(4, 15)]
-    assert spans("cafe noir", "variant") == [(17, 26)]
-
-
 def test_classification(spark):
     rows = [
         ("book.epub", "CLOSE_WRITE", "BookCreated"), ("book.fb2", "MOVED_TO", "BookCreated"), ("book.pdf", "DELETE", "BookDeleted"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 
@@ -54,6 +55,7 @@ from shelfspark.session import checkpointed, shared_dir
 from shelfspark.sinks import documents
 from shelfspark.sinks.documents import feed_document_parts, folder_page_parts, part_fragments, part_headers
 from shelfspark.sinks.tables import seed_root
+from shelfspark.sources.files import scan_files
 from shelfspark.streaming.catalog import CatalogStream, default_entries
 
 UPDATED = "2026-01-01T00:00:00.000Z"
@@ -236,6 +238,45 @@ def plan_events(spark, sf_dir) -> DataFrame:
     return sync.plan_events(sync.plan(*plan_inputs(spark, sf_dir)), "/books")
 
 
+# Every third page is a text file, every seventh a file that is no book.
+_SUFFIX = "CASE WHEN page_id % 7 = 0 THEN '.md' WHEN page_id % 3 = 0 THEN '.TXT' ELSE '.epub' END"
+
+
+def page_tree(spark, sf_dir) -> str:
+    """The pages written as a tree of files in the shared folder; a task that runs again writes the same files."""
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    files = page_files(spark, sf_dir, html=F.col("html")).select(F.concat("path", F.expr(_SUFFIX)).alias("path"), "html")
+
+    def write(batches):
+        for batch in batches:
+            for path, html in zip(batch["path"], batch["html"]):
+                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                with open(f"{root}/{path}", "wb") as file:
+                    file.write((html or "").encode())
+            yield batch[["path"]]
+
+    files.mapInPandas(write, "path string").agg(F.count(F.lit(1))).collect()
+    return root
+
+
+@query(f"""SELECT path, lower(regexp_extract(path, '[^.]+$')) AS extension, size FROM (SELECT path || {_SUFFIX} AS path, strlen(coalesce(html, ''))::BIGINT AS size FROM {PAGES})
+  WHERE path NOT LIKE '%.md'""")
+def scanned_files(spark, sf_dir) -> DataFrame:
+    return scan_files(spark, page_tree(spark, sf_dir)).select("path", "extension", "size")
+
+
+# From the listing on: the tree is listed, planned against an empty catalog and applied.
+@query(f"""WITH f AS (SELECT path || {_SUFFIX} AS path FROM {PAGES}), b AS (SELECT * FROM f WHERE path NOT LIKE '%.md')
+  SELECT path, 'book' AS kind FROM b UNION SELECT array_to_string(p[1:i], '/'), 'folder' FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(path, '/') AS p FROM b))""")
+def synced_tree(spark, sf_dir) -> DataFrame:
+    files = scan_files(spark, page_tree(spark, sf_dir))
+    job = CatalogStream("/books", f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}", buckets=8)
+    for tag in ("BookCreated", "FolderCreated"):
+        job.register(tag, default_entries)
+    job.resynchronize(files, 0)
+    return job.buckets_of(spark, "entries").read().select("path", "kind")
+
+
 # The state lies in a table of entries; afterwards it has the files and folders of the listing, rewritten where need be.
 @query(PLAN + """SELECT path, 'book' AS kind, path IN (SELECT path FROM changed) AS fresh FROM files
   UNION ALL SELECT path, 'folder', true FROM folders WHERE path <> ''""")

@@ -1,73 +1,113 @@
 """File listings of a tree and of the catalog state.
 
-The tree is listed level by level: the directories of a level are spread over tasks, and each task
-lists the directories it was given. The path must be one that every executor can see.
+The tree is listed level by level: the folders of a level are spread over tasks, and each task hands on the names
+of its folders in frames of bounded size, read from the folder as they are handed on. Sizes and times are asked for afterwards, with the names of all
+folders spread over the tasks, so one huge folder is not one task's work. The root must be one that every executor can see.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-from functools import reduce
+import stat
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.constants import BOOK_EXTENSIONS
+from shelfspark.functions.frames import frames
 from shelfspark.functions.paths import ancestor_paths, file_extension, parent_path
-from shelfspark.session import checkpointed, shuffle_partitions
+from shelfspark.session import Appended, shuffle_partitions
 
 LISTING = "path string, full_path string, is_dir boolean, size long, mtime_ms double"
+MEASURED = "path string, full_path string, size long, mtime_ms double"
 
 
-def _list_directory(root: str, folder: str) -> Iterator[tuple]:
+def _is_book(name: str) -> bool:
+    return "." in name[1:] and name.rsplit(".", 1)[1].lower() in BOOK_EXTENSIONS
+
+
+def _local_children(root: str, folder: str) -> Iterator[tuple]:
     try:
         with os.scandir(os.path.join(root, folder) if folder else root) as found:
             for item in found:
-                if item.name.startswith("."):
-                    continue
                 path = f"{folder}/{item.name}" if folder else item.name
-                if item.is_dir(follow_symlinks=False):
-                    yield path, item.path, True, None, None
-                # The cheap test on the name comes before the size and time are asked for.
-                elif "." in item.name[1:] and item.name.rsplit(".", 1)[1].lower() in BOOK_EXTENSIONS:
-                    if item.is_file(follow_symlinks=False):
-                        stat = item.stat(follow_symlinks=False)
-                        yield path, item.path, False, stat.st_size, stat.st_mtime_ns / 1e6
+                yield item.name, path, item.path, item.is_dir(follow_symlinks=False), None, None
     except OSError:
         return
 
 
-def _lister(root: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "full_path", "is_dir", "size", "mtime_ms"]
+def _remote_children(root: str, folder: str) -> Iterator[tuple]:
+    """Children on a storage that has no folders of the system; sizes and times come with the names."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(root)
+    place = f"{base.rstrip('/')}/{folder}".rstrip("/")
+    for item in system.get_file_info(fs.FileSelector(place, allow_not_found=True)):
+        path = f"{folder}/{item.base_name}" if folder else item.base_name
+        full = f"{root.rstrip('/')}/{path}"
+        if item.type == fs.FileType.Directory:
+            yield item.base_name, path, full, True, None, None
+        elif item.type == fs.FileType.File:
+            yield item.base_name, path, full, False, item.size, item.mtime_ns / 1e6 if item.mtime_ns else None
+
+
+def _nullable(found: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in found:
+        yield frame.astype({"size": "Int64", "mtime_ms": "Float64"})
+
+
+def _lister(root: str, remote: bool):
+    children = _remote_children if remote else _local_children
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for folder in batch["path"]:
-                rows = pd.DataFrame(list(_list_directory(root, folder)), columns=columns)
-                rows["size"] = rows["size"].astype("Int64")
-                rows["mtime_ms"] = rows["mtime_ms"].astype("Float64")
-                yield rows
+                for name, *row in children(root, folder):
+                    if not name.startswith(".") and (row[2] or _is_book(name)):
+                        yield tuple(row)
+
+    return lambda batches: _nullable(frames(rows(batches), LISTING))
 
-    return run
+
+def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Size and time of the regular files; what went away meanwhile is left out."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for path, full_path in zip(batch["path"], batch["full_path"]):
+                try:
+                    found = os.lstat(full_path)
+                except OSError:
+                    continue
+                if stat.S_ISREG(found.st_mode):
+                    yield path, full_path, found.st_size, found.st_mtime_ns / 1e6
+
+    return _nullable(frames(rows(), MEASURED))
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """Book files below a root: path (relative), full_path, size, mtime_ms, mtime, extension.
 
-    Names starting with a dot are skipped, directories too; only regular files with one of the
-    known extensions are listed.
+    The root is a folder or an address of a storage that Arrow knows (``s3://``, ``gs://``, ``hdfs://``); there a folder's
+    names come as one list. Names starting with a dot are skipped, folders too; only regular files with one of the
+    known extensions are listed, links are not followed. A root that is not there has no files.
     """
-    root = os.path.abspath(root)
+    remote = "://" in root and not root.startswith("file:")
+    if not remote:
+        root = os.path.abspath(root.removeprefix("file://").removeprefix("file:"))
     n = shuffle_partitions(spark)
-    folders, levels = spark.createDataFrame([("",)], "path string"), []
+    folders = spark.createDataFrame([("",)], "path string")
+    listed = Appended(spark.createDataFrame([], LISTING), "listing")
     while True:
-        listed = checkpointed(folders.repartition(n, F.hash("path")).mapInPandas(_lister(root), LISTING))
-        levels.append(listed.filter("not is_dir").drop("is_dir"))
-        folders = listed.filter("is_dir").select("path")
+        listed.add(folders.repartition(n, F.hash("path")).mapInPandas(_lister(root, remote), LISTING))
+        folders = listed.latest().filter("is_dir").select("path")
         if folders.isEmpty():
             break
-    files = reduce(DataFrame.unionByName, levels)
+    files = listed.read().filter("not is_dir").select("path", "full_path", "size", "mtime_ms")
+    if not remote:
+        files = files.select("path", "full_path").repartition(n, F.hash("path")).mapInPandas(_measure, MEASURED)
     return files.withColumns(
         {"extension": file_extension("path"), "mtime": F.timestamp_millis(F.floor("mtime_ms"))}
     )
@@ -88,11 +128,3 @@ def scan_mirror(entries: DataFrame) -> DataFrame:
     books = rows.filter("kind = 'book'").select(F.col("path").alias("__above"))
     below = above.join(books, "__above", "left_semi").select("__folder").distinct()
     return rows.join(below, "__folder", "left_anti").drop("__folder")
-
-
-def _read(path: str) -> bytes | None:
-    try:
-        with open(path, "rb") as file:
-            return file.read()
-    except OSError:
-        return None

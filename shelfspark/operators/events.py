@@ -348,6 +348,39 @@ def sample_every(events: DataFrame, order: list[Column], every: int = SAMPLE_EVE
     return numbered.filter(F.col("event_no") % every == 0)
 
 
+def handler_log(changes: DataFrame, durations: dict[str, int], compat: bool = False) -> DataFrame:
+    """Structured log of handled changes (path, tag, seq, error): event_id, step, event_type, event_tag, path, duration_ms,
+    cascade_count, cascade_tags, error.
+
+    Each event starts. If its tag has a handler, which has a duration in milliseconds, it completes, or fails where
+    it has an error. One that completes asks for the feed of its folder, if it is not a top-level folder deleted under ``compat``.
+    """
+    if "error" not in changes.columns:
+        changes = changes.withColumn("error", F.lit(None).cast("string"))
+    asks = ["FolderMetaSyncRequested"]
+    silent = (F.col("tag") == "FolderDeleted") & (parent_path("path") == "") if compat else F.lit(False)
+    tags = F.when(silent, F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, asks)))
+    took = F.lit(None).cast("long")
+    for tag, milliseconds in durations.items():
+        took = F.when(F.col("tag") == tag, F.lit(milliseconds).cast("long")).otherwise(took)
+    none = {"duration_ms": F.lit(None).cast("long"), "cascade_count": F.lit(None).cast("int"), "cascade_tags": F.lit(None).cast("array<string>")}
+
+    def row(step: int, kind: Column, **values: Column) -> Column:
+        fields = {**none, "error": F.lit(None).cast("string"), **values}
+        return F.struct(F.lit(step).alias("step"), kind.alias("event_type"), *[v.alias(n) for n, v in fields.items()])
+
+    failed = F.col("error").isNotNull()
+    kind = F.when(failed, "handler_error").when(took.isNotNull(), "handler_complete")
+    count = F.when(kind == "handler_complete", F.size(tags))
+    steps = F.array(
+        row(0, F.lit("handler_start")),
+        row(1, kind, duration_ms=took, cascade_count=count, error=F.col("error")),
+        row(2, F.when(count > 0, "cascades_generated"), cascade_count=count, cascade_tags=tags),
+    )
+    rows = changes.select(F.col("seq").cast("string").alias("event_id"), F.col("tag").alias("event_tag"), "path", F.explode(steps).alias("s"))
+    return rows.filter("s.event_type is not null").select("event_id", "s.step", "s.event_type", "event_tag", "path", *[f"s.{n}" for n in (*none, "error")])
+
+
 def handler_statistics(log: DataFrame) -> DataFrame:
     """Per event tag: starts, completions, errors, durations and cascades of a structured log."""
     is_type = lambda t: F.col("event_type") == t

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.paths import parent_path, url_to_path
+from shelfspark.functions.paths import parent_path, relative_to, url_to_path
 from shelfspark.operators import events as ev
 from shelfspark.queries.base import PATH, parent_sql, query, table
 from shelfspark.session import shared_dir
@@ -124,6 +124,22 @@ def change_event_rows(spark, sf_dir) -> DataFrame:
     return good.select("event_id", "parent", "name", "events")
 
 
+# Two of the four tags have handlers, every tenth event fails.
+@query(f"""WITH h AS (SELECT event_id::VARCHAR AS event_id, tag AS event_tag, 'u' || user_id || '/' || name AS path, tag IN ('BookCreated', 'FolderDeleted') AS known,
+    CASE tag WHEN 'BookCreated' THEN 5::BIGINT WHEN 'FolderDeleted' THEN 7::BIGINT END AS ms, event_id % 10 = 0 AS failed FROM {TYPED})
+  SELECT event_id, 0 AS step, 'handler_start' AS event_type, event_tag, path, NULL::BIGINT AS duration_ms, NULL::INTEGER AS cascade_count, NULL AS cascade_tags, NULL AS error FROM h
+  UNION ALL SELECT event_id, 1, 'handler_error', event_tag, path, ms, NULL, NULL, 'no book' FROM h WHERE failed
+  UNION ALL SELECT event_id, 1, 'handler_complete', event_tag, path, ms, 1, NULL, NULL FROM h WHERE known AND NOT failed
+  UNION ALL SELECT event_id, 2, 'cascades_generated', event_tag, path, NULL, 1, 'FolderMetaSyncRequested', NULL FROM h WHERE known AND NOT failed""")
+def event_log_rows(spark, sf_dir) -> DataFrame:
+    typed = ev.classify(raw_events(spark, sf_dir)).withColumn("path", F.lit(None).cast("string"))
+    path = relative_to("/books", ev.event_path())
+    changes = typed.select(F.col("event_id").alias("seq"), "tag", path.alias("path"))
+    changes = changes.withColumn("error", F.when(F.col("seq") % 10 == 0, "no book"))
+    log = ev.handler_log(changes, {"BookCreated": 5, "FolderDeleted": 7})
+    return log.withColumn("cascade_tags", F.array_join("cascade_tags", ","))
+
+
 @query("SELECT event_id // 1000 AS batch, 'u' || user_id AS folder, max(event_id) AS last_seq, count(*) AS requests FROM events GROUP BY 1, 2")
 def coalesce_requests(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(

@@ -2,14 +2,15 @@
 
 Each micro-batch is validated, classified, suppressed, applied to the entries table, and the folders
 it touches are rebuilt once, after all its changes; of both tables only the buckets that hold them are rewritten. Events whose handler fails go to a dead-letter
-table one by one: the other events of their batch are applied and the stream goes on. Failures that
-are not those of a row (storage, lost executors) end the query, which repeats the batch when it is
-started again. A marker (lost events) rebuilds everything from a listing.
+table one by one: the other events of their batch are applied and the stream goes on. When a handler fails, its
+changes are first written as they are; if that fails too (storage, lost executors), the query ends and
+repeats the batch when it is started again. What handlers did is kept as rows of a structured log. A marker (lost events) rebuilds everything from a listing.
 """
 
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -26,6 +27,7 @@ from shelfspark.operators.events import (
     classify,
     delete_subtrees,
     event_path,
+    handler_log,
     valid_events,
 )
 from shelfspark.operators.feeds import order_entries
@@ -37,9 +39,6 @@ from shelfspark.sources.files import scan_mirror
 from shelfspark.streaming.suppress import replay_batch
 
 OVERFLOW = "IN_Q_OVERFLOW"
-# Messages of failures that have nothing to do with a row (fixed values).
-INFRASTRUCTURE = ("ExecutorLost", "FetchFailed", "No space left", "Connection", "OutOfMemory", "FileNotFound", "FILE_NOT_EXIST")
-
 # Column of an entry with the time at which it was written, and the shortest interval of resyncs in seconds.
 WRITTEN, LEAST_RESYNC = "entry_mtime_ms", 60
 
@@ -75,29 +74,32 @@ class CatalogStream:
         typed = classify(good).withColumn("path", F.lit(None).cast("string"))
         return typed.withColumn("path", relative_to(self.root, event_path())), bad
 
-    def entry_rows(self, changes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-        """Changes with their entry columns, each tag through its handler, and the changes that failed."""
-        known, failed = list(self.handlers), []
+    def entry_rows(self, changes: DataFrame) -> tuple[DataFrame, list[DataFrame], dict[str, int]]:
+        """Changes with their entry columns, each tag through its handler, those that failed, and milliseconds per tag."""
+        known, failed, durations = list(self.handlers), [], {}
         rows = changes.filter(~F.col("tag").isin(known)) if known else changes
         for tag, handler in self.handlers.items():
+            begun = time.monotonic()
             for part in self.handled(handler, changes.filter(F.col("tag") == tag), failed):
                 rows = rows.unionByName(part, allowMissingColumns=True)
-        return rows, failed
+            durations[tag] = int(1000 * (time.monotonic() - begun))
+        return rows, failed, durations
 
-    def handled(self, handler: Handler, changes: DataFrame, failed: list[DataFrame]) -> list[DataFrame]:
+    def handled(self, handler: Handler, changes: DataFrame, failed: list[DataFrame], whole: bool = True) -> list[DataFrame]:
         """Results of a handler. If it fails, the changes are halved until the failing ones stand alone."""
         try:
             return [checkpointed(handler(changes))]
         except PySparkException as error:
-            if any(word in str(error) for word in INFRASTRUCTURE):
-                raise
+            if whole:
+                # Fails as well where the fault is not the handler's.
+                changes = checkpointed(changes)
             low, middle, high = changes.agg(F.min("seq"), F.percentile_approx("seq", 0.5), F.max("seq")).first()
             if low == high:
                 failed.append(changes.withColumn("error", F.lit(str(error))))
                 return []
             cut = middle if middle < high else high - 1
             halves = (changes.filter(F.col("seq") <= cut), changes.filter(F.col("seq") > cut))
-            return [part for half in halves for part in self.handled(handler, half, failed)]
+            return [part for half in halves for part in self.handled(handler, half, failed, whole=False)]
 
     def buckets_of(self, spark: SparkSession, name: str) -> BucketedTable:
         """The table of entries or of feeds: rows in buckets of folders."""
@@ -147,14 +149,22 @@ class CatalogStream:
             self.apply(spark, changes, batch_id)
         expire_versions(spark, self.table("state"), self.keep_versions)
 
-    def apply(self, spark: SparkSession, changes: DataFrame, batch_id: int, now_ms: int | None = None) -> None:
-        """Apply changes (path, tag, seq) to the entries and rebuild the feeds that they touch."""
-        rows, failed = self.entry_rows(changes)
+    def apply(self, spark: SparkSession, changes: DataFrame, batch_id: int, now_ms: int | None = None, log: str = "handler_log") -> None:
+        """Apply changes (path, tag, seq) to the entries and rebuild the feeds that they touch.
+
+        The table ``log`` gets the rows of ``operators.events.handler_log``; the changes of a tag are handled
+        together, so their duration is that of all.
+        """
+        rows, failed, durations = self.entry_rows(changes)
+        done = changes
         if failed:
-            append_log(reduce(DataFrame.unionByName, failed), self.table("dead_letters"), batch_id)
+            dead = reduce(DataFrame.unionByName, failed)
+            append_log(dead, self.table("dead_letters"), batch_id)
             changes = changes.join(rows.select("seq", "path"), ["seq", "path"], "left_semi")
-            if changes.isEmpty():
-                return
+            done = changes.unionByName(dead, allowMissingColumns=True)
+        append_log(handler_log(done, durations, self.compat), self.table(log), batch_id)
+        if failed and changes.isEmpty():
+            return
         table = self.buckets_of(spark, "entries")
         known = table.read()
         missing = [] if known is None else [f for f in known.schema if f.name not in (*rows.columns, WRITTEN)]
@@ -186,7 +196,7 @@ class CatalogStream:
             tag = F.when(F.col("action") == "delete", "BookDeleted").when(F.col("action") == "folder", "FolderCreated").otherwise("BookCreated")
             changes = checkpointed(wanted.select("path", tag.alias("tag"), F.col("seq").cast("long").alias("seq")))
             if not changes.isEmpty():
-                self.apply(spark, changes, number, now_ms)
+                self.apply(spark, changes, number, now_ms, log="resync_log")
             return True
         finally:
             self.busy.release()

@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark.operators.events import handler_log, handler_statistics
 from shelfspark.sinks.buckets import BucketedTable, apply_to_buckets
 from shelfspark.streaming import catalog
 from shelfspark.streaming.catalog import CatalogStream, default_entries
@@ -61,6 +62,37 @@ def test_catalog_stream(spark):
     assert sorted(r.seq for r in log.collect()) == [1, 2, 3, 8, 9, 10, 11]
     assert spark.read.parquet(f"{base}/tables/rejected").count() == 1
     assert not os.path.exists(f"{base}/tables/dead_letters")
+    steps = spark.read.parquet(f"{base}/tables/handler_log")
+    assert {r.event_id for r in steps.filter("event_type = 'handler_start'").collect()} == {"1", "2", "3", "8", "9", "10", "11"}
+    assert steps.filter("event_type = 'handler_complete' AND duration_ms >= 0 AND cascade_count = 1").count() == 7
+    stats = {r.event_tag: (r.started, r.completed, r.failed, r.cascades) for r in handler_statistics(steps).collect()}
+    assert stats == {"BookCreated": (3, 3, 0, 3), "BookDeleted": (1, 1, 0, 1), "FolderCreated": (2, 2, 0, 2), "FolderDeleted": (1, 1, 0, 1)}
+
+
+def test_log_of_handlers(spark):
+    rows = [("A", "FolderDeleted", 1, None), ("a.epub", "BookCreated", 2, "bad"), ("b.epub", "BookCreated", 3, None), ("x", "Other", 4, None), (None, None, 5, None)]
+    df = spark.createDataFrame(rows, "path string, tag string, seq long, error string")
+    log = handler_log(df, {"BookCreated": 7, "FolderDeleted": 9}, compat=True)
+    got = [(r.event_id, r.event_type, r.duration_ms, r.cascade_count, r.error) for r in log.orderBy("event_id", "step").collect()]
+    assert got == [
+        ("1", "handler_start", None, None, None), ("1", "handler_complete", 9, 0, None),
+        ("2", "handler_start", None, None, None), ("2", "handler_error", 7, None, "bad"),
+        ("3", "handler_start", None, None, None), ("3", "handler_complete", 7, 1, None), ("3", "cascades_generated", None, 1, None),
+        ("4", "handler_start", None, None, None), ("5", "handler_start", None, None, None),
+    ]
+    assert handler_log(df.limit(0).drop("error"), {}).count() == 0
+
+
+def test_a_message_about_files_or_connections_is_no_reason_to_stop(spark):
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    job = CatalogStream("/books", f"{base}/tables")
+    bad = F.when(F.col("path") == "a.epub", F.raise_error(F.lit("FileNotFound: Connection"))).otherwise(F.lit("fine"))
+    job.register("BookCreated", lambda df: default_entries(df).withColumn("title", bad))
+    batch = [(i, i, raw("/books/", f"{n}.epub", "CLOSE_WRITE")) for i, n in enumerate("ab")]
+    job.start(stream_of(spark, base, [batch]), f"{base}/checkpoint").awaitTermination()
+    assert [r.path for r in BucketedTable(spark, f"{base}/tables/entries").read().collect()] == ["b.epub"]
+    errors = spark.read.parquet(f"{base}/tables/handler_log").filter("event_type = 'handler_error'").collect()
+    assert [r.path for r in errors] == ["a.epub"] and "FileNotFound" in errors[0].error
 
 
 def test_overflow_rebuilds_from_listing(spark):

@@ -8,12 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfspark.constants import BLOCK_TAGS
-from shelfspark.functions.text import SPACE, col, decode_entities, decode_xml_entities, empty_to_null, strip_space, tail
+from shelfspark.functions.text import SPACE, col, decode_entities, decode_xml_entities, empty_to_null, let, strip_space, tail
 
 
 # A tag with its attributes, whose values may hold ">"; else up to the next ">". Possessive, so without recursion.
 INSIDE_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 TAG = rf"<{INSIDE_TAG}|<[^>]*>"
+CDATA = "<![CDATA["
 
 
 def extract_title(xml: Column | str) -> Column:
@@ -41,13 +42,28 @@ def body_of(html: Column | str) -> Column:
     return F.when(h.rlike(r"(?i)<body\b"), inner).otherwise(h)
 
 
+def _nodes(markup: Column) -> Column:
+    return F.transform(F.filter(F.split(markup, TAG), lambda p: p != ""), decode_entities)
+
+
+def _nodes_with_cdata(markup: Column) -> Column:
+    """Text nodes where sections are nodes of their own, as they stand; one without an end goes up to the next section."""
+    section = r"(?s)^<!\[CDATA\[(.*?)(?:\]\]>|\z)"
+
+    def nodes(piece: Column) -> Column:
+        inner = F.filter(F.array(F.regexp_extract(piece, section, 1)), lambda t: t != "")
+        return F.when(piece.startswith(CDATA), F.concat(inner, _nodes(F.regexp_replace(piece, section, "")))).otherwise(_nodes(piece))
+
+    return F.flatten(F.transform(F.split(markup, r"(?=<!\[CDATA\[)"), nodes))
+
+
 def text_segments(html: Column | str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """Decoded text nodes of the body in document order, script and style left out.
+    """Decoded text nodes of the body in document order, CDATA sections among them, script and style left out.
 
     ``keep`` is a further condition on the text of a node.
     """
-    parts = F.filter(F.split(body_of(without_scripts(html)), TAG), lambda p: p != "")
-    nodes = F.transform(parts, decode_entities)
+    body = body_of(without_scripts(html))
+    nodes = let(body, lambda b: F.when(b.contains(CDATA), _nodes_with_cdata(b)).otherwise(_nodes(b)))
     return nodes if keep is None else F.filter(nodes, keep)
 
 

@@ -57,3 +57,18 @@ def test_text_nodes(spark):
         text_segments("h").alias("s"), block_texts("h").alias("b"), text_segments("h", lambda t: t.contains("&")).alias("k")
     ).first()
     assert row.s[0] == "AT&T A" and "plain" in row.s and row.b[0] == "AT&T A" and row.k == ["AT&T A", "&nosuch;"]
+
+
+def test_sections_are_nodes_as_they_stand(spark):
+    from shelfspark.functions.markup import text_segments
+
+    rows = [
+        (1, "<body><p>a &amp; b<![CDATA[1 > 0 &amp; <b>x</b>]]>c</p><i>d</i></body>"), (2, "<![CDATA[]]>x<![CDATA[no end <p>"), (3, None),
+        (4, "<p>]]> a < b</p><![CDATA[" + "]" * 50_000 + "]]><![CDATA[z]]>"), (5, ""), (6, "<![CDATA[only]]>"),
+    ]
+    df = spark.createDataFrame(rows, "id int, h string")
+    got = {r.id: r.s for r in df.select("id", text_segments("h").alias("s")).collect()}
+    assert got == {
+        1: ["a & b", "1 > 0 &amp; <b>x</b>", "c", "d"], 2: ["x", "no end <p>"], 3: None,
+        4: ["]]> a ", "]" * 50_000, "z"], 5: [], 6: ["only"],
+    }

@@ -19,7 +19,7 @@ INDEX_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/
 
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """Feed documents below a directory: path, xml."""
+    """Feed documents below a directory: path, xml. Empty files have no row."""
     texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").text(path, wholetext=True)
     return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
 

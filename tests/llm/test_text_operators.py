@@ -50,6 +50,24 @@ def test_licenses(spark):
     assert licenses.scan_licenses(documents(spark, [])).collect() == []
 
 
+def test_license_phrases_of_the_contract(spark):
+    phrases = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+    texts = [
+        "Released UNDER the MIT License.", "the MIT license", "under the mit licenses under the mit license", "under. the\nmit-license under the mit license",
+        "Under under the mit license", "under the mit", "under\x00the\x7fmit{license", "\u212aunder the mit l\u0130cense", "under the mit license\u0301",
+        "x\U0001d7d8y under the mit license cc by nc by nc apache license version 2.0", "\x85under the mit\xa0license", "",
+    ]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        found = sorted((at, label) for phrase, label in phrases for at in range(len(words)) if words[at : at + len(phrase.split())] == phrase.split())
+        wanted = (len(words), len(found), found[0][0] if found else None, found[-1][0] if found else None, ",".join(sorted({x for _, x in found})))
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == wanted, text
+    # The shorter name is a label of the method, not a base phrase.
+    assert got[1].labels == "mit" and got[1].n_base == 0
+
+
 def spread_by_hand(budget, caps, weights):
     """Fill children whose share is too large for them until none is left."""
     open_children, out = set(caps), {}

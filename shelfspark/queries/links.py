@@ -83,15 +83,15 @@ def broken_links(spark, sf_dir) -> DataFrame:
     return find_broken(links, targets, live).select("page_id", "pos", F.col("href").alias("target"))
 
 
-# From the first host: folders link to their subfolders and back to their host, other hosts are not reached.
+# From the root: every folder links to its subfolders and back to the root.
 @query(f"""WITH RECURSIVE edges AS (SELECT DISTINCT {parent_sql('folder')} AS src, folder AS dst FROM {FOLDERS} WHERE folder <> ''
-    UNION SELECT folder, split_part(folder, '/', 1) FROM {FOLDERS} WHERE folder <> ''),
-  seen AS (SELECT min(folder) AS node FROM {FOLDERS} WHERE folder <> '' UNION SELECT dst FROM edges JOIN seen ON src = node) SELECT node FROM seen""")
+    UNION SELECT folder, '' FROM {FOLDERS}),
+  seen AS (SELECT '' AS node UNION SELECT dst FROM edges JOIN seen ON src = node) SELECT node FROM seen""")
 def reachable_feeds(spark, sf_dir) -> DataFrame:
-    folders = folders_of(page_files(spark, sf_dir)).filter("folder <> ''")
-    down = folders.select(parent_path("folder").alias("src"), F.col("folder").alias("dst"))
-    back = folders.select(F.col("folder").alias("src"), F.split_part("folder", F.lit("/"), F.lit(1)).alias("dst"))
-    return reachable(down.union(back), folders.agg(F.min("folder").alias("node")))
+    folders = folders_of(page_files(spark, sf_dir))
+    down = folders.filter("folder <> ''").select(parent_path("folder").alias("src"), F.col("folder").alias("dst"))
+    back = folders.select(F.col("folder").alias("src"), F.lit("").alias("dst"))
+    return reachable(down.union(back), spark.range(1).select(F.lit("").alias("node")))
 
 
 @query(f"""SELECT key, count(*)::BIGINT AS links, min(page_id) AS first_page FROM (SELECT page_id, unnest([host, lang]) AS key FROM {HREFS}) GROUP BY key""")

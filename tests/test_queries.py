@@ -43,3 +43,8 @@ def test_query(spark, duck, name):
     sql = duck.sql(ORACLES[name])
     assert sorted(sql.columns) == sorted(df.columns)
     assert got == rows(sql.columns, sql.fetchall())
+
+
+def test_reachable_feeds_walks_all_hosts(spark):
+    reached = {r.node for r in QUERIES["reachable_feeds"](spark, SF).collect()}
+    assert reached == {r.folder for r in QUERIES["folder_structure_of_pages"](spark, SF).select("folder").collect()}

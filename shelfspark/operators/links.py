@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.session import Appended, checkpointed, written
+from shelfspark.operators.ordered import number_rows, ordered
+from shelfspark.session import Appended, written
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -41,26 +43,76 @@ def group_by_keys(rows: DataFrame, keys: str, outer: bool = True) -> DataFrame:
     return rows.withColumn("key", explode(F.array_distinct(F.col(keys)))).drop(keys)
 
 
-def choose_groups(entries: DataFrame) -> DataFrame:
+# Entries of one feed that are decided together in one task.
+BLOCK_ENTRIES = 4096
+
+
+def _read_block(block: pd.DataFrame) -> pd.DataFrame:
+    """Entries of a block in order: the groups that each may choose, one if it is decided.
+
+    Rows are (row, feed, pos, first, rank, group, sure, maybe): was the group surely, or perhaps, opened before
+    this position by entries that are read elsewhere. In the first block of a feed nothing before it is open.
+    """
+    out, sure, maybe, same = [], set(), set(), []
+    place = None
+    for _, links in block.sort_values(["pos", "row", "rank"]).groupby(["pos", "row"], sort=False):
+        row, feed, pos, first = (links[c].iloc[0] for c in ("row", "feed", "pos", "first"))
+        # Entries at one position do not see each other.
+        if pos != place:
+            for options in same:
+                (sure if len(options) == 1 else maybe).update(options)
+            place, same = pos, []
+        options = []
+        for group, is_sure, is_maybe in zip(links["group"], links["sure"], links["maybe"]):
+            if group is not None and (is_sure or group in sure):
+                options.append(group)
+                break
+            if group is not None and (group in maybe or (is_maybe and not first)):
+                options.append(group)
+        else:
+            options.append(links["group"].iloc[0])
+        options = list(dict.fromkeys(options))
+        same.append([g for g in options if g is not None] if len(options) == 1 else options)
+        out.append((row, feed, pos, list(links["group"]), options))
+    return pd.DataFrame(out, columns=["row", "feed", "pos", "links", "options"])
+
+
+def choose_groups(entries: DataFrame, block: int = BLOCK_ENTRIES) -> DataFrame:
     """Group of each feed entry: the first of its group links that an earlier entry opened, else its first.
 
     entries: feed, pos, links (array of group addresses, may be empty). Out: feed, pos, group.
-    The choice of an entry depends on earlier choices. All entries are decided at once from the
-    positions where groups open, and this is repeated until nothing changes: that fixpoint is the
-    result of reading the entries one by one. Entries with fewer than two links never change.
+    The choice of an entry depends on earlier choices. In each round the open entries are cut in blocks of
+    their feed, which are read in order side by side. What other blocks open is known between bounds: the
+    first position where a decided entry has a group, and the first where an open one may have it. Entries
+    whose choice is the same for all that lies between are decided; of each feed the first block always is.
     """
-    rows = checkpointed(entries.select("feed", "pos", "links", F.try_element_at("links", F.lit(1)).alias("group")))
-    while True:
-        opened = rows.filter("group is not null").groupBy("feed", "group").agg(F.min("pos").alias("opened"))
-        several = rows.filter(F.size("links") > 1)
-        options = several.select("feed", "pos", F.posexplode("links").alias("rank", "group"))
-        seen = options.join(opened, ["feed", "group"]).filter("opened < pos")
-        chosen = seen.groupBy("feed", "pos").agg(F.min_by("group", "rank").alias("chosen"))
-        updated = rows.join(chosen, ["feed", "pos"], "left").select(
-            "feed", "pos", "links", F.coalesce("chosen", F.try_element_at("links", F.lit(1))).alias("next"), "group"
+    first = F.try_element_at("links", F.lit(1))
+    kinds = {c: entries.schema[c].dataType.simpleString() for c in ("feed", "pos", "links")}
+    rows = written(entries.select(F.monotonically_increasing_id().alias("row"), "feed", "pos", "links"), "entries")
+    # A null feed or position is before or behind no other entry.
+    several = F.coalesce(F.size("links") > 1, F.lit(False)) & F.col("feed").isNotNull() & F.col("pos").isNotNull()
+    plain = rows.filter(~several).select("feed", "pos", first.alias("group"))
+    opened = lambda df, sure: df.select("feed", "group", (F.col("pos") if sure else F.lit(None).cast(kinds["pos"])).alias("sure"), F.col("pos").alias("maybe"))
+    merged = lambda df: df.filter("group is not null").groupBy("feed", "group").agg(F.min("sure").alias("sure"), F.min("maybe").alias("maybe"))
+    active = rows.filter(several)
+    decided = Appended(plain, "decided")
+    decided.add(plain)
+    bounds = merged(opened(plain, True).union(opened(active.select("feed", "pos", F.explode("links").alias("group")), False)))
+    while not active.isEmpty():
+        bounds = written(bounds, "bounds")
+        numbered = number_rows(ordered(active, ["feed"], [F.col("pos"), F.col("row")]), "n").plain()
+        number = F.floor((F.col("n") - 1) / block).alias("block")
+        links = numbered.select("row", "feed", "pos", number, F.posexplode("links").alias("rank", "group"))
+        known = links.join(bounds, ["feed", "group"], "left").select(
+            "row", "feed", "pos", "block", (F.col("block") == 0).alias("first"), "rank", "group",
+            F.coalesce(F.col("sure") < F.col("pos"), F.lit(False)).alias("sure"), F.coalesce(F.col("maybe") < F.col("pos"), F.lit(False)).alias("maybe"),
         )
-        updated = checkpointed(updated)
-        stable = updated.filter(~F.col("next").eqNullSafe(F.col("group"))).isEmpty()
-        rows = updated.select("feed", "pos", "links", F.col("next").alias("group"))
-        if stable:
-            return rows.drop("links")
+        schema = f"row long, feed {kinds['feed']}, pos {kinds['pos']}, links {kinds['links']}, options {kinds['links']}"
+        step = written(known.groupBy("feed", "block").applyInPandas(_read_block, schema), "step")
+        done = step.filter(F.size("options") == 1).select("feed", "pos", F.element_at("options", 1).alias("group"))
+        decided.add(done)
+        active = step.filter(F.size("options") > 1).select("row", "feed", "pos", "links")
+        options = step.filter(F.size("options") > 1).select("feed", "pos", F.explode("options").alias("group"))
+        before = bounds.filter("sure is not null").select("feed", "group", "sure", F.col("sure").alias("maybe"))
+        bounds = merged(before.union(opened(done, True)).union(opened(options, False)))
+    return decided.read().select("feed", "pos", "group")

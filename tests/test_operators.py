@@ -3,6 +3,7 @@
 import gzip
 import io
 import os
+import random
 import tarfile
 import tempfile
 import zipfile
@@ -14,6 +15,7 @@ from shelfspark.formats.common import metadata
 from shelfspark.formats.html import html_elements
 from shelfspark.formats.registry import extract_metadata
 from shelfspark.operators import events as ev
+from shelfspark.operators import links
 from shelfspark.operators.feeds import feed_fragments, feed_headers, order_entries, parse_entries
 from shelfspark.operators.folders import folder_edges, folder_structure, folders_of
 from shelfspark.operators.links import choose_groups, reachable
@@ -164,6 +166,34 @@ def test_group_choice_equals_reading_in_order(spark):
     assert sorted((r.pos, r.group) for r in choose_groups(df).collect()) == want
 
 
+def _choices_in_order(entries):
+    """Each entry after those before it; entries at one position do not see each other."""
+    opened, want = {}, []
+    for feed, pos, links in sorted((e for e in entries if e[0] is not None and e[1] is not None), key=lambda e: e[:2]):
+        at = opened.setdefault(feed, {})
+        pick = next((l for l in links if at.get(l, pos) < pos), links[0] if links else None)
+        if pick is not None:
+            at.setdefault(pick, pos)
+        want.append((feed, pos, pick))
+    return want + [(f, p, l[0] if l else None) for f, p, l in entries if f is None or p is None]
+
+
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_group_choice_of_long_feeds_ends_soon(spark, block, monkeypatch):
+    rng = random.Random(block)
+    entries = [(f"f{rng.randrange(3)}", i, rng.sample("abcdefghijklmno", rng.randrange(5))) for i in range(12 if block == 1 else 300)]
+    entries += [(None, 1, ["a", "b"]), ("f0", None, ["c", "b"]), ("f1", 5, ["z", "y"]), ("f1", 5, ["y", "z"]), ("f1", 6, ["z", "y"])]
+    # Each entry turns on the choice of the one before it.
+    entries += [("chain", i, [f"g{i}", f"g{i - 1}"]) for i in range(1, 9 if block == 1 else 40)]
+    df = spark.createDataFrame(entries, "feed string, pos int, links array<string>")
+    rounds, write = [], links.written
+    monkeypatch.setattr(links, "written", lambda df, name: rounds.append(name) or write(df, name))
+    got = links.choose_groups(df, block).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(_choices_in_order(entries), key=repr)
+    assert rounds.count("step") <= {1: 12, 7: 20, 4096: 1}[block]
+    assert links.choose_groups(df.limit(0), block).collect() == []
+
+
 def test_reachable_with_loop(spark):
     edges = spark.createDataFrame([("", "a"), ("a", "b"), ("b", "a"), ("b", ""), ("x", "y")], "src string, dst string")
     start = spark.createDataFrame([("",)], "node string")

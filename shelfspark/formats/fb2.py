@@ -5,12 +5,11 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.formats.common import metadata
-from shelfspark.functions.frames import frames
+from shelfspark.functions.frames import map_rows
 from shelfspark.functions.text import (
     clean_description,
     collapse_space,
@@ -112,9 +111,7 @@ def fb2_sections(files: DataFrame) -> DataFrame:
     """Rows (path, section, label, size, linear, subtitles); size counts text bytes, images excluded."""
     schema = "path string, section int, label string, size long, linear string, subtitles array<string>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return frames((row for b in batches for item in zip(b["path"], b["text"]) for row in _body_rows(*item)), schema)
-
+    rows = lambda books: (row for book in books for row in _body_rows(book.path, book.text))
     texts = book_texts(files).filter("text is not null")
     bare = F.regexp_replace("text", r"(?s)<binary\b.*?</binary>", "")
-    return texts.withColumn("text", bare).mapInPandas(run, schema).withColumn("label", collapse_space("label"))
+    return map_rows(texts.withColumn("text", bare), rows, schema).withColumn("label", collapse_space("label"))

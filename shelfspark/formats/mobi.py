@@ -6,13 +6,12 @@ import os
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.constants import EXTH_TYPES
 from shelfspark.formats.common import metadata
-from shelfspark.functions.frames import frames
+from shelfspark.functions.frames import map_rows
 from shelfspark.functions.text import clean_description, empty_to_null, tail
 from shelfspark.sources.archives import source_column
 
@@ -92,19 +91,15 @@ def mobi_headers(files: DataFrame) -> DataFrame:
     """Header, record offsets and EXTH records of each readable file."""
     source = source_column(files)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                found = _parse_file(getattr(row, source))
-                if found:
-                    full_name, image, size, offsets, exth = found
-                    exth = [{"type": t, "data": d} for t, d in exth]
-                    yield row.path, full_name, image, size, offsets, exth
+    def rows(books: Iterator[tuple]) -> Iterator[tuple]:
+        for row in books:
+            found = _parse_file(getattr(row, source))
+            if found:
+                full_name, image, size, offsets, exth = found
+                exth = [{"type": t, "data": d} for t, d in exth]
+                yield row.path, full_name, image, size, offsets, exth
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return frames(rows(batches), SCHEMA)
-
-    return files.select("path", source).mapInPandas(run, SCHEMA)
+    return map_rows(files.select("path", source), rows, SCHEMA)
 
 
 def _utf8(data: Column) -> Column:

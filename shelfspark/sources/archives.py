@@ -12,12 +12,11 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.constants import ARCHIVE_MAGIC, TAR_MARK, TAR_MARK_OFFSET
-from shelfspark.functions.frames import frames
+from shelfspark.functions.frames import map_rows
 from shelfspark.functions.text import col
 
 
@@ -79,18 +78,14 @@ def map_archives(files: DataFrame, read, schema: str) -> DataFrame:
     """Rows of ``read(row, archive)`` for each archive; an unreadable one gives no rows."""
     source = source_column(files)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                archive = open_archive(getattr(row, source)) if getattr(row, source) is not None else None
-                if archive:
-                    with archive.file:
-                        yield from read(row, archive)
+    def rows(found: Iterator[tuple]) -> Iterator[tuple]:
+        for row in found:
+            archive = open_archive(getattr(row, source)) if getattr(row, source) is not None else None
+            if archive:
+                with archive.file:
+                    yield from read(row, archive)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return frames(rows(batches), schema)
-
-    return files.mapInPandas(run, schema)
+    return map_rows(files, rows, schema)
 
 
 def archive_members(files: DataFrame) -> DataFrame:
@@ -137,20 +132,16 @@ def book_texts(files: DataFrame, end: str | None = None) -> DataFrame:
             return archive.open(names[0]) if names else None
         return io.BytesIO(found) if isinstance(found, (bytes, bytearray)) else open(found, "rb")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                found, data = getattr(row, source), None
-                try:
-                    file = opened(found, row.path) if found is not None else None
-                    if file is not None:
-                        with file:
-                            data = _upto(file, stop)
-                except (OSError, EOFError, KeyError, RuntimeError, ValueError, zipfile.BadZipFile, tarfile.TarError, zlib.error):
-                    data = None
-                yield row.path, data.decode("utf-8", "replace").removeprefix("\ufeff") if data else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return frames(rows(batches), "path string, text string")
-
-    return files.select("path", source).mapInPandas(run, "path string, text string")
+    def rows(books: Iterator[tuple]) -> Iterator[tuple]:
+        for row in books:
+            found, data = getattr(row, source), None
+            try:
+                file = opened(found, row.path) if found is not None else None
+                if file is not None:
+                    with file:
+                        data = _upto(file, stop)
+            except (OSError, EOFError, KeyError, RuntimeError, ValueError, zipfile.BadZipFile, tarfile.TarError, zlib.error):
+                data = None
+            yield row.path, data.decode("utf-8", "replace").removeprefix("\ufeff") if data else None
+
+    return map_rows(files.select("path", source), rows, "path string, text string")

@@ -8,6 +8,7 @@ import tarfile
 import tempfile
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from shelfspark.operators.links import choose_groups, reachable
 from shelfspark.operators.search import search_segments, search_text
 from shelfspark.plans.entries import book_entries, book_entry_xml
 from shelfspark.plans.sync import changed_files, fingerprint, orphan_entries, plan, plan_events
+from shelfspark.queries import library
 from shelfspark.sinks.documents import feed_document_parts, folder_page_parts, join_parts
 from shelfspark.sinks.tables import current_version, publish, read_table
 from shelfspark.sources.archives import archive_members, read_members
@@ -256,6 +258,21 @@ def test_log_and_dictionary(spark):
     assert [tuple(r) for r in words.collect()] == [("word", 64, 63)]
 
 
+def test_book_tasks_unpack_pieces_of_a_batch(spark, monkeypatch):
+    """Of a batch of 10,000 rows only a piece is in memory as books when the first ones leave the task."""
+    tasks, seen = [], []
+    frame = type(spark.range(1))
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(frame, name, lambda df, task, schema, _name=name: tasks.append((_name, task)) or df)
+    make = lambda n, text, lang, source: seen.append(n) or text.encode()
+    library.books(spark, "/root/testdata/sf0.001", "txt", make)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": "x" * 2000, "lang": "en", "source": "s"} for i in range(10000)])
+    (name, task), = tasks
+    out = task(iter([batch if name == "mapInArrow" else batch.to_pandas()]))
+    first = next(out)
+    assert len(seen) <= 256 and len(first) + sum(len(b) for b in out) == 10000
+
+
 def test_table_versions(spark):
     table = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/t"
     assert read_table(spark, table) is None

@@ -14,6 +14,7 @@ from shelfspark.formats.epub import epub_metadata
 from shelfspark.formats.fb2 import fb2_metadata
 from shelfspark.formats.mobi import mobi_metadata
 from shelfspark.functions.paths import format_extension
+from shelfspark.session import written
 
 Extractor = Callable[[DataFrame], DataFrame]
 
@@ -35,7 +36,11 @@ register(["mobi", "azw", "azw3"], mobi_metadata)
 
 
 def extract_metadata(files: DataFrame) -> DataFrame:
-    """Files with ``meta`` and ``cover``. Unknown formats and failed files keep empty metadata."""
+    """Files with ``meta`` and ``cover``. Unknown formats and failed files keep empty metadata.
+
+    The files are written once and read by the job of each format, so they are not made or listed again for each.
+    """
+    files = written(files, "files")
     typed = files.withColumn("__format", format_extension("path"))
     by_job: dict[Extractor, list[str]] = {}
     for extension, job in _EXTRACTORS.items():

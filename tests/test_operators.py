@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shelfspark.formats.common import metadata
 from shelfspark.formats.html import html_elements
 from shelfspark.formats.registry import extract_metadata
+from shelfspark.functions.frames import map_rows
 from shelfspark.operators import events as ev
 from shelfspark.operators import links
 from shelfspark.operators.feeds import feed_fragments, feed_headers, order_entries, parse_entries
@@ -273,6 +274,20 @@ def test_book_tasks_unpack_pieces_of_a_batch(spark, monkeypatch):
     assert len(seen) <= 256 and len(first) + sum(len(b) for b in out) == 10000
 
 
+def test_files_are_made_once_for_all_formats(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def make(rows):
+        for row in rows:
+            made.add(1)
+            yield row.path, b"no book"
+
+    names = [(f"a/b{i}.{kind}",) for i in range(10) for kind in ("epub", "cbz", "fb2", "mobi", "txt")]
+    books = map_rows(spark.createDataFrame(names, "path string"), make, "path string, content binary")
+    rows = extract_metadata(books).collect()
+    assert len(rows) == 50 and made.value == 50
+
+
 def test_table_versions(spark):
     table = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/t"
     assert read_table(spark, table) is None

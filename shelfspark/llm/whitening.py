@@ -29,6 +29,8 @@ LARGEST = 2.0**31
 # Eigenvalues below this part of the largest one are taken for zero: whitening cannot divide by them.
 NOTHING = 1e-11
 PACKED_ROWS = 4096
+# Bytes of packed vectors for a task. Every product is a job over all of them, so tasks of next to nothing cost more than their work.
+TASK_BYTES = 16 << 20
 LONG = 2**63 - 1
 
 
@@ -108,16 +110,22 @@ def summed(packed: DataFrame, part: Callable[[np.ndarray], np.ndarray], exact: b
             yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel(), arrow)], ["place", "value"])
 
     rows = packed.mapInArrow(run, f"place int, value {'long' if exact else 'double'}")
-    found = rows.groupBy("place").agg(F.sum(F.col("value").cast(kind)).alias("value")).toArrow()
+    # As many sums for each task as there are places: few rows, whatever the number of shuffle partitions.
+    found = rows.groupBy("place").agg(F.sum(F.col("value").cast(kind)).alias("value")).coalesce(1).toArrow()
     order = np.argsort(found.column("place").to_numpy())
     values = [int(v) for v in found.column("value").to_pylist()] if exact else found.column("value").to_numpy()
     return np.array(values, dtype=object if exact else float)[order]
 
 
-def fit_whitening(rows: DataFrame, size: int, wanted: int = COMPONENTS) -> Fit:
-    """Components of the distinct vectors of length ``size`` among ``rows`` (column x)."""
+def tasks_for(count: int, size: int, cores: int) -> int:
+    """Tasks for ``count`` vectors of length ``size``: one for each ``TASK_BYTES``, and all cores if every one gets a full pack."""
+    return max(-(-count * size * 8 // TASK_BYTES), min(cores, -(-count // PACKED_ROWS)))
+
+
+def fit_whitening(rows: DataFrame, size: int, count: int, wanted: int = COMPONENTS) -> Fit:
+    """Components of the distinct vectors of length ``size`` among ``rows`` (column x), of which there are ``count``."""
     distinct = rows.filter(F.size("x") == size).select("x").distinct()
-    packed = checkpointed(pack(distinct))
+    packed = checkpointed(pack(distinct.coalesce(tasks_for(count, size, rows.sparkSession.sparkContext.defaultParallelism))))
     counted = summed(packed, lambda x: np.append(x.sum(axis=0), len(x)), exact=True)
     fit = Fit(counted[-1], list(counted[:-1]), np.zeros(0), np.zeros((size, 0)), 0.0, 0.0)
     n, centred = fit.n, fit.centred
@@ -164,10 +172,10 @@ def whiten(vectors: DataFrame, wanted: int = COMPONENTS, key: str = "vec_id", ve
     rows = lattice(vectors, key, vector)
     key_type = vectors.schema[key].dataType.simpleString()
     # One row per length that occurs: as a rule a single one.
-    sizes = sorted(r[0] for r in rows.select(F.size("x")).distinct().collect())
+    sizes = sorted(map(tuple, rows.groupBy(F.size("x")).count().collect()))
     parts = []
-    for size in sizes:
-        fit = fit_whitening(rows, size, wanted)
+    for size, rows_of_size in sizes:
+        fit = fit_whitening(rows, size, rows_of_size, wanted)
 
         def run(batches: Iterator[pa.RecordBatch], fit: Fit = fit) -> Iterator[pa.RecordBatch]:
             count = len(fit.values)

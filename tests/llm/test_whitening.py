@@ -97,3 +97,21 @@ def test_exact_deviations():
     fit = whitening.Fit(3, [10, -7], np.zeros(0), np.zeros((2, 0)), 0.0, 0.0)
     assert fit.deviations(np.array([[4, 1], [0, 0]])) == [(12 - 10) ** 2 + (3 + 7) ** 2, 149]
     assert fit.deviations(np.array([[2**29, 1], [2**31, 2**31]])) == [(3 * 2**29 - 10) ** 2 + 100, None]
+
+
+def test_tasks_follow_the_vectors_not_the_shuffle_partitions(spark, monkeypatch):
+    assert [whitening.tasks_for(n, 64, 6) for n in (1, 4096, 8193, 51_282, 5_000_000)] == [1, 1, 3, 6, 153]
+    packed, inner = [], whitening.checkpointed
+    monkeypatch.setattr(whitening, "checkpointed", lambda df: packed.append(inner(df)) or packed[-1])
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(300)]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(40)).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    check(got, by_hand(rows), {repr(i): 6 for i, _ in rows})
+    assert [p.rdd.getNumPartitions() for p in packed] == [1]

@@ -434,3 +434,27 @@ def test_buckets_are_compared_as_stars(spark):
     ranked = buckets.withColumn("rank", order_minhash.rank_of("count", "node"))
     got = {(r.a, r.b) for r in order_minhash.star(ranked, ["shingle"]).collect()}
     assert got == {(49, i) for i in range(49)} | {(-5, 5), (-5, -(1 << 63)), (-5, (1 << 63) - 1)}
+
+
+def test_small_buckets_are_settled_in_one_round(spark, monkeypatch):
+    """All pairs of small buckets that may be similar are compared at once; larger ones go on as stars."""
+    rows = [("s", i, 10 + i, i, i % 2 == 0, 100) for i in range(4)] + [("t", 1, 11, 1, True, 100), ("t", 9, 9, 9, True, 79)]
+    rows += [("u", 100 + i, 5 + i, i, True, 10) for i in range(order_minhash.SMALL_BUCKET + 1)]
+    buckets = spark.createDataFrame(rows, "value string, node long, count long, root long, strong boolean, size long")
+    ranked = buckets.withColumn("rank", order_minhash.rank_of("count", "node"))
+    got = {(r.a, r.b, r.hub) for r in order_minhash.meetings(ranked, ["value"], 0.8).collect()}
+    last = 100 + order_minhash.SMALL_BUCKET
+    assert got == {(j, i, False) for i in range(4) for j in range(i + 1, 4) if not i * j % 2} | {(last, i, True) for i in range(100, last)}
+    random.seed(30)
+    words, texts = [f"w{i}" for i in range(900)], []
+    for family in range(5):
+        base = random.choices(words, k=120)
+        for i in range(12):
+            edited = base[:60] + random.choices(words, k=60) if i % 3 == 0 else list(base)
+            edited[random.randrange(60)] = "other"
+            texts.append((family * 100 + i, " ".join(edited)))
+    rounds, inner = [], order_minhash.compare
+    monkeypatch.setattr(order_minhash, "compare", lambda *a: rounds.append(1) or inner(*a))
+    found = order_minhash.near_duplicates(documents(spark, texts)).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in found) == classes_by_hand(texts)
+    assert not rounds

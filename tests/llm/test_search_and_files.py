@@ -447,7 +447,7 @@ def test_small_buckets_are_settled_in_one_round(spark, monkeypatch):
     assert got == {(j, i, False) for i in range(4) for j in range(i + 1, 4) if not i * j % 2} | {(last, i, True) for i in range(100, last)}
     random.seed(30)
     words, texts = [f"w{i}" for i in range(900)], []
-    for family in range(5):
+    for family in range(3):
         base = random.choices(words, k=120)
         for i in range(12):
             edited = base[:60] + random.choices(words, k=60) if i % 3 == 0 else list(base)
@@ -458,3 +458,15 @@ def test_small_buckets_are_settled_in_one_round(spark, monkeypatch):
     found = order_minhash.near_duplicates(documents(spark, texts)).collect()
     assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in found) == classes_by_hand(texts)
     assert not rounds
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    random.seed(5)
+    links = [(i + 1, i) for i in range(60)] + [(random.randint(-300, -100), random.randint(-300, -100)) for _ in range(150)] + [(7, 7), (1 << 62, -(1 << 62))]
+    table = spark.createDataFrame(links, "a long, b long")
+    monkeypatch.setattr(components, "small_star", None)
+    few = {r.node: r.root for r in components.components(table).collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(components, "FEW", -1)
+    assert few == {r.node: r.root for r in components.components(table).collect()}
+    assert few[60] == 0 and few[1 << 62] == -(1 << 62)

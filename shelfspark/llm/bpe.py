@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG_WORD = 256
-MAX_CACHED = 500_000
-MAX_BATCH_BYTES = 8 << 20
+MAX_CACHED = 1 << 17
+MAX_BATCH_BYTES = 1 << 20
 NO_RANK = 1 << 62
 # White space as the patterns mean it: engines differ on \s (fixed values).
 WHITE_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -241,3 +241,11 @@ def test_quality_filter_computes_each_statistic_once(spark):
     good = {repr(r.doc_id) for r in rules.score_documents(docs, model).collect() if r.predicted}
     assert {repr(r.doc_id) for r in kept.collect()} == good and kept.columns == docs.columns
     assert rules.keep_good(documents(spark, []), model).collect() == []
+
+
+def test_bpe_memory_of_words_and_batches_is_bounded():
+    codec = bpe.Codec(bpe.read_vocabulary(VOCABULARY))
+    words = [f"w{i:x}" for i in range(150_000)]
+    whole = codec.encode(" ".join(words))
+    assert len(codec.words) <= 1 << 17 and bpe.MAX_BATCH_BYTES <= 1 << 20
+    assert b"".join(map(codec.encode, words[:2000])) == whole[: len(b"".join(map(codec.encode, words[:2000])))]

@@ -470,3 +470,23 @@ def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(components, "FEW", -1)
     assert few == {r.node: r.root for r in components.components(table).collect()}
     assert few[60] == 0 and few[1 << 62] == -(1 << 62)
+
+
+@pytest.mark.parametrize("kind", ["copies", "passage"])
+def test_pairs_compared_grow_with_a_group_not_with_its_square(spark, monkeypatch, kind):
+    """Near copies of one text, and texts that have a passage in common without being similar."""
+    random.seed(31)
+    words, n = [f"w{i}" for i in range(2000)], 100
+    base, texts = random.choices(words, k=60), []
+    for i in range(n):
+        text = list(base)
+        if kind == "copies":
+            text[random.randrange(60)] = f"other{i}"
+        else:
+            text[35:] = random.choices(words, k=25)
+        texts.append((i, " ".join(text)))
+    seen, inner = [], order_minhash.similar_pairs
+    monkeypatch.setattr(order_minhash, "similar_pairs", lambda pairs, *a: seen.append(pairs.count()) or inner(pairs, *a))
+    found = order_minhash.near_duplicates(documents(spark, texts)).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in found) == classes_by_hand(texts)
+    assert sum(seen) < 8 * n

@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -88,6 +87,14 @@ def blocks(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield packed()
 
 
+def distinct(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kinds in order, how often each occurs, places of the runs in that order)."""
+    order = np.argsort(runs)
+    ranked = runs[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))[: len(runs)]
+    return ranked[first], np.diff(first, append=len(runs)), order
+
+
 def lowered(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes with A-Z in lower case; null is empty."""
     return [x or b"" for x in pc.ascii_lower(pc.fill_null(column, "")).cast(pa.binary()).to_pylist()]
@@ -99,8 +106,9 @@ def count_runs(texts: DataFrame, depth: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches, 0):
             for runs, _, _ in blocks(lowered(batch.column(0)), depth):
-                codes, found = pd.factorize(runs)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(codes))], ["run", "n"])
+                runs.sort()
+                first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(runs[first]), pa.array(np.diff(first, append=len(runs)))], ["run", "n"])
 
     return texts.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
@@ -248,8 +256,11 @@ def score_texts(
             size, rows, texts = batch.num_rows, batch.column(0), batch.column(3)
             scores, offset = np.zeros(size), 0
             for runs, begins, owners in blocks(lowered(texts), tree.depth):
-                codes, found = pd.factorize(runs)
-                sums = np.add.reduceat(tree.look_up(found)[codes], begins)
+                # In order, neighbours are searched in the same places of the tree.
+                found, often, order = distinct(runs)
+                logs_of = np.empty(len(runs))
+                logs_of[order] = np.repeat(tree.look_up(found), often)
+                sums = np.add.reduceat(logs_of, begins)
                 scores += np.bincount(owners, weights=sums, minlength=size)
             owner, tokens = tokens_of(texts)
             coded = tokens.dictionary_encode()

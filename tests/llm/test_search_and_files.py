@@ -490,3 +490,12 @@ def test_pairs_compared_grow_with_a_group_not_with_its_square(spark, monkeypatch
     found = order_minhash.near_duplicates(documents(spark, texts)).collect()
     assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in found) == classes_by_hand(texts)
     assert sum(seen) < 8 * n
+
+
+def test_runs_are_counted_and_searched_in_order():
+    random_state = np.random.default_rng(2)
+    for runs in (random_state.integers(0, 50, 400), np.array([7]), np.zeros(0, np.int64)):
+        kinds, often, order = suffix_tree.distinct(runs)
+        wanted, counts = np.unique(runs, return_counts=True)
+        assert kinds.tolist() == wanted.tolist() and often.tolist() == counts.tolist()
+        assert np.repeat(kinds, often).tolist() == runs[order].tolist()

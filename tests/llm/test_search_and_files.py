@@ -492,6 +492,22 @@ def test_pairs_compared_grow_with_a_group_not_with_its_square(spark, monkeypatch
     assert sum(seen) < 8 * n
 
 
+@pytest.mark.parametrize("most", [25, 7])
+def test_shingles_that_one_node_of_a_hub_has_are_no_rows(spark, monkeypatch, most):
+    """Shingles 5 and 6 meet, also as strong and weak and over tasks; 7 is given by two hubs, the others by one node."""
+    monkeypatch.setattr(order_minhash, "MOST_MARKS", most)
+    rows = [(1, 10, [5, 100], [6]), (1, 11, [5, 6], [101]), (2, 12, [7], []), (3, 13, [7], [102]), (2, 14, [], [-1]), (4, 15, [0], []), (4, 16, [0], [])]
+    rows += [(9, 1000 + i, list(range(1000 * i, 1000 * i + 20)), []) for i in range(1, 40)]
+    rays = spark.createDataFrame(rows, "a long, b long, strong array<long>, weak array<long>").repartition(3)
+    got = {r.b: (sorted(r.strong), sorted(r.weak)) for r in order_minhash.met_shingles(rays).collect()}
+    wanted = {10: ([5], [6]), 11: ([5, 6], []), 15: ([0], []), 16: ([0], [])}
+    assert order_minhash.met_shingles(rays.limit(0)).collect() == []
+    if most == 25:
+        assert {b: x for b, x in got.items() if b < 1000} == wanted
+        assert sum(len(strong) for b, (strong, _) in got.items() if b >= 1000) < 200
+    assert all(set(strong) <= set(got[b][0]) and set(weak) <= set(got[b][1]) for b, (strong, weak) in wanted.items())
+
+
 def test_runs_are_counted_and_searched_in_order():
     random_state = np.random.default_rng(2)
     for runs in (random_state.integers(0, 50, 400), np.array([7]), np.zeros(0, np.int64)):

@@ -54,11 +54,15 @@ class Archive:
 
     def read(self, name: str) -> bytes | None:
         """Bytes of a member; a missing or empty one gives None."""
+        return self.data(name) or None
+
+    def data(self, name: str) -> bytes | None:
+        """Bytes of a member, none of an empty one; a missing one or a directory gives None."""
         try:
             if self.zip:
-                return self.zip.read(name) or None
+                return None if self.zip.getinfo(name).is_dir() else self.zip.read(name)
             member = self.tar.extractfile(name) if self.tar else None
-            return (member.read() or None) if member else None
+            return member.read() if member else None
         except (KeyError, OSError, RuntimeError, zipfile.BadZipFile, tarfile.TarError):
             return None
 
@@ -94,9 +98,13 @@ def archive_members(files: DataFrame) -> DataFrame:
     return map_archives(files.select("path", source_column(files)), listed, "path string, pos int, member string")
 
 
-def read_members(files: DataFrame, wanted: str = "wanted") -> DataFrame:
-    """Rows (path, member, data) of the members named in an array column; data may be null."""
-    read = lambda row, archive: ((row.path, name, archive.read(name)) for name in getattr(row, wanted))
+def read_members(files: DataFrame, wanted: str = "wanted", empty: bool = False) -> DataFrame:
+    """Rows (path, member, data) of the members named in an array column; data may be null.
+
+    With ``empty`` the data of an empty member are empty, else they are null like those of a missing one.
+    """
+    found = lambda archive, name: archive.data(name) if empty else archive.read(name)
+    read = lambda row, archive: ((row.path, name, found(archive, name)) for name in getattr(row, wanted))
     return map_archives(files.select("path", source_column(files), wanted), read, "path string, member string, data binary")
 
 

@@ -48,3 +48,13 @@ def test_query(spark, duck, name):
 def test_reachable_feeds_walks_all_hosts(spark):
     reached = {r.node for r in QUERIES["reachable_feeds"](spark, SF).collect()}
     assert reached == {r.folder for r in QUERIES["folder_structure_of_pages"](spark, SF).select("folder").collect()}
+
+
+def test_member_text_of_an_empty_text(spark, duck, tmp_path):
+    docs = spark.createDataFrame([(1, "", "en", "a"), (2, "x", "en", "b")], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["archive_member_text"](spark, str(tmp_path))
+    connection = duck.cursor()
+    connection.sql(f"create temp view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    sql = connection.sql(ORACLES["archive_member_text"])
+    assert rows(df.columns, df.collect()) == rows(sql.columns, sql.fetchall())

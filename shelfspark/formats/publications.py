@@ -5,12 +5,11 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.constants import COVER_RELS, REL_ACQUISITION, REL_FACET, REL_GROUP, THUMBNAIL_RELS
-from shelfspark.functions.frames import frames
+from shelfspark.functions.frames import map_rows
 from shelfspark.functions.links import is_catalog_type
 from shelfspark.operators.links import choose_groups
 
@@ -100,18 +99,14 @@ def _entries(feed: str, xml: str) -> Iterator[tuple]:
 def reader_entries(documents: DataFrame, key: str = "path", xml: str = "xml") -> DataFrame:
     """Feed documents to entry rows (pos 0 is the feed itself); a broken document gives no rows."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        for batch in batches:
-            for feed, text in zip(batch[key], batch[xml]):
-                try:
-                    yield from _entries(feed, text)
-                except (ET.ParseError, TypeError):
-                    continue
+    def rows(found: Iterator[tuple]) -> Iterator[tuple]:
+        for row in found:
+            try:
+                yield from _entries(getattr(row, key), getattr(row, xml))
+            except (ET.ParseError, TypeError):
+                continue
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return frames(rows(batches), ENTRY)
-
-    return documents.select(key, xml).mapInPandas(run, ENTRY)
+    return map_rows(documents.select(key, xml), rows, ENTRY)
 
 
 def has_rel(link: Column, rel: str) -> Column:

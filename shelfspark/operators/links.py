@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.functions.frames import map_rows
 from shelfspark.operators.ordered import number_rows, ordered
 from shelfspark.session import Appended, written
 
@@ -47,34 +50,35 @@ def group_by_keys(rows: DataFrame, keys: str, outer: bool = True) -> DataFrame:
 BLOCK_ENTRIES = 4096
 
 
-def _read_block(block: pd.DataFrame) -> pd.DataFrame:
-    """Entries of a block in order: the groups that each may choose, one if it is decided.
+def _read_blocks(links: Iterator[tuple]) -> Iterator[tuple]:
+    """Entries of blocks in order: the groups that each may choose, one if it is decided.
 
-    Rows are (row, feed, pos, first, rank, group, sure, maybe): was the group surely, or perhaps, opened before
-    this position by entries that are read elsewhere. In the first block of a feed nothing before it is open.
+    Rows are (feed, block, pos, row, rank, group, first, sure, maybe), sorted by the first five: was the group surely, or
+    perhaps, opened before this position by entries that are read elsewhere. In the first block of a feed nothing before
+    it is open. Only what the entries of one block open is held.
     """
-    out, sure, maybe, same = [], set(), set(), []
-    place = None
-    for _, links in block.sort_values(["pos", "row", "rank"]).groupby(["pos", "row"], sort=False):
-        row, feed, pos, first = (links[c].iloc[0] for c in ("row", "feed", "pos", "first"))
+    read, place, sure, maybe, same = None, None, set(), set(), []
+    for (feed, block, pos, row), entry in groupby(links, key=lambda l: (l.feed, l.block, l.pos, l.row)):
+        entry = list(entry)
+        if read != (feed, block):
+            read, place, sure, maybe, same = (feed, block), pos, set(), set(), []
         # Entries at one position do not see each other.
-        if pos != place:
+        elif pos != place and not (pos != pos and place != place):
             for options in same:
                 (sure if len(options) == 1 else maybe).update(options)
             place, same = pos, []
         options = []
-        for group, is_sure, is_maybe in zip(links["group"], links["sure"], links["maybe"]):
-            if group is not None and (is_sure or group in sure):
-                options.append(group)
+        for link in entry:
+            if link.group is not None and (link.sure or link.group in sure):
+                options.append(link.group)
                 break
-            if group is not None and (group in maybe or (is_maybe and not first)):
-                options.append(group)
+            if link.group is not None and (link.group in maybe or (link.maybe and not link.first)):
+                options.append(link.group)
         else:
-            options.append(links["group"].iloc[0])
+            options.append(entry[0].group)
         options = list(dict.fromkeys(options))
         same.append([g for g in options if g is not None] if len(options) == 1 else options)
-        out.append((row, feed, pos, list(links["group"]), options))
-    return pd.DataFrame(out, columns=["row", "feed", "pos", "links", "options"])
+        yield row, feed, pos, [l.group for l in entry], options
 
 
 def choose_groups(entries: DataFrame, block: int = BLOCK_ENTRIES) -> DataFrame:
@@ -104,11 +108,13 @@ def choose_groups(entries: DataFrame, block: int = BLOCK_ENTRIES) -> DataFrame:
         number = F.floor((F.col("n") - 1) / block).alias("block")
         links = numbered.select("row", "feed", "pos", number, F.posexplode("links").alias("rank", "group"))
         known = links.join(bounds, ["feed", "group"], "left").select(
-            "row", "feed", "pos", "block", (F.col("block") == 0).alias("first"), "rank", "group",
+            "feed", "block", "pos", "row", "rank", "group", (F.col("block") == 0).alias("first"),
             F.coalesce(F.col("sure") < F.col("pos"), F.lit(False)).alias("sure"), F.coalesce(F.col("maybe") < F.col("pos"), F.lit(False)).alias("maybe"),
         )
         schema = f"row long, feed {kinds['feed']}, pos {kinds['pos']}, links {kinds['links']}, options {kinds['links']}"
-        step = written(known.groupBy("feed", "block").applyInPandas(_read_block, schema), "step")
+        # A task reads many blocks one after the other: most feeds are small, and a call per feed would cost more than its work.
+        sorted_links = known.repartition("feed", "block").sortWithinPartitions("feed", "block", "pos", "row", "rank")
+        step = written(map_rows(sorted_links, _read_blocks, schema), "step")
         done = step.filter(F.size("options") == 1).select("feed", "pos", F.element_at("options", 1).alias("group"))
         decided.add(done)
         active = step.filter(F.size("options") > 1).select("row", "feed", "pos", "links")

@@ -197,6 +197,18 @@ def test_group_choice_of_long_feeds_ends_soon(spark, block, monkeypatch):
     assert links.choose_groups(df.limit(0), block).collect() == []
 
 
+def test_group_choice_of_many_small_feeds_reads_them_together(spark, monkeypatch):
+    entries = [(f"f{i}", pos, found) for i in range(2000) for pos, found in ((1, ["a"]), (2, ["b", "a"]), (3, ["c", "b"]))]
+    df = spark.createDataFrame(entries, "feed string, pos int, links array<string>")
+    plans, write = [], links.written
+    explained = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(links, "written", lambda df, name: plans.append((name, explained(df))) or write(df, name))
+    got = links.choose_groups(df).collect()
+    assert sorted(map(tuple, got)) == sorted(_choices_in_order(entries))
+    # No call of Python for each feed.
+    assert not [plan for name, plan in plans if name == "step" and "Groups" in plan]
+
+
 def test_reachable_with_loop(spark):
     edges = spark.createDataFrame([("", "a"), ("a", "b"), ("b", "a"), ("b", ""), ("x", "y")], "src string, dst string")
     start = spark.createDataFrame([("",)], "node string")

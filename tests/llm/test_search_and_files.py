@@ -8,6 +8,7 @@ import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -395,6 +396,31 @@ def test_texts_at_the_edge_of_similarity_share_a_sketch():
                 assert set(order_minhash.sketches_of(a, 0.8)) & set(order_minhash.sketches_of(b, 0.8)), (n, m, k)
 
 
+def test_texts_are_sketched_together_as_one_by_one(monkeypatch):
+    """Many texts of a batch, in few pieces or many, have the sketches and shingles that each has alone."""
+    random_state, long_word = np.random.default_rng(3), "x" * 100
+    texts = [" ".join(f"w{w}" for w in random_state.integers(0, 50, n)) for n in [0, 1, 3, 4, 5, 6, 9, 15, 20, 21, 40, 300, 2000, 2]]
+    texts += [None, f"{long_word} b {long_word} {long_word}c d", "éa " * 30, "one two three four five six seven"]
+    alone = [order_minhash.batch_shingles(*order_minhash.batch_words(pa.array([t], pa.string())))[0] for t in texts]
+    raw, at = order_minhash.batch_shingles(*order_minhash.batch_words(pa.array(texts, pa.string())))
+    assert [raw[i:j].tolist() for i, j in zip(at, at[1:])] == [x.tolist() for x in alone]
+    items = [order_minhash.labelled(x) for x in alone]
+    wanted = [order_minhash.sketches_of(x, 0.8).tolist() for x in items]
+    for table, below in ((1 << 15, 12), (64, 12), (1 << 15, 3)):
+        monkeypatch.setattr(order_minhash, "TABLE", table)
+        # With too few items below the bound most texts are looked through, with the same result.
+        monkeypatch.setattr(order_minhash, "BELOW", below)
+        made, ends = order_minhash.batch_sketches(np.concatenate(items), at, 0.8)
+        assert [made[i:j].tolist() for i, j in zip(ends, ends[1:])] == wanted
+
+
+def test_words_are_told_apart_by_all_their_bytes():
+    words = sorted({"a" * n + end for n in range(0, 80) for end in ("", "b", "c", "\u00e9")} - {""})
+    array = pa.array(["skipped", *words], pa.string())
+    assert len(set(order_minhash.word_hashes(array.slice(1)).tolist())) == len(words)
+    assert order_minhash.word_hashes(array.slice(1)).tolist() == order_minhash.word_hashes(pa.array(words, pa.large_string())).tolist()
+
+
 def test_pairs_at_the_edge_are_linked(spark):
     """22 words of which the last two differ: 16 of 18 shingles match on both sides, similarity 0.8."""
     rows = []

@@ -421,6 +421,40 @@ def test_words_are_told_apart_by_all_their_bytes():
     assert order_minhash.word_hashes(array.slice(1)).tolist() == order_minhash.word_hashes(pa.array(words, pa.large_string())).tolist()
 
 
+def test_hub_links_what_the_alignment_links():
+    random_state = np.random.default_rng(5)
+    for n in (1, 5, 20, 60, 200):
+        for _ in range(40):
+            x = random_state.integers(0, 4 * n, n, dtype=np.uint64)
+            y = np.delete(x, random_state.integers(0, n, random_state.integers(0, max(1, n // 6))))
+            y = np.insert(y, random_state.integers(0, len(y) + 1, n // 12), random_state.integers(0, 4 * n, n // 12, dtype=np.uint64))
+            if random_state.integers(2):
+                y = np.roll(y, random_state.integers(0, max(1, n // 3)))
+            shared = np.isin(order_minhash.labelled(y), order_minhash.labelled(x))
+            enough = int(shared.sum()) >= order_minhash.needed(len(x), len(y), 0.8)
+            got = order_minhash.Hub(x).compared(y, 0.8)
+            assert got[:2] == (enough, enough and order_minhash.aligned(x.tolist(), y.tolist(), 0.8))
+            assert got[2].tolist() == order_minhash.labelled(y)[~shared].tolist()
+
+
+def test_rows_that_stay_are_told_by_the_fewer_keys(spark, monkeypatch):
+    """No shuffle of the texts, whether few rows go or few stay; a repeated row stays once."""
+    monkeypatch.setattr(order_minhash, "MAX_BROADCAST_ROWS", 12)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for texts, copies in ((20, 1), (2, 15)):
+            rows = [(i, f"text number {i % texts} of its own", 1.0) for i in range(texts * copies + (texts > 2))]
+            kept = order_minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, z double"))
+            assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, kept.collect())) == rows[:texts]
+        doubled = [(None, "one more text of five", 1.0), (None, "one more text of five", 1.0), (3, "one more text of five", 2.0), *rows[:2]]
+        kept = order_minhash.keep_one(spark.createDataFrame(doubled, "doc_id long, text string, z double")).collect()
+        assert sorted(map(tuple, kept), key=repr) == sorted([doubled[0], *rows[:2]], key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_pairs_at_the_edge_are_linked(spark):
     """22 words of which the last two differ: 16 of 18 shingles match on both sides, similarity 0.8."""
     rows = []

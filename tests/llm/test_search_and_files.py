@@ -455,6 +455,16 @@ def test_rows_that_stay_are_told_by_the_fewer_keys(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_pairs_that_meet_in_many_shingles_are_few_rows(spark):
+    """All nodes of hub 1 have 6 shingles; shingle 9 is strong for node 3 only, so a pair that it tells is told there."""
+    rows = [(1, s, n, True) for s in range(6) for n in range(10)] + [(2, s, n, n == 3 and s == 9) for s in (4, 9) for n in (1, 2, 3)]
+    table = spark.createDataFrame([(h, s, n, 20, n, n, t) for h, s, n, t in rows], "hub long, shingle long, node long, size long, rank long, root long, strong boolean")
+    groups = order_minhash.small_groups(table, ["hub", "shingle"], 128)
+    got = [(r.a, r.b) for r in order_minhash.close_pairs(groups, 0.8).collect()]
+    every = [(x, y) for x in range(10) for y in range(x + 1, 10)]
+    assert sorted(got) == sorted([*every, (1, 3), (2, 3)])
+
+
 def test_pairs_at_the_edge_are_linked(spark):
     """22 words of which the last two differ: 16 of 18 shingles match on both sides, similarity 0.8."""
     rows = []
